@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pathloom.llm.bpe_count import token_counts
 from pathloom.llm.common import read, word_count
 from pathloom.llm.mixing import assign
+from pathloom.llm.neighbours import search
 from pathloom.llm.packing import pack_documents
 from pathloom.llm.quality import judge
 from pathloom.llm.simhash import near_duplicates
@@ -24,6 +25,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search(rows, rows.where(F.col("vec_id") % 20 == 0))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = read(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     mixed = assign(sized)
@@ -50,7 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mixing, op4_quality, op5_token_counts, op6_simhash, op10_packing)}
+    return {f.__name__: f for f in (op1_neighbours, op3_mixing, op4_quality, op5_token_counts, op6_simhash, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm.bpe_count import token_counts
-from pathloom.llm.common import read, word_count
+from pathloom.llm.common import new_path, read, word_count
+from pathloom.llm.language import identify, learn, remainder
 from pathloom.llm.mixing import assign
 from pathloom.llm.neighbours import search
 from pathloom.llm.packing import pack_documents
 from pathloom.llm.quality import judge
 from pathloom.llm.simhash import near_duplicates
+from pathloom.llm.warc import read_back, write
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -51,16 +53,28 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = identify(docs.drop("lang").withColumn("held_out", F.coalesce(remainder("doc_id") == 0, F.lit(False))), learn(docs))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "archives")
+    write(read(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    return read_back(spark, folder)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neighbours, op3_mixing, op4_quality, op5_token_counts, op6_simhash, op10_packing)}
+    return {f.__name__: f for f in (op1_neighbours, op3_mixing, op4_quality, op5_token_counts, op6_simhash, op8_language, op9_warc, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": QUALITY_SQL}
+    return {"op4_quality": QUALITY_SQL, "op9_warc": WARC_SQL}
 
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -95,3 +109,20 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        coalesce(gone.n, 0)::BIGINT AS n_removed
 FROM b LEFT JOIN gone ON b.t = gone.t AND b.source IS NOT DISTINCT FROM gone.source
 """
+
+#: Base32 of a SHA-1 by SQL: the hex digits as bits, five at a time.
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+n AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS kept FROM p),
+h AS (SELECT DISTINCT hex FROM p),
+bits AS (SELECT hex, string_agg(right('0000' || bin(('0x' || substr(hex, i::INT, 1))::INT), 4), '' ORDER BY i) AS b
+         FROM h, range(1, 41) t(i) GROUP BY hex),
+d AS (SELECT hex, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        (substr(b, (5 * i + 1)::INT, 1)::INT * 16 + substr(b, (5 * i + 2)::INT, 1)::INT * 8 + substr(b, (5 * i + 3)::INT, 1)::INT * 4
+         + substr(b, (5 * i + 4)::INT, 1)::INT * 2 + substr(b, (5 * i + 5)::INT, 1)::INT + 1)::INT, 1), '' ORDER BY i) AS digest
+      FROM bits, range(0, 32) t(i) GROUP BY hex)
+SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN kept = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN kept <> page_id THEN kept END AS refers_to
+FROM n JOIN d ON n.hex = d.hex
+"""

@@ -56,6 +56,9 @@ def base_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
         F.expr("case when _some then aggregate(transform(_at, (p, j) -> least(3L, coalesce(get(_at, j + 1) - p, 3L))), 0L, (a, x) -> a + x) else 0L end").alias("n_repeat_words"),
         F.col("_l").alias("_lines"),
     )
+    # a generator, so that a filter on the metrics isn't moved below, where it would split a text for each of its words
+    numbers = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.col("_lines"))
+    d = d.select(*keep, F.inline(F.array(numbers)))
     return d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pathloom.llm.bpe_count import token_counts
 from pathloom.llm.common import new_path, read, word_count
 from pathloom.llm.language import identify, learn, remainder
-from pathloom.llm.mixing import assign
+from pathloom.llm.lines import dedup_lines
+from pathloom.llm.mixing import assign, in_order
 from pathloom.llm.neighbours import search
 from pathloom.llm.packing import pack_documents
 from pathloom.llm.quality import judge
@@ -32,11 +33,15 @@ def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(rows, rows.where(F.col("vec_id") % 20 == 0))
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_exact", "n_near", "text")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = read(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     mixed = assign(sized)
     ordered = mixed.withColumn("first_position", F.try_element_at("positions", F.lit(1)))
-    ordered = ordered.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
+    ordered = in_order(ordered, "first_position", "doc_id")
     return ordered.select("doc_id", "size", "source_size", "target", "taken", "first_position")
 
 
@@ -69,8 +74,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neighbours, op3_mixing, op4_quality, op5_token_counts, op6_simhash, op8_language, op9_warc, op10_packing)}
+    return {f.__name__: f for f in (op1_neighbours, op2_lines, op3_mixing, op4_quality, op5_token_counts, op6_simhash, op8_language, op9_warc, op10_packing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,3 +1,64 @@
-"""The corpus pipeline: five stages from documents to packed sequences."""
+"""The corpus pipeline: five stages from documents to packed sequences.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a frame that is written as Parquet and read again as
+the next stage's docs. All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from pathloom.llm.common import new_path, read
+from pathloom.llm.lines import deduplicated_documents
+from pathloom.llm.mixing import mixed_documents
+from pathloom.llm.packing import pack_documents
+from pathloom.llm.quality import kept_documents
+from pathloom.llm.queries import tokenizer_path
+from pathloom.llm.simhash import one_of_each
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and keep enough words outside their host's repeated lines."""
+    return kept_documents(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that an earlier line equals or nearly equals."""
+    return deduplicated_documents(docs)
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (shingles of five words, 3 bits of 64)."""
+    return one_of_each(docs, shingle=5)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, once per pass, in training order."""
+    return mixed_documents(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences."""
+    return pack_documents(docs.select("doc_id", "text"), tokenizer_path())
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("simhash near-dedup", simhash_dedup),
+    ("source mix", source_mix),
+    ("best-fit packing", best_fit_packing),
+]
+
+#: Tokenizing and hash orders can't be expressed in DuckDB; the tests hold run() against plain Python.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each written to the shared folder and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        path = new_path(spark, "stage")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,9 +5,9 @@ lines at edit distance one either lose a character at the same place and are the
 replacement), or one of them with a character deleted is the other. Of the lines that a line is so
 joined to, the earliest is verified by edit distance; the line goes if one is earlier.
 
-A hash join on halves comes first: lines at distance one share their first or last half. Only lines
-that share a half with another line have their variants written out, so that the bulk of a corpus,
-whose lines are like no others, costs a few keys a line and not one for each character.
+Hash joins on halves, and then on all but one of 64 stretches, come first: lines at distance one share
+these. Only lines that share them with another line have their variants written out, so that the bulk
+of a corpus, whose lines are like no others, costs a few keys a line and not one for each character.
 """
 
 from __future__ import annotations
@@ -23,14 +23,19 @@ from pathloom.llm.common import SPACE_RUN, WORD_CHAR, small_side, stored
 
 #: Normalised lines shorter than this (code points) are left alone.
 MIN_CHARS = 20
+#: Stretches of a line of which a near line may differ in one; lines without such a partner write out no variants.
+HOLES = 64
 _B = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _INVERSE = pow(_B, -1, 1 << 64)
 
 
 def normal(line: Column) -> Column:
-    """Lower case, white space collapsed and trimmed."""
-    return F.trim(F.regexp_replace(F.lower(line), SPACE_RUN, " "))
+    """Lower case, white space collapsed and trimmed. The regular expression runs only on lines that need it."""
+    odd = line.contains("  ")
+    for c in "\t\x0b\x0c\r":
+        odd = odd | line.contains(c)
+    return F.trim(F.lower(F.when(odd, F.regexp_replace(line, SPACE_RUN, " ")).otherwise(line)))
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -69,29 +74,46 @@ def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     return lines.select("_k", "_t", "_at", normal(F.col("_raw")).alias("_line")).where(F.length("_line") >= min_chars)
 
 
-def _halves(line: Column) -> Column:
-    """Hashes of the first and last halves of a line, for lengths n and n - 1 of which it may be a neighbour."""
-    out = []
-    for length in (F.length(line), F.length(line) - 1):
-        half = F.floor(length / 2).cast("int")
-        out += [F.xxhash64(F.lit(1), half, F.left(line, half)), F.xxhash64(F.lit(2), half, F.right(line, half))]
-    return F.array_distinct(F.array(*out))
+def _holes(line: Column, holes: int) -> Column:
+    """Hashes of a line without one of ``holes`` stretches, for lengths n and n - 1.
 
+    Lines at distance one are equal outside the stretch that holds the edit, if the stretches are laid
+    out for the shorter one's length. With two holes these are the halves.
+    """
+    n = F.length(line)
+
+    def one(length: Column, i: Column) -> Column:
+        start, end = F.floor(length * i / holes).cast("int"), F.floor(length * (i + 1) / holes).cast("int")
+        return F.xxhash64(length, i, F.left(line, start), F.right(line, length - end))
+
+    places = F.sequence(F.lit(0), F.lit(holes - 1))
+    return F.concat(F.transform(places, lambda i: one(n, i)), F.transform(places, lambda i: one(n - 1, i)))
 
-def near_lines(firsts: DataFrame, lines: DataFrame) -> DataFrame:
+
+def near_lines(lines: DataFrame, firsts: DataFrame, holes: int = HOLES) -> DataFrame:
     """(_h, _near): for lines with an earlier one at edit distance 1, the earliest's hash, verified.
 
-    ``firsts`` has one row per distinct line: _h (hash), _first (place of its first occurrence), _halves;
-    ``lines`` has the lines with their places. Keys are combined on the map side to their smallest
-    places, so that a key that very many lines share gives one row, and no pairs are made within a key.
+    ``lines`` has the lines with their hashes and places, ``firsts`` the first place of each hash. Keys
+    are combined on the map side to their smallest places, so that a key that very many lines share
+    gives one row, and no pairs are made within a key.
     """
-    halves = firsts.select("_h", F.explode("_halves").alias("_half"))
-    shared = halves.groupBy("_half").agg(F.min("_h").alias("_a"), F.max("_h").alias("_b")).where("_a <> _b").select("_half")
-    found = stored(halves.join(shared, "_half", "left_semi").select("_h").distinct(), "halves")
-    picked = stored(firsts.join(small_side(found), "_h", "left_semi").select("_h", "_first"), "picked")
-    p, f = lines.alias("p"), small_side(picked).alias("f")
+
+    def shared(rows: DataFrame, number: int, name: str) -> DataFrame:
+        """Keys that more than one line has."""
+        keys = rows.select("_h", F.explode(_holes(F.col("_line"), number)).alias("_hole"))
+        return stored(keys.groupBy("_hole").agg(F.min("_h").alias("_a"), F.max("_h").alias("_b")).where("_a <> _b").select("_hole"), name)
+
+    # lines that share a half with another line, then of these the lines that are equal but for a short stretch
+    halves = shared(lines, 2, "halves")
+    keyed = lines.select("_h", F.explode(_holes(F.col("_line"), 2)).alias("_hole"))
+    some = stored(keyed.join(small_side(halves), "_hole", "left_semi").select("_h").distinct(), "some")
+    p, f = lines.alias("p"), small_side(stored(firsts.join(small_side(some), "_h", "left_semi"), "picked")).alias("f")
     here = (F.col("p._h") == F.col("f._h")) & (F.struct(F.col("p._k"), F.col("p._t"), F.col("p._at")) == F.col("f._first"))
-    rows = stored(p.join(f, here).select(F.col("f._h").alias("_h"), "_line", "_first").dropDuplicates(["_h"]), "candidates")
+    wide = stored(p.join(f, here).select(F.col("f._h").alias("_h"), "_line", "_first").dropDuplicates(["_h"]), "wide")
+    stretches = shared(wide, holes, "stretches")
+    keyed = wide.select("_h", F.explode(_holes(F.col("_line"), holes)).alias("_hole"))
+    close = keyed.join(small_side(stretches), "_hole", "left_semi").select("_h").distinct()
+    rows = stored(wide.join(close, "_h", "left_semi"), "candidates")
 
     def write_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -128,11 +150,11 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars
     document and are treated alike. A line goes even if the earlier line goes too.
     """
     lines = occurrences(docs, key, text, min_chars).select("_k", "_t", "_at", "_line", F.xxhash64("_line").alias("_h"))
-    at = stored(lines.select("_k", "_t", "_at", "_h", _halves(F.col("_line")).alias("_halves")), "places")
-    firsts = stored(at.groupBy("_h").agg(F.min(F.struct("_k", "_t", "_at")).alias("_first"), *[F.first(F.get("_halves", F.lit(i))).alias(f"_{i}") for i in range(4)]).select("_h", "_first", F.filter(F.array("_0", "_1", "_2", "_3"), lambda x: x.isNotNull()).alias("_halves")), "firsts")
-    at = at.select("_k", "_t", "_at", "_h")
-    near = near_lines(firsts, lines).select("_h", F.lit(True).alias("_is_near"))
-    marks = firsts.join(near, "_h", "left").select("_h", "_first", F.coalesce("_is_near", F.lit(False)).alias("_is_near"))
+    at = stored(lines.select("_k", "_t", "_at", "_h"), "places")
+    firsts = at.groupBy("_h").agg(F.min(F.struct("_k", "_t", "_at")).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    near = stored(near_lines(lines, firsts.select("_h", "_first")).select("_h", F.lit(True).alias("_is_near")), "near")
+    marks = firsts.join(small_side(near), "_h", "left").where("_n > 1 or _is_near").select("_h", "_first", F.coalesce("_is_near", F.lit(False)).alias("_is_near"))
+    marks = small_side(stored(marks, "marks"))
     a, m = at.alias("a"), marks.alias("m")
     later = F.struct(F.col("a._k"), F.col("a._t"), F.col("a._at")) != F.col("m._first")
     return a.join(m, F.col("a._h") == F.col("m._h")).where(later | F.col("m._is_near")).select(F.col("a._k").alias("_k"), F.col("a._t").alias("_t"), F.col("a._at").alias("_at"), later.alias("_exact")).distinct()

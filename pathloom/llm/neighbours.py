@@ -27,7 +27,7 @@ TABLES = 2
 #: Probability mass of a neighbour at the search radius that the cells visited in one table hold.
 MASS = 0.86
 #: Mean rows of a cell aimed at; rows of a cell that one task compares; width of a cell in search radii.
-CELL_ROWS, CHUNK_ROWS, WIDTH = 500, 4096, 1.4
+CELL_ROWS, CHUNK_ROWS, WIDTH = 4000, 4096, 1.4
 #: Vectors of the sample from which the search radius and the spread of projections are fitted.
 SAMPLE = 4096
 #: Cells of a table visited at most before the rest of the mass is given to the exact search below.

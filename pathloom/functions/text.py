@@ -10,7 +10,7 @@ from pathloom.functions.url import ARROW, drop_repeats, path_to_name
 MAX_LITERAL = 250
 MAX_NAME = 180
 #: Line ends that close a comment (fixed values).
-LINE_ENDS = "\r\n  "
+LINE_ENDS = "\r\n\u2028\u2029"
 
 
 def string_literal(value: Column, max_len: int | None = MAX_LITERAL) -> Column:
@@ -19,7 +19,7 @@ def string_literal(value: Column, max_len: int | None = MAX_LITERAL) -> Column:
     s = F.left(s, F.lit(max_len)) if max_len is not None else s
     quoted = F.regexp_extract(F.to_json(F.struct(s.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
     quoted = F.replace(quoted, F.lit("\\/"), F.lit("/"))
-    for raw, code in (("<", "\\u003c"), ("`", "\\u0060"), (" ", "\\u2028"), (" ", "\\u2029"), ("${", "\\u0024{")):
+    for raw, code in (("<", "\\u003c"), ("`", "\\u0060"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029"), ("${", "\\u0024{")):
         quoted = F.replace(quoted, F.lit(raw), F.lit(code))
     return quoted
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from pathloom.operators.gate import DENIED, ESCAPES
+
 #: Events by the rules of ``sources/derived.py``.
 EV = r"""
 ev AS (
@@ -157,6 +161,12 @@ l AS (SELECT *, CASE k WHEN 0 THEN 'getByRole("button", {{ name: ' || q || ' }})
 LITERAL = r"""to_json(substr(html, 1, 250))::VARCHAR"""
 
 
+def plain_regex(p: str) -> str:
+    """A pattern for an engine whose word boundaries know ASCII only, quoted for SQL."""
+    p = re.sub(r"\\b(?=\w)", lambda _: r"(?:^|[^\p{L}\p{N}_])", p)
+    return re.sub(r"(?<=\w)\\b", lambda _: r"(?:$|[^\p{L}\p{N}_])", p).replace("'", "''")
+
+
 def oracle_sql() -> dict[str, str]:
     idle = lambda gap: f"WITH {EV}, l AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL '{gap}' THEN 1 ELSE 0 END AS b FROM ev WINDOW w AS (PARTITION BY session_id ORDER BY ts, seq)), s AS (SELECT *, sum(b) OVER (PARTITION BY session_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)::BIGINT AS sub_idx FROM l) SELECT session_id, sub_idx, count(*) AS n_events, min(seq) AS first_event FROM s GROUP BY ALL"
     key = "session_id, is_concurrent, group_tab, sub_idx"
@@ -211,5 +221,7 @@ def oracle_sql() -> dict[str, str]:
         "comment_escape": "WITH t AS (SELECT doc_id, translate(coalesce(text, ''), chr(13) || chr(10) || chr(8232) || chr(8233), '    ') AS a, translate(replace(coalesce(text, ''), '*/', '* /'), chr(13) || chr(10) || chr(8232) || chr(8233), '    ') AS b FROM documents) SELECT doc_id, md5(substr(a, 1, 250)) AS line, md5(b) AS block FROM t",
         "string_literal": f"SELECT page_id, replace(replace(replace(replace(replace({LITERAL}, '<', chr(92) || 'u003c'), '`', chr(92) || 'u0060'), chr(8232), chr(92) || 'u2028'), chr(8233), chr(92) || 'u2029'), '${{', chr(92) || 'u0024{{') AS literal FROM pages",
         "variables_first": f"WITH {EV} SELECT 'f' || (k % 2)::VARCHAR AS name, 'Form value for ' || first(loc ORDER BY session_id, ts, seq) AS description, first(k::VARCHAR ORDER BY session_id, ts, seq) AS example FROM ev WHERE kind = 'fill' GROUP BY 1",
+        "event_validation": f"WITH {EV} SELECT seq % 400 AS flow_id, count(*) AS n_events, bool_and(kind <> 'click' OR k % 5 <> 0) AS valid FROM ev WHERE kind IN ('navigation', 'fill', 'click') GROUP BY 1",
+        "deny_pattern_scan": "SELECT page_id, (" + " OR ".join(f"regexp_matches(html, '{plain_regex(p)}')" for p in DENIED) + f") AS denied, regexp_matches(html, '{ESCAPES}') AS escapes FROM pages",
         "variable_map": f"WITH {EV} SELECT loc AS locator, 'f' || (k % 2)::VARCHAR AS name FROM ev WHERE kind = 'fill' GROUP BY 1, 2",
     }

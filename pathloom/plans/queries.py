@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from pathloom.functions import element, text, url
 from pathloom.operators import checkpoints as cps
-from pathloom.operators import compare, dedup, flows, graph, sessions, variables
+from pathloom.operators import compare, dedup, flows, gate, graph, render, sessions, steps, validation, variables
 from pathloom.session import table
 from pathloom.sources import derived
 
@@ -263,11 +263,54 @@ def variable_map(spark, d):
     return variables.variable_map(derived.events(spark, d), "session_id", "timestamp", "sequence")
 
 
+def event_validation(spark, d):
+    e = derived.events(spark, d)
+    uuid = lambda c: F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(c, 12, "0"))
+    payload = F.when(F.col("event_type") == "navigation", F.concat(F.lit('{"to_url":"'), "url", F.lit('","trigger":"link_click"}'))).when(F.col("event_type") == "fill", F.col("payload")).when(F.col("event_type") == "click", F.when(F.col("k") % 5 == 0, F.lit('{"bogus":1}')).otherwise(F.lit('{"button":"left"}'))).otherwise(F.lit("{}"))
+    e = e.withColumns({"payload": payload, "event_id": uuid(F.col("event_id")), "session_id": uuid(F.col("session_id")), "tab_id": uuid(F.col("sequence").cast("string")), "flow_id": F.col("sequence") % 400})
+    return validation.valid_flows(e.where("event_type in ('navigation', 'fill', 'click')"))
+
+
+def deny_pattern_scan(spark, d):
+    return table(spark, d, "pages").select("page_id", gate.denied(F.col("html")).alias("denied"), F.col("html").rlike(gate.ESCAPES).alias("escapes"))
+
+
+def _specs(spark, d, strategy="smart"):
+    """The flows of a strategy with their step events, rendered."""
+    e = steps.prepared(_split(spark, d), relative=False)
+    subs = flows.sub_sessions(_split(spark, d))
+    events = e.groupBy(*KEY).agg(F.transform(F.sort_array(F.collect_list(F.struct("timestamp", "sequence", "step_event"))), lambda x: x["step_event"]).alias("steps"))
+    total = derived.events(spark, d).select("session_id").distinct().count()
+    mined = flows.popular_flows(subs, total, THRESHOLD)
+    facts = F.transform("events", lambda x: F.struct(x["event_type"].alias("event_type"), x["url"].alias("url"), x["element"].alias("element"), F.lit(False).alias("link")))
+    flat = mined.select(F.col("ord").alias("flow_ord"), "canonical_pattern", "popularity_score", "fingerprint", facts.alias("events"))
+    first = subs.groupBy("pattern", "fingerprint").agg(F.min_by(F.struct(*KEY), F.struct(-F.col("n_actions"), -F.col("n_nodes"), F.struct(*KEY))).alias("key")).select("pattern", "fingerprint", *[F.col(f"key.{k}").alias(k) for k in KEY])
+    j, v = first.alias("j"), events.alias("v")
+    same = F.lit(True)
+    for k in KEY:
+        same = same & F.col(f"j.{k}").eqNullSafe(F.col(f"v.{k}"))
+    own = j.join(v, same).select("j.pattern", "j.fingerprint", "v.steps")
+    chosen = dedup.apply_strategy(flat, strategy).drop("events")
+    out = chosen.join(own, (F.col("canonical_pattern") == F.col("pattern")) & (chosen["fingerprint"] == own["fingerprint"])).select("flow_ord", "canonical_pattern", "popularity_score", F.when(F.col("test_mode") == "smart_grouped", "full").otherwise(F.col("test_mode")).alias("test_mode"), "interaction_page_url", F.col("steps").alias("events"))
+    return render.render_specs(out)
+
+
+def render_specs(spark, d):
+    return _specs(spark, d)
+
+
+def structural_gate(spark, d):
+    """Every rendered script through the gate, in Arrow batches."""
+    verdict = F.udf(lambda s: tuple(gate.structural_gate(s)), "ok boolean, reason string", useArrow=True)
+    return _specs(spark, d).select("flow_ord", "file_name", gate.acceptable(F.col("content")).alias("acceptable"), verdict("content").alias("v")).select("flow_ord", "file_name", "acceptable", "v.ok", "v.reason")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         idle_sessions_30m, idle_sessions_12h, concurrent_tabs, full_session_split, exclusion_segments, url_normalise, url_pattern_topk, url_sequences, url_origin_mode, link_destination, glob_exclude_filter,
         event_nodes, flow_nodes, flow_edges, flow_sources_sinks, flow_paths, path_popularity, viewport_class, canonical_patterns, session_fingerprints, popular_flows, rescued_flows, flow_facts, compare_flows,
         next_significant_event, collapse_repetitions, collapse_pairs, checkpoint_prev_diff, click_assertions, global_elements, checkpoint_kth_assignment, element_locator, element_fingerprint, selector_priority,
         camel_case, url_variables, flow_names, comment_escape, string_literal, variables_first, variable_map,
+        event_validation, deny_pattern_scan, render_specs, structural_gate,
     )
     return {f.__name__: f for f in plain} | {f"dedup_{s}": _strategy(s) for s in dedup.STRATEGIES}

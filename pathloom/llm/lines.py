@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import SPACE_RUN, WORD_CHAR, small_side, stored
+from pathloom.llm.common import BROADCAST_ROWS, SPACE_RUN, WORD_CHAR, small_side, stored
 
 #: Normalised lines shorter than this (code points) are left alone.
 MIN_CHARS = 20
@@ -90,29 +90,44 @@ def _holes(line: Column, holes: int) -> Column:
     return F.concat(F.transform(places, lambda i: one(n, i)), F.transform(places, lambda i: one(n - 1, i)))
 
 
-def near_lines(lines: DataFrame, firsts: DataFrame, holes: int = HOLES) -> DataFrame:
+def _halves(line: Column) -> Column:
+    """Hashes of the first and last halves of a line, for the half lengths of lines of n and of n - 1 characters.
+
+    Lines at distance one share one of these: the edit is in the other half. Odd lengths have one half length.
+    """
+
+    def pair(half: Column) -> list[Column]:
+        return [F.xxhash64(F.lit(1), half, F.left(line, half)), F.xxhash64(F.lit(2), half, F.right(line, half))]
+
+    half = F.floor(F.length(line) / 2).cast("int")
+    return F.when(F.length(line) % 2 == 0, F.array(*pair(half), *pair(half - 1))).otherwise(F.array(*pair(half)))
+
+
+def near_lines(docs: DataFrame, places: DataFrame, firsts: DataFrame, key: str, text: str, min_chars: int, holes: int = HOLES) -> DataFrame:
     """(_h, _near): for lines with an earlier one at edit distance 1, the earliest's hash, verified.
 
-    ``lines`` has the lines with their hashes and places, ``firsts`` the first place of each hash. Keys
-    are combined on the map side to their smallest places, so that a key that very many lines share
-    gives one row, and no pairs are made within a key.
+    ``places`` has each line's hash and the hashes of its halves, ``firsts`` the first place of each
+    hash. Keys are combined on the map side to their smallest places, so that a key that very many
+    lines share gives one row, and no pairs are made within a key.
     """
 
-    def shared(rows: DataFrame, number: int, name: str) -> DataFrame:
+    def shared(keys: DataFrame, name: str) -> DataFrame:
         """Keys that more than one line has."""
-        keys = rows.select("_h", F.explode(_holes(F.col("_line"), number)).alias("_hole"))
         return stored(keys.groupBy("_hole").agg(F.min("_h").alias("_a"), F.max("_h").alias("_b")).where("_a <> _b").select("_hole"), name)
 
     # lines that share a half with another line, then of these the lines that are equal but for a short stretch
-    halves = shared(lines, 2, "halves")
-    keyed = lines.select("_h", F.explode(_holes(F.col("_line"), 2)).alias("_hole"))
-    some = stored(keyed.join(small_side(halves), "_hole", "left_semi").select("_h").distinct(), "some")
-    p, f = lines.alias("p"), small_side(stored(firsts.join(small_side(some), "_h", "left_semi"), "picked")).alias("f")
+    keyed = places.select("_h", F.explode("_halves").alias("_hole"))
+    some = stored(keyed.join(small_side(shared(keyed, "halves")), "_hole", "left_semi").select("_h").distinct(), "some")
+    picked = stored(firsts.join(small_side(some), "_h", "left_semi"), "picked")
+    held = stored(picked.select(F.col("_first._k").alias("_pk")).distinct(), "held")
+    if held.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        # few documents hold them: only these are split into lines again
+        docs = docs.join(F.broadcast(held), _key(docs, key, text)[0] == F.col("_pk"), "left_semi")
+    p, f = occurrences(docs, key, text, min_chars).withColumn("_h", F.xxhash64("_line")).alias("p"), small_side(picked).alias("f")
     here = (F.col("p._h") == F.col("f._h")) & (F.struct(F.col("p._k"), F.col("p._t"), F.col("p._at")) == F.col("f._first"))
     wide = stored(p.join(f, here).select(F.col("f._h").alias("_h"), "_line", "_first").dropDuplicates(["_h"]), "wide")
-    stretches = shared(wide, holes, "stretches")
     keyed = wide.select("_h", F.explode(_holes(F.col("_line"), holes)).alias("_hole"))
-    close = keyed.join(small_side(stretches), "_hole", "left_semi").select("_h").distinct()
+    close = keyed.join(small_side(shared(keyed, "stretches")), "_hole", "left_semi").select("_h").distinct()
     rows = stored(wide.join(close, "_h", "left_semi"), "candidates")
 
     def write_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,9 +165,10 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars
     document and are treated alike. A line goes even if the earlier line goes too.
     """
     lines = occurrences(docs, key, text, min_chars).select("_k", "_t", "_at", "_line", F.xxhash64("_line").alias("_h"))
-    at = stored(lines.select("_k", "_t", "_at", "_h"), "places")
+    halved = stored(lines.select("_k", "_t", "_at", "_h", _halves(F.col("_line")).alias("_halves")), "places")
+    at = halved.select("_k", "_t", "_at", "_h")
     firsts = at.groupBy("_h").agg(F.min(F.struct("_k", "_t", "_at")).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    near = stored(near_lines(lines, firsts.select("_h", "_first")).select("_h", F.lit(True).alias("_is_near")), "near")
+    near = stored(near_lines(docs, halved, firsts.select("_h", "_first"), key, text, min_chars).select("_h", F.lit(True).alias("_is_near")), "near")
     marks = firsts.join(small_side(near), "_h", "left").where("_n > 1 or _is_near").select("_h", "_first", F.coalesce("_is_near", F.lit(False)).alias("_is_near"))
     marks = small_side(stored(marks, "marks"))
     a, m = at.alias("a"), marks.alias("m")

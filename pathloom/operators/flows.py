@@ -60,8 +60,8 @@ def popular_flows(subs: DataFrame, total_sessions: int, threshold: float = THRES
     threshold, sub-sessions with the same set of pages and the same interactions are rescued if no
     popular flow has these interactions; a fingerprint is rescued once, for its first page set.
     """
-    if total_sessions <= 0:
-        subs = subs.limit(0)
+    # read by several aggregations; a lost executor's part is computed again
+    subs = (subs if total_sessions > 0 else subs.limit(0)).persist()
     at = F.struct(*keys)
     share = lambda n: n / F.lit(float(max(total_sessions, 1))) * 100
     patterns = subs.groupBy("pattern").agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("pattern_ord"))

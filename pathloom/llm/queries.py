@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm.bpe_count import token_counts
+from pathloom.llm.chat import rotate
 from pathloom.llm.common import new_path, read, word_count
 from pathloom.llm.language import identify, learn, remainder
 from pathloom.llm.lines import dedup_lines
@@ -58,6 +59,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = identify(docs.drop("lang").withColumn("held_out", F.coalesce(remainder("doc_id") == 0, F.lit(False))), learn(docs))
@@ -81,11 +86,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neighbours, op2_lines, op3_mixing, op4_quality, op5_token_counts, op6_simhash, op8_language, op9_warc, op10_packing, pipeline)}
+    return {f.__name__: f for f in (op1_neighbours, op2_lines, op3_mixing, op4_quality, op5_token_counts, op6_simhash, op7_perspectives, op8_language, op9_warc, op10_packing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": QUALITY_SQL, "op9_warc": WARC_SQL}
+    return {"op4_quality": QUALITY_SQL, "op7_perspectives": PERSPECTIVE_SQL, "op9_warc": WARC_SQL}
 
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -137,3 +142,17 @@ SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes, digest AS p
        CASE WHEN kept <> page_id THEN kept END AS refers_to
 FROM n JOIN d ON n.hex = d.hex
 """
+
+PERSPECTIVE_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS name, replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations),
+p AS (SELECT DISTINCT conv_id, name AS perspective FROM t),
+r AS (SELECT t.*, perspective, perspective = name AS mine,
+        CASE WHEN perspective = name THEN '<|assistant|>' || chr(10) ELSE '<|user|>' || replace(name, '<|', '< |') || ': ' END AS head
+      FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+s AS (SELECT *, head || body || '<|end|>' || chr(10) AS segment FROM r),
+o AS (SELECT *, length(segment) AS n, coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, name, segment
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s)
+SELECT conv_id, perspective, turn, name, CASE WHEN mine THEN 'assistant' ELSE 'user' END AS role, start::BIGINT AS start, n::BIGINT AS length,
+       CASE WHEN mine THEN start + length(head) END::BIGINT AS mask_start, CASE WHEN mine THEN start + n - 1 END::BIGINT AS mask_end, segment
+FROM o
+"""

@@ -149,7 +149,7 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     place = shard("_key") if cuts else F.lit(0)
     joined = rows.join(small_side(twice), "_sha", "left")
     joined = joined.select(place.alias("_shard"), "_key", "_url", "_body", F.when(~F.col("_kept").eqNullSafe(F.col("_key")), F.col("_kept")).alias("_refers"))
-    dealt = joined.repartitionByRange(len(cuts) + 1, "_shard").sortWithinPartitions("_shard", "_key", "_url", "_body")
+    dealt = joined.repartitionById(len(cuts) + 1, F.col("_shard")).sortWithinPartitions("_shard", "_key", "_url", "_body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller: Roller | None = None

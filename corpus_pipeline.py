@@ -28,8 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (shingles of five words, 3 bits of 64)."""
-    return one_of_each(docs, shingle=5)
+    """One document of each group of near-duplicates (Jaccard similarity of 0.8 or more over shingles of five words)."""
+    return one_of_each(docs, shingle=5, similarity=0.8)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

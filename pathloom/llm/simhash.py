@@ -1,14 +1,20 @@
-"""SimHash near-duplicates by anchor-point covering.
+"""SimHash near-duplicates by anchor-point covering, and near-duplicates by exact similarity.
 
 A 64-bit fingerprint is seen as two halves. Fingerprints that differ in at most 3 bits differ in at
 most one bit in one half. On 31 bits of a half, the perfect Hamming code of radius 1 is the set of
 anchors: every word is within one bit of exactly one. A fingerprint's home is that anchor; it is
 replicated to every anchor within covering radius plus threshold, 1 + 1 bits, of its half: its home and
 at most 15 others. Homes and visitors of an anchor are compared over all 64 bits, so no link is lost.
+
+Three bits are far less than a Jaccard similarity of 0.8 gives (about 10 bits), and no covering of 64 bits
+stays selective there. Links by similarity therefore take fingerprints within 3 bits as a first step only:
+texts at or above the similarity share a shingle among the first ones of their sets in any common order, and
+what is so joined is verified by exact similarity.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,20 +33,34 @@ SHINGLE = 3
 BLOCK = 1024
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """SimHash of one whole text, unsigned; 0 without words."""
+#: Texts sampled for the order of shingles; a shingle in this many of them counts as frequent; such shingles at most.
+ORDER_TEXTS, FREQUENT, FREQUENT_MOST = 20_000, 3, 200_000
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of a text's shingles, one for each place; of the whole text if it is shorter; none without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     if n == 1:
-        hashes = np.array([xxhash.xxh64_intdigest(line, 42)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter([digest(line[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64, n)
+        return np.array([xxhash.xxh64_intdigest(line, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter([digest(line[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """SimHash of one whole text, unsigned; 0 without words."""
+    return _majority(shingles(text, shingle))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    n = len(hashes)
+    if not n:
+        return 0
     # each bit as a byte, eight bytes added at once in 64-bit lanes; 255 rows can't overflow a byte
     lanes = np.unpackbits(hashes.astype("<u8").view(np.uint8), bitorder="little").view("<u8").reshape(n, 8)
     sums = np.add.reduceat(lanes, np.arange(0, n, 255), axis=0)
@@ -223,15 +243,166 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     return out.select(*[c for c in out.columns if c not in ("_fp", "component_id")], F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
+def _shingle_order(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles of a sample of texts, sorted, and how many texts of the sample have each.
+
+    They stand last in the order of shingles, by this number. Any order gives the same links; this one
+    keeps the keys that very many texts share out of the joins where it can.
+    """
+    n = docs.count()
+    step = max(1, n // ORDER_TEXTS)
+    picked = docs.where(F.pmod(F.xxhash64(text), F.lit(step)) == 0).select(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingles(x.as_py(), shingle)).view(np.int64))], names=["_s"])
+
+    counts = picked.mapInArrow(run, "_s long").groupBy("_s").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= FREQUENT)
+    rows = counts.orderBy(F.desc("_n"), "_s").limit(FREQUENT_MOST).toPandas().sort_values("_s")
+    return rows["_s"].to_numpy(np.int64), rows["_n"].to_numpy(np.int64)
+
+
+def _sketches(docs: DataFrame, text: str, shingle: int, similarity: float, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """The input's columns but for the text, and of its set of shingles: _node (a hash), _fp, _size, _bits and _first.
+
+    Two sets at or above ``similarity`` have a shingle in common that is among the _first of both; _bits
+    holds for each of 256 classes of shingles whether their number is odd.
+    """
+    keep = [c for c in docs.columns if c != text]
+    rows = docs.select(*keep, F.col(text).alias("_text"))
+    schema = T.StructType([*rows.select(*keep).schema, *T.StructType.fromDDL("_node long, _fp long, _size int, _b0 long, _b1 long, _b2 long, _b3 long, _first array<long>")])
+    some, counts = order
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for x in b.column(len(keep)):
+                hashes = shingles(x.as_py(), shingle)
+                own = np.unique(hashes)
+                n = len(own)
+                signed = own.view(np.int64)
+                rank = np.zeros(n, np.int64)
+                if len(some) and n:
+                    at = np.minimum(np.searchsorted(some, signed), len(some) - 1)
+                    rank = np.where(some[at] == signed, counts[at], 0)
+                first = signed[np.lexsort((own, rank))[: n - math.ceil(similarity * n - 1e-9) + 1]]
+                bits = np.packbits(np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256) % 2 == 1).view("<i8").tolist()
+                out.append((int(np.array([xxhash.xxh64_intdigest(own.tobytes(), 7)], np.uint64).view(np.int64)[0]), int(np.array([_majority(hashes)], np.uint64).view(np.int64)[0]), n, *bits, first.tolist()))
+            columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.list_(pa.int64())], strict=True)]
+            if out:
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *columns], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, texts: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (_a, _b of nodes) whose sets of shingles have at least this Jaccard similarity.
+
+    ``texts`` has a text of each node (_node, _own: the hash of the text, two parts).
+    """
+    asked = pairs.select(F.col("_a").alias("_node")).unionByName(pairs.select(F.col("_b").alias("_node"))).distinct()
+    names = stored(texts.join(asked, "_node", "left_semi"), "asked")
+    d, n = docs.select(F.col(text).alias("_text"), *_own(text)), small_side(names)
+    held = d.join(n, ["_k1", "_k2"]).select("_node", "_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingles(x.as_py(), shingle)).view(np.int64) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["_node", "_set"])
+
+    sets = stored(held.mapInArrow(run, "_node long, _set array<long>").dropDuplicates(["_node"]), "sets")
+    x, y = sets.select(F.col("_node").alias("_a"), F.col("_set").alias("_x")), sets.select(F.col("_node").alias("_b"), F.col("_set").alias("_y"))
+    both = F.size(F.array_intersect("_x", "_y"))
+    found = pairs.join(x, "_a").join(y, "_b").where(both >= F.lit(similarity - 1e-9) * (F.size("_x") + F.size("_y") - both)).select("_a", "_b")
+    out = stored(found, "alike")
+    dropped(sets)
+    return out
+
+
+def _own(text: str) -> list[Column]:
+    """Two hashes that stand for a whole text."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return [F.xxhash64(body).alias("_k1"), F.xxhash64(F.lit("second"), body).alias("_k2")]
+
+
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle: int = SHINGLE) -> DataFrame:
+    """The input's columns but for the text, and component_id, the smallest key that similar texts lead to.
+
+    Two texts are linked if the Jaccard similarity of their sets of shingles is ``similarity`` or more;
+    no such link is lost. Texts with equal sets are one node. Fingerprints within THRESHOLD bits, and the
+    smallest node of each shared key, are verified first; then all pairs that share a key, pass the bounds
+    by size and bits, and aren't joined yet. Texts without words are alike.
+    """
+    if not 0 < similarity <= 1:
+        raise ValueError("the similarity is above 0 and at most 1")
+    keep = [c for c in docs.columns if c not in ("component_id", "_node", "_fp", "_size", "_first")]
+    docs = docs.select(*keep)
+    drawn = stored(_sketches(docs.select(*keep, *_own(text)), text, shingle, similarity, _shingle_order(docs, text, shingle)), "sketches")
+    numbers = ["_fp", "_size", "_b0", "_b1", "_b2", "_b3"]
+    # numbers other than the fingerprint depend on the set; the fingerprint also on how often a shingle stands
+    whole = F.struct("_k1", "_k2", *numbers)
+    nodes = stored(drawn.groupBy("_node").agg(F.min(whole).alias("_w"), F.min(key).alias("_least")).select("_node", "_w.*", "_least"), "nodes")
+    keyed = drawn.select("_node", F.explode("_first").alias("_s"))
+    shared = keyed.groupBy("_s").agg(F.min("_node").alias("_low"), F.max("_node").alias("_high")).where("_low <> _high")
+    keyed = stored(keyed.join(stored(shared, "shared"), "_s").select("_s", "_node", "_low").distinct(), "keyed")
+
+    least = 2 * similarity / (1 + similarity)
+
+    def bounded(pairs: DataFrame) -> DataFrame:
+        """Pairs that can reach the similarity by their sizes and bits; each differing bit is a shingle of one side only."""
+        a, b = nodes.select(*[F.col(c).alias(f"{c}a") for c in ("_node", *numbers)]), nodes.select(*[F.col(c).alias(f"{c}b") for c in ("_node", *numbers)])
+        p = pairs.join(a, F.col("_a") == F.col("_nodea")).join(b, F.col("_b") == F.col("_nodeb"))
+        return p.where(_may(least, similarity)).select("_a", "_b")
+
+    prints = nodes.groupBy("_fp").agg(F.min("_node").alias("_low"))
+    same = nodes.join(prints, "_fp").select(F.col("_low").alias("_a"), F.col("_node").alias("_b"))
+    near = links(stored(prints.select("_fp"), "fingerprints"))
+    p, q = prints.select(F.col("_fp").alias("_fa"), F.col("_low").alias("_a")), prints.select(F.col("_fp").alias("_fb"), F.col("_low").alias("_b"))
+    near = near.select(F.col("_a").alias("_fa"), F.col("_b").alias("_fb")).join(p, "_fa").join(q, "_fb").select("_a", "_b")
+    stars = keyed.select(F.col("_low").alias("_a"), F.col("_node").alias("_b"))
+    pairs = same.unionByName(near).unionByName(stars).where("_a <> _b").select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
+    joined = _alike(stored(bounded(pairs), "pairs"), docs, nodes.select("_node", "_k1", "_k2"), text, shingle, similarity)
+    roots = components(joined)
+
+    # keys under which nodes of several classes stand: all pairs of different classes
+    k, r = keyed.alias("k"), roots.alias("r")
+    classed = k.join(r, F.col("k._node") == F.col("r._node"), "left").select("k._s", F.col("k._node").alias("_node"), F.coalesce("r._root", "k._node").alias("_root"))
+    open_keys = classed.groupBy("_s").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high")).where("_low <> _high").select("_s")
+    left = stored(classed.join(open_keys, "_s").join(nodes.select("_node", *numbers), "_node"), "open")
+    a, b = left.select("_s", *[F.col(c).alias(f"{c}a") for c in ("_node", "_root", *numbers)]), left.select("_s", *[F.col(c).alias(f"{c}b") for c in ("_node", "_root", *numbers)])
+    rest = a.join(b, "_s").where("_nodea < _nodeb and _roota <> _rootb").where(_may(least, similarity)).select(F.col("_nodea").alias("_a"), F.col("_nodeb").alias("_b")).distinct()
+    rest = rest.join(pairs, ["_a", "_b"], "left_anti")
+    more = _alike(stored(rest, "rest"), docs, nodes.select("_node", "_k1", "_k2"), text, shingle, similarity)
+    if not more.isEmpty():
+        roots = components(joined.unionByName(more))
+
+    n, r = nodes.alias("n"), roots.alias("r")
+    rooted = n.join(r, F.col("n._node") == F.col("r._node"), "left").select(F.col("n._node").alias("_node"), "_least", F.coalesce("r._root", "n._node").alias("_root"))
+    smallest = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
+    named = rooted.join(smallest, "_root").select(F.col("_node").alias("_n"), "component_id")
+    return drawn.join(named, F.col("_node") == F.col("_n")).select(*[c for c in keep if c != text], "component_id")
+
+
+def _may(least: float, similarity: float) -> Column:
+    """Whether two sets, by their sizes and bits, can have the similarity."""
+    a, b = F.col("_sizea"), F.col("_sizeb")
+    apart = sum((F.bit_count(F.col(f"_b{i}a").bitwiseXOR(F.col(f"_b{i}b"))) for i in range(1, 4)), F.bit_count(F.col("_b0a").bitwiseXOR(F.col("_b0b"))))
+    return (F.least(a, b) >= F.lit(similarity - 1e-9) * F.greatest(a, b)) & (apart <= F.lit(1 - least + 1e-9) * (a + b))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` with the smallest key of each class; of repeated rows with that key, one.
 
+    Classes are by fingerprints within ``threshold``, or with ``similarity`` by the exact Jaccard similarity.
+
     Rows with a null key stay only where their class has no other key, all of them. What goes is stored and counted:
     if it is few rows it is broadcast, else the texts are shuffled once.
     """
     names = docs.columns
     d = docs.select(*names, F.xxhash64(text).alias("_own"))
-    found = stored(near_duplicates(d.select(key, text, "_own"), key, text, threshold, shingle), "classes")
+    d_text = d.select(key, text, "_own")
+    found = stored(near_duplicates(d_text, key, text, threshold, shingle) if similarity is None else similar(d_text, key, text, similarity, shingle), "classes")
     first = F.col(key).eqNullSafe(F.col("component_id"))
     gone = stored(found.where(~first).select(F.col(key).alias("_key"), F.col("_own").alias("_hash")).distinct(), "gone")
     again = stored(found.where(first).groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 and _key is not null"), "again")

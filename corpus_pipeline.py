@@ -12,14 +12,14 @@ from pathloom.llm.common import new_path, read
 from pathloom.llm.lines import deduplicated_documents
 from pathloom.llm.mixing import mixed_documents
 from pathloom.llm.packing import pack_documents
-from pathloom.llm.quality import kept_documents
+from pathloom.llm.quality import cleaned_documents
 from pathloom.llm.queries import tokenizer_path
 from pathloom.llm.simhash import one_of_each
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and keep enough words outside their host's repeated lines."""
-    return kept_documents(docs)
+    """Documents that pass the base rules and keep enough words outside their host's repeated lines, without these lines."""
+    return cleaned_documents(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import SPACE_RUN, WORD_CHAR, small_side, stored
+from pathloom.llm.common import BROADCAST_ROWS, SPACE_RUN, WORD_CHAR, small_side, stored
 
 #: A line is removed when more than this many, and more than this share, of a host's distinct documents hold it.
 MIN_DOCS, MAX_SHARE = 10, 0.05
@@ -68,8 +68,8 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(body).alias("_k1"), F.xxhash64(F.lit("second"), body).alias("_k2")]
 
 
-def removed_words(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(host, _k1, _k2, n_removed) of every distinct text of a host that loses words.
+def _above(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+    """(_host, _k1, _k2, _h, _w) of every distinct text of a host and line in it above the limits; _w: its words.
 
     Exact copies of a text within a host count as one document. Null hosts form a host; null texts
     have no lines. Counting combines on the map side first and no hot line or host meets in one task.
@@ -84,7 +84,12 @@ def removed_words(docs: DataFrame, text: str = "text", host: str = "source", min
     over = c.join(n, F.col("c._host").eqNullSafe(F.col("n._host"))).where(F.col("_in") > max_share * F.col("_docs")).select(F.col("c._host").alias("_host"), F.col("c._h").alias("_h"))
     r, o = rows.alias("r"), over.alias("o")
     hit = r.join(o, (F.col("r._h") == F.col("o._h")) & F.col("r._host").eqNullSafe(F.col("o._host")))
-    return hit.groupBy(F.col("r._host").alias("_host"), F.col("r._k1").alias("_k1"), F.col("r._k2").alias("_k2")).agg(F.sum("r._w").alias("n_removed"))
+    return hit.select(*[F.col(f"r.{x}").alias(x) for x in ("_host", "_k1", "_k2", "_h", "_w")])
+
+
+def removed_words(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+    """(host, _k1, _k2, n_removed) of every distinct text of a host that loses words."""
+    return _above(docs, text, host, min_docs, max_share).groupBy("_host", "_k1", "_k2").agg(F.sum("_w").alias("n_removed"))
 
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
@@ -117,3 +122,26 @@ def kept_documents(docs: DataFrame, text: str = "text", host: str = "source", mi
     d, g = base.alias("d"), small_side(gone).alias("g")
     same = (F.col("d._k1") == F.col("g._k1")) & (F.col("d._k2") == F.col("g._k2")) & F.col("d._host").eqNullSafe(F.col("g._host")) & (F.col("d.n_words") - F.col("g.n_removed") < min_left * F.col("d.n_words"))
     return d.join(g, same, "left_anti").select(*[F.col(f"d.{c}") for c in keep])
+
+
+def cleaned_documents(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, their texts without the lines above the limits.
+
+    A line that is removed goes with its line feed; lines without words stay; other texts stay as they are.
+    An n_chars column is made anew where the text is. What texts lose is stored first; it is broadcast behind a check
+    of its size, and joined by a shuffle if it is larger.
+    """
+    keep = docs.columns
+    lost = _above(docs, text, host, min_docs, max_share).groupBy("_host", "_k1", "_k2").agg(F.sum("_w").alias("n_removed"), F.collect_set("_h").alias("_gone"))
+    base = base_metrics(docs.select(*keep, F.col(host).alias("_host"), *text_key(F.col(text))), text).where(~F.col("base_failed"))
+    gone = stored(lost, "removed")
+    size = gone.agg(F.sum(F.size("_gone") + 5)).first()[0] or 0
+    d, g = base.alias("d"), (F.broadcast(gone) if size <= 8 * BROADCAST_ROWS else gone).alias("g")
+    same = (F.col("d._k1") == F.col("g._k1")) & (F.col("d._k2") == F.col("g._k2")) & F.col("d._host").eqNullSafe(F.col("g._host"))
+    both = d.join(g, same, "left").where(F.col("_gone").isNull() | (F.col("n_words") - F.col("n_removed") >= min_left * F.col("n_words")))
+    left = F.filter(F.split(F.col(f"d.{text}"), "\n"), lambda x: ~(x.rlike(WORD_CHAR) & F.array_contains(F.col("g._gone"), F.xxhash64(normal_line(x)))))
+    body = F.when(F.col("g._gone").isNull(), F.col(f"d.{text}")).otherwise(F.array_join(left, "\n"))
+    changed = {text: body}
+    if "n_chars" in keep and text != "n_chars":
+        changed["n_chars"] = F.when(F.col("g._gone").isNull(), F.col("d.n_chars")).otherwise(F.length(body)).cast("long")
+    return both.select(*[changed.get(c, F.col(f"d.{c}")).alias(c) for c in keep])

@@ -30,7 +30,7 @@ MASS = 0.86
 CELL_ROWS, CHUNK_ROWS, WIDTH = 4000, 4096, 1.4
 #: Vectors of the sample from which the search radius and the spread of projections are fitted.
 SAMPLE = 4096
-#: Cells of a table visited at most before the rest of the mass is given to the exact search below.
+#: Cells of a table visited at most; a query whose mass isn't reached by then goes to the exact search.
 CELLS = 20_000
 
 
@@ -44,9 +44,10 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 class Tables:
     """Projections, cells and the order of probes. All is drawn from a seed and the fitted numbers."""
 
-    def __init__(self, dim: int, projections: int, width: float, radius: float, norm: float, tables: int = TABLES, seed: int = 5):
+    def __init__(self, dim: int, projections: int, width: float, radius: float, norm: float, tables: int = TABLES, seed: int = 5, most: int = CELLS):
         rng = np.random.default_rng(seed)
         self.k, self.width, self.radius, self.norm, self.tables = projections, width, radius, norm, tables
+        self.most = most
         self.a = rng.normal(size=(tables, dim + 1, projections))
         self.b = rng.uniform(0, width, (tables, projections))
         self.mix = rng.integers(1, 2**63 - 1, (tables, projections + 1), dtype=np.int64) | 1
@@ -69,10 +70,14 @@ class Tables:
                 h ^= h >> np.int64(29)
         return h
 
-    def probes(self, place: np.ndarray, mass: float, most: int = CELLS) -> np.ndarray:
+    def probes(self, place: np.ndarray, mass: float) -> np.ndarray:
         """Cells around a place, likeliest first, until their estimated probabilities reach ``mass``."""
+        return self.visits(place, mass)[0]
+
+    def visits(self, place: np.ndarray, mass: float) -> tuple[np.ndarray, bool]:
+        """The cells of ``probes``, and whether they reach ``mass`` (else ``most`` cells stopped them short)."""
         if not self.k:
-            return np.zeros((1, 0), np.int64)
+            return np.zeros((1, 0), np.int64), True
         sd = self.radius / self.width
         reach = int(math.ceil(4 * sd)) + 1
         own, choices = np.floor(place).astype(np.int64), []
@@ -85,7 +90,7 @@ class Tables:
         # best first over the choices of each projection, in order of the product of probabilities
         start = (0,) * self.k
         heap, seen, out, done = [(-sum(c[1][0] for c in choices), start)], {start}, [], 0.0
-        while heap and done < mass and len(out) < most:
+        while heap and done < mass and len(out) < self.most:
             cost, at = heapq.heappop(heap)
             done += math.exp(-cost)
             out.append([choices[i][0][j] for i, j in enumerate(at)])
@@ -95,14 +100,15 @@ class Tables:
                     if nxt not in seen:
                         seen.add(nxt)
                         heapq.heappush(heap, (cost + choices[i][1][at[i]] - choices[i][1][at[i] + 1], nxt))
-        return np.array(out, np.int64)
+        return np.array(out, np.int64), done >= mass
 
 
-def fit(rows: DataFrame, nearest: int = NEAREST, tables: int = TABLES, cell_rows: int = CELL_ROWS) -> Tables | None:
+def fit(rows: DataFrame, nearest: int = NEAREST, tables: int = TABLES, cell_rows: int = CELL_ROWS, mass: float = MASS, most: int = CELLS) -> Tables | None:
     """Numbers of the index from the count, the largest norm and a sample of about SAMPLE vectors.
 
     The search radius is the distance below which a row has ``nearest`` others, by the sample's
-    distances; K grows with the logarithm of the count, so that cells keep their size.
+    distances; K grows with the logarithm of the count, so that cells keep their size,
+    up to where ``most`` cells don't reach ``mass``: from there on cells grow.
     """
     square = F.aggregate("_v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     n, top, dim = rows.agg(F.count(F.lit(1)), F.max(square), F.max(F.size("_v"))).first()
@@ -123,33 +129,52 @@ def fit(rows: DataFrame, nearest: int = NEAREST, tables: int = TABLES, cell_rows
     width = WIDTH * radius
     bits = max(0.3, math.log2(max(spread, 1e-9) * math.sqrt(2 * math.pi * math.e) / width) if spread * 4.13 > width else 0.3)
     k = min(24, max(0, round(math.log2(n / cell_rows) / bits))) if n > 2 * cell_rows else 0
-    return Tables(dim, k, width, radius, norm, tables if k else 1)
+    index = Tables(dim, k, width, radius, norm, tables if k else 1, most=most)
+    while index.k > 1 and not all(index.visits(p, mass)[1] for p in index.places(x[:3], True)[0]):
+        index = Tables(dim, index.k - 1, width, radius, norm, tables, most=most)
+    return index
 
 
-def _pack(rows: DataFrame, index: Tables, query: bool, mass: float) -> DataFrame:
-    """(_key, _id, _vec): a row for each table of a vector, or for each cell that a query visits."""
+def _pack(rows: DataFrame, index: Tables) -> DataFrame:
+    """(_key, _id, _vec): a row for each table of a vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
-            at = index.places(x, query)
-            for t in range(index.tables):
-                cells = [index.probes(p, mass) for p in at[t]] if query else [np.floor(p).astype(np.int64)[None, :] for p in at[t]]
-                who = np.repeat(np.arange(len(ids)), [len(c) for c in cells])
-                keys = index.keys(t, np.vstack(cells)) if index.k else np.zeros(len(who), np.int64)
-                for i in range(0, len(who), 20_000):
-                    own = who[i : i + 20_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 20_000]), pa.array(ids[own]), pa.array([x[j].tobytes() for j in own], pa.binary())], names=["_key", "_id", "_vec"])
+            ids, x = _arrays(b)
+            vec = pa.array([v.tobytes() for v in x], pa.binary())
+            for t, at in enumerate(index.places(x, False)):
+                keys = index.keys(t, np.floor(at).astype(np.int64)) if index.k else np.zeros(len(ids), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids), vec], names=["_key", "_id", "_vec"])
 
     return rows.select("_id", "_v").mapInArrow(run, "_key long, _id long, _vec binary")
 
 
-def _meet(rows: DataFrame, queries: DataFrame, index: Tables, nearest: int, mass: float, chunk: int) -> DataFrame:
+def _arrays(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    ids = b.column(0).to_numpy(zero_copy_only=False)
+    return ids, b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
+
+
+def _ask(queries: DataFrame, index: Tables, mass: float) -> DataFrame:
+    """(_id, _vec, _keys, _whole): a row for each table of a query, with the cells it visits and whether their mass is reached in all tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, x = _arrays(b)
+            places = index.places(x, True) if len(ids) else []
+            for i in range(len(ids)):
+                found = [index.visits(at[i], mass) for at in places]
+                keys = [index.keys(t, c) if index.k else np.zeros(1, np.int64) for t, (c, _) in enumerate(found)]
+                n, whole = len(found), all(y for _, y in found)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * n, pa.int64()), pa.array([x[i].tobytes()] * n, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array([whole] * n)], names=["_id", "_vec", "_keys", "_whole"])
+
+    return queries.select("_id", "_v").mapInArrow(run, "_id long, _vec binary, _keys array<long>, _whole boolean")
+
+
+def _meet(rows: DataFrame, visits: DataFrame, index: Tables, nearest: int, chunk: int) -> DataFrame:
     """(query_id, vec_id, score): the nearest candidates of each query in each chunk of the cells it visits."""
-    held, asked = _pack(rows, index, False, mass), _pack(queries, index, True, mass)
+    held, asked = _pack(rows, index), visits.select(F.explode("_keys").alias("_key"), "_id", "_vec")
     counts = held.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("_chunks"))
     held = held.join(counts, "_key").select("_key", F.pmod(F.xxhash64("_id"), F.col("_chunks")).cast("int").alias("_chunk"), F.lit(False).alias("_ask"), "_id", "_vec")
     asked = asked.join(counts, "_key").select("_key", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"), F.lit(True).alias("_ask"), "_id", "_vec")
@@ -189,14 +214,15 @@ def _distinct(rows: DataFrame, keep: int) -> DataFrame:
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", nearest: int = NEAREST, tables: int = TABLES, mass: float = MASS, cell_rows: int = CELL_ROWS, chunk: int = CHUNK_ROWS
+    vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", nearest: int = NEAREST, tables: int = TABLES, mass: float = MASS, cell_rows: int = CELL_ROWS, chunk: int = CHUNK_ROWS, cells: int = CELLS
 ) -> DataFrame:
     """query_id, rank, vec_id, score: each query's nearest found rows but its own id, ties to the smaller id.
 
     Vectors that are null, zero, hold null or non-finite components, or have another length than most,
     and null ids, take no part on either side; repeated rows count once. Extra columns are left out.
     Cells of any size are cut into chunks, each compared in its own task. A query that finds fewer than
-    ``nearest`` rows is searched again over all rows, in chunks. An empty table gives no rows.
+    ``nearest`` rows, or whose mass isn't reached by ``cells`` cells of a table, is searched over all rows,
+    in chunks. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     good = usable(vectors, key, vector)
@@ -207,21 +233,21 @@ def search(
     good = good.where(F.size("_v") == lengths["n"])
     asked = usable(queries, key, vector).where(F.size("_v") == lengths["n"]).dropDuplicates(["_id"])
     rows = _distinct(good.dropDuplicates(["_id"]), nearest + 1)
-    index = fit(rows, nearest, tables, cell_rows)
+    index = fit(rows, nearest, tables, cell_rows, mass, cells)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def ranked(found: DataFrame) -> DataFrame:
         merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         return merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= nearest).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
-    out = ranked(_meet(rows, asked, index, nearest, mass, chunk))
     if not index.k:
-        return out
-    out = stored(out, "nearest")
+        return ranked(_meet(rows, _ask(asked, index, mass), index, nearest, chunk))
+    visits = stored(_ask(asked, index, mass), "visits")
+    out = stored(ranked(_meet(rows, visits.where("_whole"), index, nearest, chunk)), "nearest")
     enough = out.groupBy("query_id").count().where(F.col("count") >= nearest)
     short = stored(asked.join(enough, asked["_id"] == enough["query_id"], "left_anti"), "short")
     if short.isEmpty():
         return out
     whole = Tables(lengths["n"], 0, 1.0, 1.0, index.norm, 1)
-    again = ranked(_meet(rows, short, whole, nearest, mass, chunk))
+    again = ranked(_meet(rows, _ask(short, whole, mass), whole, nearest, chunk))
     return out.join(short.select(F.col("_id").alias("query_id")), "query_id", "left_anti").unionByName(again)

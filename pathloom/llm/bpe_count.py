@@ -35,12 +35,25 @@ def byte_letters() -> list[str]:
     return out
 
 
+def check_kind(spec: dict) -> None:
+    """Refuses a tokenizer file that does more than byte-level BPE without a space put in front."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix") if model.get(k)] + [k for k in ("byte_fallback", "ignore_merges") if model.get(k)]
+    if model.get("type", "BPE") != "BPE" or odd or spec.get("normalizer") or spec.get("truncation") or spec.get("padding"):
+        raise ValueError(f"not a plain byte-level BPE file: {odd or 'its model, normalizer, truncation or padding'}")
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or before.get("use_regex") is False:
+        raise ValueError("its pre-tokenizer isn't the plain byte-level one")
+    if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("its added tokens take white space or whole words only")
+
+
 class Counter:
     """Counts tokens by the merge list of a tokenizer file (path is of a local file on every node)."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_kind(spec)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         letters = byte_letters()
         # symbols are small numbers: a merge of symbols a and b has the key a << 32 | b
@@ -114,9 +127,10 @@ class Counter:
 def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", limit: int = LIMIT) -> DataFrame:
     """The input's columns but for the text, and n_bytes (UTF-8), n_tokens and over_limit.
 
-    Null and empty texts have 0 of both. Rows are handled one by one in Arrow batches, each row of
-    any length by itself, so that nothing is shuffled, order and repeats don't matter, and a lost
-    executor costs its tasks only. Input columns that clash with the added names are replaced.
+    Null and empty texts have 0 of both; repeated rows get the same numbers each; an empty table gives no rows. Rows are
+    handled one by one in Arrow batches, each row of any length by itself, so that nothing is shuffled, order
+    doesn't matter, and a lost executor costs its tasks only. Input columns that clash with the added names are replaced.
+    A file that isn't plain byte-level BPE is refused.
     """
     keep = [c for c in docs.columns if c not in (text, "n_bytes", "n_tokens", "over_limit")]
 

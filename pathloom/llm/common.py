@@ -84,6 +84,28 @@ def spread(*columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double") / F.lit(float(2**53))
 
 
+#: Copies of a row that one row of the first step of ``unfolded`` stands for.
+FOLD = 4096
+
+
+def folded(df: DataFrame, name: str) -> DataFrame:
+    """The distinct rows, stored, with their number as _copies, combined on the map side.
+
+    A row that is repeated very often is one row so. Rows with maps or variants can't be compared; they stay
+    one by one.
+    """
+    if any(x in df.schema.simpleString() for x in ("map<", "variant")):
+        return stored(df.withColumn("_copies", F.lit(1).cast("long")), name)
+    return stored(df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies")), name)
+
+
+def unfolded(df: DataFrame) -> DataFrame:
+    """Each row as often as _copies says, with _copy from 0; _copies goes. Many copies are made in steps, so that no long array is held."""
+    names = [c for c in df.columns if c != "_copies"]
+    blocks = df.select(*names, "_copies", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(FOLD).cast("long"))).alias("_block"))
+    return blocks.select(*names, F.explode(F.sequence(F.col("_block"), F.least(F.col("_block") + (FOLD - 1), F.col("_copies") - 1))).alias("_copy"))
+
+
 def running_sums(
     df: DataFrame,
     group: Sequence[str],

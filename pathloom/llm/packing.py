@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathloom.llm.common import running_sums, spread, stored
+from pathloom.llm.common import folded, running_sums, spread, unfolded
 from pathloom.llm.units import Memory, any_units, units
 
 SEQUENCE = 2048
 #: Tokens in a length class of the fit.
 CLASS = 8
+#: Texts on which a quicker library has to give the ids of the tokenizer's own before it is used.
+SELF_CHECK = ("", " a", "it's we'll I'd 'Ve", "the  cat\n\nsat\t\t on \r\n", "caf\u00e9 na\u00efve 12345 $$$*** \u4e2d\u6587", "\u00a0x\u3000y\u0085z \x1c", "\U0001f600 \u0301e\u0301", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa", " \n \t ", "\u0e33\u0967\u216b_\u2028end")
 
 
 class Tokens:
@@ -42,14 +44,14 @@ class Tokens:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
         self.starts[[i for t, i in vocabulary.items() if t[:1] in "ĠĊ"]] = True
-        self.fast = self._fast(path)
+        self.fast = self._fast(path, self.library)
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.whole = Memory(lambda u: self.encode(u))
 
     @staticmethod
-    def _fast(path: str):
-        """The same vocabulary and merges in a quicker library, if its ranks are the ids of the file."""
+    def _fast(path: str, library):
+        """The same vocabulary and merges in a quicker library, if its ranks are the ids of the file and both give the same ids on odd texts."""
         import json
 
         import tiktoken
@@ -65,7 +67,8 @@ class Tokens:
         merged = [spec["model"]["vocab"][a + b] for a, b in merges]
         if any(y <= x for x, y in zip(merged, merged[1:], strict=False)) or spec["pre_tokenizer"].get("type") != "ByteLevel":
             return None
-        return tiktoken.Encoding("own", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
+        fast = tiktoken.Encoding("own", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
+        return fast if all(fast.encode_ordinary(x) == library.encode(x, add_special_tokens=False).ids for x in SELF_CHECK) else None
 
     def encode(self, text: str) -> bytes:
         ids = self.fast.encode_ordinary(text) if self.fast else self.library.encode(text, add_special_tokens=False).ids
@@ -107,14 +110,15 @@ class Tokens:
         return self.plain(text)
 
 
-def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, keep: list[str] | None = None, with_ids: bool = False, text: str = "text") -> DataFrame:
     """One row per piece: the ``keep`` columns, piece, start, length, ids_crc32 (and ids, base64, if asked).
 
     A document is its tokens and then id 0. One of over ``sequence`` tokens is cut into pieces of that
     many, the first being what is left over. Null and empty texts give one piece of length 1.
     """
-    keep = ["doc_id"] if keep is None else keep
-    rows = docs.select(*keep, F.col("text").alias("_text"))
+    made = ("piece", "start", "length", "ids_crc32", "ids")
+    keep = ["doc_id"] if keep is None else [c for c in keep if c not in made]
+    rows = docs.select(*keep, F.col(text).alias("_text"))
     names = [*keep, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
     schema = T.StructType([*rows.select(*keep).schema, T.StructField("piece", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")], *[T.StructField("ids", T.StringType())] * with_ids])
 
@@ -240,33 +244,36 @@ def plan(histogram: dict[int, int], sequence: int = SEQUENCE, width: int = CLASS
     return rows
 
 
-def pack(parts: DataFrame, sequence: int = SEQUENCE, keep: list[str] | None = None) -> DataFrame:
+def pack(parts: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     """Adds sequence_id and offset to rows that have length, piece and ids_crc32; nothing is dropped.
 
-    Pieces of full length take a sequence each. ``parts`` should be stored, as it is read twice. Rows of
-    one length are ranked by hash in buckets (``running_sums``), so that a length that a third of all
-    rows share is no hot spot. Reruns over the same rows give the same sequences. The empty table
-    gives no rows.
+    Pieces of full length take a sequence each. ``parts`` is read once and stored, equal rows folded. Rows of
+    one length are ranked by a hash of the whole row in buckets (``running_sums``), so that a length that a third of all
+    rows share is no hot spot, nor are null or repeated keys. Reruns over the same rows give the same sequences. The
+    empty table gives no rows; input columns named sequence_id or offset are replaced.
     """
     spark = parts.sparkSession
-    columns = parts.columns
-    keep = ["doc_id"] if keep is None else keep
-    counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `sequence` rows
-    rows = plan(counts, sequence)
+    columns = [c for c in parts.columns if c not in ("sequence_id", "offset")]
+    names = {c: f"_c{i}" for i, c in enumerate(columns)}
+    length = names["length"]
+    rows = folded(parts.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), "pieces")
+    counts = {r[length]: r["n"] for r in rows.groupBy(length).agg(F.sum("_copies").alias("n")).collect()}  # at most `sequence` rows
     schema = "length long, rank_from long, rank_to long, per long, first long, at long"
-    table = F.broadcast(spark.createDataFrame(rows, schema))  # a few rows for each length: bounded by `sequence`
-    ranked = running_sums(parts.withColumn("_one", F.lit(1)).withColumn("_place", spread(*[F.col(c) for c in keep], F.col("piece"), F.lit(7))), ["length"], "_place", ["_one"], ties=[*keep, "piece", "ids_crc32"])
-    p, t = ranked.alias("p"), table.alias("t")
-    r = F.col("p.before__one")
-    inside = (F.col("p.length") == F.col("t.length")) & (r >= F.col("t.rank_from")) & (r < F.col("t.rank_to"))
+    table = F.broadcast(spark.createDataFrame(plan(counts, sequence), schema))  # a few rows for each length: bounded by `sequence`
+    order = [n for c, n in names.items() if "map<" not in rows.schema[n].dataType.simpleString()]
+    ranked = unfolded(running_sums(rows.withColumn("_place", spread(*[F.col(n) for n in order], F.lit(7))), [length], "_place", ["_copies"], ties=order))
+    p, t = ranked.withColumn("_rank", F.col("before__copies") + F.col("_copy")).alias("p"), table.alias("t")
+    r = F.col("p._rank")
+    inside = (F.col(f"p.{length}") == F.col("t.length")) & (r >= F.col("t.rank_from")) & (r < F.col("t.rank_to"))
     turn = r - F.col("t.rank_from")
-    return p.join(t, inside).select(*[F.col(f"p.{c}") for c in columns], (F.col("t.first") + F.floor(turn / F.col("t.per"))).cast("long").alias("sequence_id"), (F.col("t.at") + turn % F.col("t.per") * F.col("p.length")).cast("long").alias("offset"))
+    return p.join(t, inside).select(*[F.col(f"p.{n}").alias(c) for c, n in names.items()], (F.col("t.first") + F.floor(turn / F.col("t.per"))).cast("long").alias("sequence_id"), (F.col("t.at") + turn % F.col("t.per") * F.col(f"p.{length}")).cast("long").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of every document.
+def pack_documents(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The ``keep`` columns (doc_id), piece, start, length, ids_crc32, sequence_id and offset of every piece of every document.
 
-    Texts are tokenized once; the pieces' numbers (not their ids) are stored in the shared folder.
-    Extra columns are left out; repeated rows are packed as often as they occur.
+    Texts are tokenized once; the pieces' numbers (not their ids) are stored in the shared folder. Null and empty
+    texts are one piece of one token. Other columns are left out; repeated rows and equal or null keys are packed as
+    often as they occur; a text of any length is cut into pieces by itself. An empty table gives no rows.
     """
-    return pack(stored(pieces(docs, tokenizer, sequence), "pieces"), sequence)
+    return pack(pieces(docs, tokenizer, sequence, keep, text=text), sequence)

@@ -41,8 +41,8 @@ def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = read(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     mixed = assign(sized)
-    ordered = mixed.withColumn("first_position", F.try_element_at("positions", F.lit(1)))
-    ordered = in_order(ordered, "first_position", "doc_id")
+    ordered = mixed.withColumn("first_position", F.try_element_at("positions", F.lit(1))).withColumn("first_order", F.try_element_at("order", F.lit(1)))
+    ordered = in_order(ordered, "first_position", "first_order", "doc_id")
     return ordered.select("doc_id", "size", "source_size", "target", "taken", "first_position")
 
 

@@ -32,7 +32,8 @@ def library():
 def test_token_counts_match_the_library(spark, library):
     rnd = random.Random(3)
     texts = ODD_TEXTS + ["".join(rnd.choice("ab c\n\t'sdé1$ \xa0") for _ in range(60)) for _ in range(300)]
-    df = frame(spark, [(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int")
+    df = frame(spark, [(i, t, 5) for i, t in enumerate(texts)] * 2, "doc_id long, text string, n_tokens int")
+    assert bpe_count.token_counts(df, tokenizer_path()).count() == 2 * len(texts)
     got = {r["doc_id"]: r for r in bpe_count.token_counts(df, tokenizer_path()).collect()}
     for i, t in enumerate(texts):
         n = len(library.encode(t or "", add_special_tokens=False).ids)
@@ -248,6 +249,79 @@ def test_mixing_targets_and_takes(spark):
     assert mixing.assign(frame(spark, [], "doc_id long, source string, size long")).count() == 0
 
 
+def test_positions_follow_the_integrated_schedules(spark):
+    """Each position against integrating its source's schedule by steps; the order column against all sources' demand."""
+    rnd = random.Random(12)
+    rows = [(i if i % 7 else None, rnd.choice([None, "a", "b", "c", "d"]), rnd.choice([None, 0, 5, 40, 200])) for i in range(400)] + [(1, "a", 7)] * 30 + [(None, None, None)] * 3
+    df = frame(spark, [(*r, "x", "y") for r in rows], "doc_id long, source string, size long, order string, taken string")
+    out = mixing.assign(df)
+    got = out.collect()
+    assert sorted((str(r["doc_id"]), str(r["source"]), r["size"]) for r in got) == sorted((str(k), str(s), n or 0) for k, s, n in rows)
+    names = ["a", "b", "c", "d", None]
+    turn = {s: i % len(mixing.SCHEDULES) for i, s in enumerate(names)}
+    assert len({mixing.SCHEDULES[t] for t in turn.values()} - {mixing.FLAT}) >= 2
+    targets = {r["source"]: r["target"] for r in got}
+    grid = np.linspace(0, 1, 200_001)
+    sums = []
+    for schedule in mixing.SCHEDULES:
+        f = np.interp(grid, *zip(*schedule, strict=True))
+        area = np.concatenate([[0], np.cumsum((f[1:] + f[:-1]) / 2 * np.diff(grid))])
+        sums.append(area / area[-1])
+    parts = {s: [] for s in names}
+    for r in got:
+        for p, o in zip(r["positions"], r["order"], strict=True):
+            parts[r["source"]].append((np.interp(p, grid, sums[turn[r["source"]]]), r["size"]))
+            want = sum(targets[s] * np.interp(p, grid, sums[turn[s]]) for s in names) / sum(targets.values())
+            assert abs(o - want) < 1e-6
+    for s, found in parts.items():
+        # in order of demand, a document's part is that of its middle in the source's stream
+        at = 0
+        for part, n in sorted(found):
+            if n:
+                assert abs(part - (at + n / 2) / targets[s]) < 1e-6
+                at += n
+    assert abs(sum(r["taken"] for r in got) - 1.5 * sum(n or 0 for _, _, n in rows)) <= 5 * 200
+    again = mixing.assign(df.repartition(5))
+    order = lambda x: sorted(map(str, x.select("doc_id", "source", "size", "taken", "positions").collect()))
+    assert order(again) == order(out)
+    rows = [(i, None if i % 3 else i / 400, None if i % 3 else i / 400) for i in range(400)]
+    late = mixing.in_order(frame(spark, rows, "doc_id long, p double, o double"), "p", "o", "doc_id")
+    assert sorted(r["doc_id"] for r in late.collect()) == list(range(400))
+    assert late.select("p", F.spark_partition_id().alias("n")).where("p is null").select("n").distinct().count() == 4
+    assert [r["p"] for r in late.where("p is not null").collect()] == sorted(p for _, p, _ in rows if p is not None)
+
+
+def test_folded_rows_come_back(spark):
+    rows = [(1, "a")] * 9000 + [(2, None)] * 3 + [(None, None)]
+    got = common.unfolded(common.folded(frame(spark, rows, "k long, s string"), "test"))
+    assert Bag((r["k"], r["s"]) for r in got.collect()) == Bag(rows)
+    assert got.select("k", "s", "_copy").distinct().count() == len(rows)
+
+
+def test_packing_of_null_and_repeated_keys(spark):
+    rows = [(None, "same words here", 1)] * 3000 + [(7, "same words here", 2)] * 50 + [(7, "others", 3), (None, None, 4)]
+    got = packing.pack_documents(frame(spark, rows, "doc_id long, text string, offset int"), tokenizer_path(), keep=["doc_id", "offset"]).collect()
+    assert Bag(r["doc_id"] for r in got) == Bag(k for k, _, _ in rows)
+    places = {}
+    for r in got:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for x in places.values():
+        at = 0
+        for offset, n in sorted(x):
+            assert offset == at
+            at += n
+        assert at <= 2048
+    assert len(places) <= -(-sum(r["length"] for r in got) // 2048) + 1
+
+
+def test_files_of_another_kind_are_refused():
+    spec = {"model": {"type": "BPE", "merges": []}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}}
+    bpe_count.check_kind(spec)
+    for odd in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": {"type": "WordPiece"}}, {"added_tokens": [{"content": "x", "lstrip": True}]}, {"model": {"type": "BPE", "ignore_merges": True}}):
+        with pytest.raises(ValueError):
+            bpe_count.check_kind(spec | odd)
+
+
 def test_demand_inverse_follows_the_schedule(spark):
     knots = ((0.0, 0.0), (0.5, 2.0), (1.0, 1.0))
     df = spark.range(0, 101).select((F.col("id") / 100).alias("p")).withColumn("t", mixing.demand_inverse(F.col("p"), knots))

@@ -47,7 +47,8 @@ def test_each_stage(spark, tmp_path):
     mixed = stage(mix, single, "mix")
     assert mixed.columns == columns
     taken = collections.Counter(r[0] for r in rows(mixed))
-    plan = {r["doc_id"]: len(r["positions"]) for r in mixing.assign(single.select("doc_id", "source", word_count(F.col("text")).alias("size"))).collect()}
+    sized = single.select(F.col("doc_id").alias("key"), F.col("source").alias("from"), F.xxhash64("text").alias("own"), word_count(F.col("text")).alias("words"))
+    plan = {r["key"]: len(r["positions"]) for r in mixing.assign(sized, "from", "words", "key").collect()}
     assert taken == collections.Counter({k: n for k, n in plan.items() if n})
 
     packed = pack(spark, mixed.dropDuplicates(["doc_id"]), "")

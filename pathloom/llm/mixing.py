@@ -153,10 +153,12 @@ def in_order(rows: DataFrame, position: str, order: str, *ties: str) -> DataFram
 
     ``order`` is the part of all demand before the position, so that its equal parts are even ranges by
     construction: no sample is drawn, the input isn't computed twice, and reruns cut alike. Rows without a
-    position are dealt out by a hash.
+    position are dealt out by a hash of the row.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = F.coalesce(F.greatest(F.least(F.floor(F.col(order) * parts), F.lit(parts - 1)), F.lit(0)), F.pmod(F.xxhash64(*ties, F.monotonically_increasing_id()), F.lit(parts))).cast("int")
+    whole = [F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    even = F.greatest(F.least(F.floor(F.col(order) * parts), F.lit(parts - 1)), F.lit(0))
+    part = F.when(F.col(order).isNull(), F.pmod(F.xxhash64(*whole), F.lit(parts))).otherwise(even).cast("int")
     return rows.repartitionById(parts, part).sortWithinPartitions(F.col(position).asc_nulls_last(), *ties)
 
 

@@ -199,9 +199,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
 def deduplicated_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """The rows of ``docs`` with their lines deduplicated; those whose every word went with its lines are dropped.
 
-    An n_chars column is made anew. Documents that had no words before stay as they are.
+    An n_chars column is made anew; other columns, of any name, stay. Documents that had no words before, null texts
+    among them, stay as they are. Repeated rows are treated alike; an empty table gives no rows.
     """
-    found = dedup_lines(docs, key, text, min_chars)
-    stays = (F.col("n_exact") + F.col("n_near") == 0) | F.col(text).rlike(WORD_CHAR)
-    out = found.where(stays).select(*docs.columns)
-    return out.withColumn("n_chars", F.length(text).cast("long")) if "n_chars" in docs.columns else out
+    names = docs.columns
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    found = dedup_lines(own, "key", "text", min_chars)
+    stays = (F.col("n_exact") + F.col("n_near") == 0) | F.col("text").rlike(WORD_CHAR)
+    made = {text: F.col("text")} | ({"n_chars": F.length("text").cast("long")} if "n_chars" in names and text != "n_chars" else {})
+    return found.where(stays).select(*[(made[c] if c in made else F.col("row").getField(c)).alias(c) for c in names])

@@ -34,7 +34,7 @@ BLOCK = 1024
 
 
 #: Texts sampled for the order of shingles; a shingle in this many of them counts as frequent; such shingles at most.
-ORDER_TEXTS, FREQUENT, FREQUENT_MOST = 20_000, 3, 200_000
+ORDER_TEXTS, FREQUENT, FREQUENT_MOST = 10_000, 3, 200_000
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -264,14 +264,14 @@ def _shingle_order(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray
 
 
 def _sketches(docs: DataFrame, text: str, shingle: int, similarity: float, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """The input's columns but for the text, and of its set of shingles: _node (a hash), _fp, _size, _bits and _first.
+    """The input's columns but for the text, and of its set of shingles: _node (a hash), _fp, _size, _level, _part and _first.
 
-    Two sets at or above ``similarity`` have a shingle in common that is among the _first of both; _bits
-    holds for each of 256 classes of shingles whether their number is odd.
+    Two sets at or above ``similarity`` have a shingle in common that is among the _first of both; _part holds the shingles
+    whose hash ends in _level zero bits, 32 to 64 of them by expectation, or all where there are fewer.
     """
     keep = [c for c in docs.columns if c != text]
     rows = docs.select(*keep, F.col(text).alias("_text"))
-    schema = T.StructType([*rows.select(*keep).schema, *T.StructType.fromDDL("_node long, _fp long, _size int, _b0 long, _b1 long, _b2 long, _b3 long, _first array<long>")])
+    schema = T.StructType([*rows.select(*keep).schema, *T.StructType.fromDDL("_node long, _fp long, _size int, _level int, _part array<long>, _first array<long>")])
     some, counts = order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,9 +287,10 @@ def _sketches(docs: DataFrame, text: str, shingle: int, similarity: float, order
                     at = np.minimum(np.searchsorted(some, signed), len(some) - 1)
                     rank = np.where(some[at] == signed, counts[at], 0)
                 first = signed[np.lexsort((own, rank))[: n - math.ceil(similarity * n - 1e-9) + 1]]
-                bits = np.packbits(np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256) % 2 == 1).view("<i8").tolist()
-                out.append((int(np.array([xxhash.xxh64_intdigest(own.tobytes(), 7)], np.uint64).view(np.int64)[0]), int(np.array([_majority(hashes)], np.uint64).view(np.int64)[0]), n, *bits, first.tolist()))
-            columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.list_(pa.int64())], strict=True)]
+                level = max(0, n.bit_length() - 6)
+                part = signed[own & np.uint64((1 << level) - 1) == 0]
+                out.append((int(np.array([xxhash.xxh64_intdigest(own.tobytes(), 7)], np.uint64).view(np.int64)[0]), int(np.array([_majority(hashes)], np.uint64).view(np.int64)[0]), n, level, part, first))
+            columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())], strict=True)]
             if out:
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *columns], names=schema.names)
 
@@ -332,48 +333,50 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     Two texts are linked if the Jaccard similarity of their sets of shingles is ``similarity`` or more;
     no such link is lost. Texts with equal sets are one node. Fingerprints within THRESHOLD bits, and the
     smallest node of each shared key, are verified first; then all pairs that share a key, pass the bounds
-    by size and bits, and aren't joined yet. Texts without words are alike.
+    by size and part, and aren't joined yet. Texts without words (null and empty ones) are alike. Null keys are passed over
+    by the smallest key; repeated rows are members each; input columns with the names of the method (a leading underscore,
+    component_id) are left out; an empty table gives no rows.
     """
     if not 0 < similarity <= 1:
         raise ValueError("the similarity is above 0 and at most 1")
-    keep = [c for c in docs.columns if c not in ("component_id", "_node", "_fp", "_size", "_first")]
+    keep = [c for c in docs.columns if c != "component_id" and (not c.startswith("_") or c in (key, text))]
     docs = docs.select(*keep)
     drawn = stored(_sketches(docs.select(*keep, *_own(text)), text, shingle, similarity, _shingle_order(docs, text, shingle)), "sketches")
-    numbers = ["_fp", "_size", "_b0", "_b1", "_b2", "_b3"]
+    numbers = ["_fp", "_size", "_level", "_part"]
     # numbers other than the fingerprint depend on the set; the fingerprint also on how often a shingle stands
     whole = F.struct("_k1", "_k2", *numbers)
     nodes = stored(drawn.groupBy("_node").agg(F.min(whole).alias("_w"), F.min(key).alias("_least")).select("_node", "_w.*", "_least"), "nodes")
     keyed = drawn.select("_node", F.explode("_first").alias("_s"))
-    shared = keyed.groupBy("_s").agg(F.min("_node").alias("_low"), F.max("_node").alias("_high")).where("_low <> _high")
-    keyed = stored(keyed.join(stored(shared, "shared"), "_s").select("_s", "_node", "_low").distinct(), "keyed")
-
-    least = 2 * similarity / (1 + similarity)
+    shared = stored(keyed.groupBy("_s").agg(F.min("_node").alias("_low"), F.max("_node").alias("_high")).where("_low <> _high").select("_s", "_low"), "shared")
+    keyed = stored(keyed.join(small_side(shared), "_s").select("_s", "_node", "_low").distinct(), "keyed")
+    dropped(shared)
 
     def bounded(pairs: DataFrame) -> DataFrame:
-        """Pairs that can reach the similarity by their sizes and bits; each differing bit is a shingle of one side only."""
+        """Pairs that can reach the similarity by their sizes and parts."""
         a, b = nodes.select(*[F.col(c).alias(f"{c}a") for c in ("_node", *numbers)]), nodes.select(*[F.col(c).alias(f"{c}b") for c in ("_node", *numbers)])
-        p = pairs.join(a, F.col("_a") == F.col("_nodea")).join(b, F.col("_b") == F.col("_nodeb"))
-        return p.where(_may(least, similarity)).select("_a", "_b")
+        sized = pairs.join(a.select("_nodea", "_sizea"), F.col("_a") == F.col("_nodea")).join(b.select("_nodeb", "_sizeb"), F.col("_b") == F.col("_nodeb")).where(_near_sizes(similarity)).select("_a", "_b")
+        p = sized.join(a, F.col("_a") == F.col("_nodea")).join(b, F.col("_b") == F.col("_nodeb"))
+        return p.where(_may(similarity)).select("_a", "_b")
 
-    prints = nodes.groupBy("_fp").agg(F.min("_node").alias("_low"))
+    prints = stored(nodes.groupBy("_fp").agg(F.min("_node").alias("_low")), "fingerprints")
     same = nodes.join(prints, "_fp").select(F.col("_low").alias("_a"), F.col("_node").alias("_b"))
-    near = links(stored(prints.select("_fp"), "fingerprints"))
     p, q = prints.select(F.col("_fp").alias("_fa"), F.col("_low").alias("_a")), prints.select(F.col("_fp").alias("_fb"), F.col("_low").alias("_b"))
-    near = near.select(F.col("_a").alias("_fa"), F.col("_b").alias("_fb")).join(p, "_fa").join(q, "_fb").select("_a", "_b")
+    near = links(prints.select("_fp")).select(F.col("_a").alias("_fa"), F.col("_b").alias("_fb")).join(p, "_fa").join(q, "_fb").select("_a", "_b")
     stars = keyed.select(F.col("_low").alias("_a"), F.col("_node").alias("_b"))
     pairs = same.unionByName(near).unionByName(stars).where("_a <> _b").select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
-    joined = _alike(stored(bounded(pairs), "pairs"), docs, nodes.select("_node", "_k1", "_k2"), text, shingle, similarity)
-    roots = components(joined)
+    pairs = stored(bounded(pairs), "pairs")
+    joined = _alike(pairs, docs, nodes.select("_node", "_k1", "_k2"), text, shingle, similarity)
+    roots = stored(components(joined), "roots")
 
     # keys under which nodes of several classes stand: all pairs of different classes
     k, r = keyed.alias("k"), roots.alias("r")
     classed = k.join(r, F.col("k._node") == F.col("r._node"), "left").select("k._s", F.col("k._node").alias("_node"), F.coalesce("r._root", "k._node").alias("_root"))
     open_keys = classed.groupBy("_s").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high")).where("_low <> _high").select("_s")
-    left = stored(classed.join(open_keys, "_s").join(nodes.select("_node", *numbers), "_node"), "open")
-    a, b = left.select("_s", *[F.col(c).alias(f"{c}a") for c in ("_node", "_root", *numbers)]), left.select("_s", *[F.col(c).alias(f"{c}b") for c in ("_node", "_root", *numbers)])
-    rest = a.join(b, "_s").where("_nodea < _nodeb and _roota <> _rootb").where(_may(least, similarity)).select(F.col("_nodea").alias("_a"), F.col("_nodeb").alias("_b")).distinct()
-    rest = rest.join(pairs, ["_a", "_b"], "left_anti")
-    more = _alike(stored(rest, "rest"), docs, nodes.select("_node", "_k1", "_k2"), text, shingle, similarity)
+    left = stored(classed.join(open_keys, "_s").join(nodes.select("_node", "_size"), "_node"), "open")
+    a, b = left.select("_s", *[F.col(c).alias(f"{c}a") for c in ("_node", "_root", "_size")]), left.select("_s", *[F.col(c).alias(f"{c}b") for c in ("_node", "_root", "_size")])
+    rest = a.join(b, "_s").where("_nodea < _nodeb and _roota <> _rootb").where(_near_sizes(similarity)).select(F.col("_nodea").alias("_a"), F.col("_nodeb").alias("_b")).distinct()
+    rest = stored(bounded(rest.join(pairs, ["_a", "_b"], "left_anti")), "rest")
+    more = _alike(rest, docs, nodes.select("_node", "_k1", "_k2"), text, shingle, similarity)
     if not more.isEmpty():
         roots = components(joined.unionByName(more))
 
@@ -381,14 +384,36 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     rooted = n.join(r, F.col("n._node") == F.col("r._node"), "left").select(F.col("n._node").alias("_node"), "_least", F.coalesce("r._root", "n._node").alias("_root"))
     smallest = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
     named = rooted.join(smallest, "_root").select(F.col("_node").alias("_n"), "component_id")
-    return drawn.join(named, F.col("_node") == F.col("_n")).select(*[c for c in keep if c != text], "component_id")
+    out = stored(drawn.join(named, F.col("_node") == F.col("_n")).select(*[c for c in keep if c != text], "component_id"), "similar")
+    for table in (drawn, nodes, keyed, prints, pairs, left, rest, joined, more):
+        dropped(table)
+    return out
 
 
-def _may(least: float, similarity: float) -> Column:
-    """Whether two sets, by their sizes and bits, can have the similarity."""
+def _near_sizes(similarity: float) -> Column:
+    """Whether sets of these sizes can have the similarity."""
     a, b = F.col("_sizea"), F.col("_sizeb")
-    apart = sum((F.bit_count(F.col(f"_b{i}a").bitwiseXOR(F.col(f"_b{i}b"))) for i in range(1, 4)), F.bit_count(F.col("_b0a").bitwiseXOR(F.col("_b0b"))))
-    return (F.least(a, b) >= F.lit(similarity - 1e-9) * F.greatest(a, b)) & (apart <= F.lit(1 - least + 1e-9) * (a + b))
+    return F.least(a, b) >= F.lit(similarity - 1e-9) * F.greatest(a, b)
+
+
+#: Standard deviations by which the similarity of two sets' parts may be below the one that is asked for.
+DEVIATIONS = 5.0
+
+
+def _may(similarity: float) -> Column:
+    """Whether two sets, by the parts of them that are held, can have the similarity.
+
+    Parts at level 0 are the sets themselves. Else a part of m shingles gives the similarity up to the
+    square root of s (1 - s) / m; five of these below it a pair isn't taken any further, which a pair at the similarity
+    itself meets in one of three million cases.
+    """
+    level = F.greatest("_levela", "_levelb")
+    cut = lambda part: F.filter(part, lambda x: x.bitwiseAND(F.pow(F.lit(2.0), level).cast("long") - 1) == 0)
+    a, b = cut(F.col("_parta")), cut(F.col("_partb"))
+    both = F.size(F.array_intersect(a, b))
+    either = F.size(a) + F.size(b) - both
+    slack = F.when(level > 0, F.lit(DEVIATIONS) * F.sqrt(F.lit(similarity * (1 - similarity)) * either)).otherwise(F.lit(1e-6))
+    return both >= F.lit(similarity) * either - slack
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
@@ -396,19 +421,20 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
 
     Classes are by fingerprints within ``threshold``, or with ``similarity`` by the exact Jaccard similarity.
 
-    Rows with a null key stay only where their class has no other key, all of them. What goes is stored and counted:
+    Rows with a null key stay only where their class has no other key, all of them. Null and empty texts are alike.
+    Columns of any name are passed on as they are; an empty table gives no rows. What goes is stored and counted:
     if it is few rows it is broadcast, else the texts are shuffled once.
     """
     names = docs.columns
-    d = docs.select(*names, F.xxhash64(text).alias("_own"))
-    d_text = d.select(key, text, "_own")
-    found = stored(near_duplicates(d_text, key, text, threshold, shingle) if similarity is None else similar(d_text, key, text, similarity, shingle), "classes")
-    first = F.col(key).eqNullSafe(F.col("component_id"))
-    gone = stored(found.where(~first).select(F.col(key).alias("_key"), F.col("_own").alias("_hash")).distinct(), "gone")
-    again = stored(found.where(first).groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 and _key is not null"), "again")
-    kept = d.join(small_side(gone), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_hash")), "left_anti")
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("own"))
+    slim = d.select("key", "text", "own")
+    found = stored(near_duplicates(slim, "key", "text", threshold, shingle) if similarity is None else similar(slim, "key", "text", similarity, shingle), "classes")
+    first = F.col("key").eqNullSafe(F.col("component_id"))
+    gone = stored(found.where(~first).select(F.col("key").alias("gone_key"), F.col("own").alias("gone_own")).distinct(), "gone")
+    again = stored(found.where(first).groupBy(F.col("key").alias("again_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 and again_key is not null"), "again")
+    dropped(found)
+    kept = d.join(small_side(gone), F.col("key").eqNullSafe(F.col("gone_key")) & (F.col("own") == F.col("gone_own")), "left_anti")
     if again.isEmpty():
-        return kept.select(*names)
-    same = F.col(key) == F.col("_key")
-    twice = small_side(again)
-    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([key])).select(*names)
+        return kept.select("row.*")
+    twice, same = small_side(again), F.col("key") == F.col("again_key")
+    return kept.join(twice, same, "left_anti").select("row.*").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["key"]).select("row.*"))

@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 
 from pathloom.llm.common import small_side, spread, stored
 
-#: Compressed bytes after which a file is closed; payload bytes of a shard at least; shards at most.
-ROLL_BYTES, SHARD_BYTES, SHARDS = 1 << 30, 32 << 20, 8192
+#: Payload bytes of a shard at least; shards at most.
+SHARD_BYTES, SHARDS = 32 << 20, 65_536
+#: A file is closed after this share of a shard's mean payload bytes, compressed, and so many bytes at least.
+ROLL_SHARE, ROLL_LEAST = 16, 1 << 20
 #: Sampled keys per shard from which the bounds are taken.
-SAMPLE_KEYS = 50
+SAMPLE_KEYS = 20
 LEVEL = 6
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -114,53 +116,74 @@ class Roller:
 MANIFEST = "shard int, file string, records long, bytes long, payload_bytes long, sha1 string"
 
 
-def bounds(facts: DataFrame, key: str, shard_bytes: int = SHARD_BYTES, shards: int = SHARDS) -> np.ndarray:
-    """First keys of all shards but the first: quantiles of a hash sample of the keys, the same for the same rows."""
+def bounds(facts: DataFrame, key: str, shard_bytes: int = SHARD_BYTES, shards: int = SHARDS) -> tuple[np.ndarray, int]:
+    """First keys of all shards but the first, and the mean payload bytes of a shard.
+
+    The keys are quantiles by bytes of a hash sample of the keys, the same for the same rows. The sample grows with the
+    number of shards only.
+    """
     n, total = facts.agg(F.count(F.lit(1)), F.sum("_size")).first()
     wanted = int(min(shards, max(1, -(-(total or 0) // shard_bytes)), max(1, n)))
+    mean = (total or 0) // wanted
     if wanted == 1:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), mean
     rate = min(1.0, wanted * SAMPLE_KEYS / n)
-    sample = np.sort(facts.where(F.col(key).isNotNull() & (spread(F.col(key), F.lit("bounds")) < rate)).select(key).toPandas()[key].to_numpy(np.int64))
-    return np.unique(sample[[i * len(sample) // wanted for i in range(1, wanted)]]) if len(sample) else np.zeros(0, np.int64)
+    sample = facts.where(F.col(key).isNotNull() & (spread(F.col(key), F.lit("bounds")) < rate)).select(key, "_size").toPandas().sort_values([key, "_size"])
+    keys, bytes_before = sample[key].to_numpy(np.int64), sample["_size"].cumsum().to_numpy(np.int64)
+    if not len(keys):
+        return np.zeros(0, np.int64), mean
+    at = np.searchsorted(bytes_before, [bytes_before[-1] * i // wanted for i in range(1, wanted)], side="right")
+    return np.unique(keys[np.minimum(at, len(keys) - 1)]), mean
 
 
-def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, roll_bytes: int | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes the archives and the manifest under ``folder``; returns the manifest.
 
     Null payloads are empty ones. Of records with equal payloads of at least ``min_bytes`` the one with
     the largest key is the response (repeated rows with that key are responses too) and the others are
-    revisits; null keys count as smaller than all others. Keys of null go to the first shard. Extra
-    columns are left out. A task that is run again writes the same files; an empty table gives an empty
-    manifest. ``folder`` must be one that all executors reach through pyarrow's file systems.
+    revisits; null keys count as smaller than all others and are dealt to shards by their digests. A file is closed
+    after ``roll_bytes`` compressed bytes, by default a sixteenth of a shard's payload. Extra columns are left out. A
+    task that is run again writes the same files; an empty table gives an empty manifest. Payloads are shuffled once,
+    to their shards; which of them are revisits is found by keys and digests alone and joined there, so that a payload
+    that a third of all pages have is no hot spot. ``folder`` must be one that all executors reach through
+    pyarrow's file systems.
     """
     spark = pages.sparkSession
     body = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.select(F.col(key).cast("long").alias("_key"), F.col(url).cast("string").alias("_url"), body.alias("_body"), F.sha1(body).alias("_sha"))
     facts = stored(rows.select("_key", "_sha", F.octet_length("_body").cast("long").alias("_size")), "facts")
-    twice = stored(facts.where(F.col("_size") >= min_bytes).groupBy("_sha").agg(F.max("_key").alias("_kept"), F.count(F.lit(1)).alias("_n")).where("_n > 1 and _kept is not null").select("_sha", "_kept"), "twice")
-    first = bounds(facts, "_key", shard_bytes)
-    cuts = first.tolist()
+    long_enough = facts.where(F.col("_size") >= min_bytes)
+    twice = stored(long_enough.groupBy("_sha").agg(F.max("_key").alias("_kept"), F.count(F.lit(1)).alias("_n")).where("_n > 1 and _kept is not null").select("_sha", "_kept"), "twice")
+    first, mean = bounds(facts, "_key", shard_bytes)
+    cuts, roll = first.tolist(), roll_bytes or max(ROLL_LEAST, mean // ROLL_SHARE)
 
     @F.pandas_udf("int")
     def shard(k: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(np.array(cuts, np.int64), k.fillna(-(2**63)).to_numpy(np.int64), side="right").astype(np.int32))
 
-    place = shard("_key") if cuts else F.lit(0)
-    joined = rows.join(small_side(twice), "_sha", "left")
-    joined = joined.select(place.alias("_shard"), "_key", "_url", "_body", F.when(~F.col("_kept").eqNullSafe(F.col("_key")), F.col("_kept")).alias("_refers"))
-    dealt = joined.repartitionById(len(cuts) + 1, F.col("_shard")).sortWithinPartitions("_shard", "_key", "_url", "_body")
+    spare = F.pmod(F.xxhash64("_sha"), F.lit(len(cuts) + 1)).cast("int")
+    place = F.when(F.col("_key").isNull(), spare).otherwise(shard("_key")) if cuts else F.lit(0)
+    # a mark goes before the records of its key and digest
+    marks = long_enough.select("_key", "_sha").distinct().join(small_side(twice), "_sha").where(~F.col("_kept").eqNullSafe(F.col("_key")))
+    marks = marks.select(place.alias("_shard"), "_key", "_sha", F.lit(0).alias("_kind"), F.lit(None).cast("string").alias("_url"), F.lit(None).cast("string").alias("_body"), "_kept")
+    records = rows.select(place.alias("_shard"), "_key", "_sha", F.lit(1).alias("_kind"), "_url", "_body", F.lit(None).cast("long").alias("_kept"))
+    dealt = marks.unionByName(records).repartitionById(len(cuts) + 1, F.col("_shard")).sortWithinPartitions("_shard", "_key", "_sha", "_kind", "_url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller: Roller | None = None
+        mark: tuple | None = None
         done: list[dict] = []
         for b in batches:
-            for n, k, u, x, refers in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), b.column(4).to_pylist(), strict=True):
+            for n, k, sha, is_record, u, x, refers in zip(*[b.column(i).to_pylist() for i in range(5)], b.column(5), b.column(6).to_pylist(), strict=True):
+                if not is_record:
+                    mark = (k, sha, refers)
+                    continue
+                refers = mark[2] if mark and mark[:2] == (k, sha) else None
                 if roller is None or roller.shard != n:
                     if roller:
                         roller.close()
                         done += roller.done
-                    roller = Roller(folder, n, roll_bytes)
+                    roller = Roller(folder, n, roll)
                 data = x.as_py().encode("utf-8", "surrogatepass")
                 kind = "response" if refers is None else "revisit"
                 roller.write(record(kind, k, u, data, digest32(data), len(data), refers), len(data))
@@ -221,10 +244,11 @@ def parse(stream, size: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]
 def read_back(spark: SparkSession, folder: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record in the manifest's files.
 
-    Block digests, payload digests and lengths are checked against the bytes; a mismatch is an error.
+    Block digests, payload digests and lengths are checked against the bytes; a mismatch is an error. An empty manifest
+    gives no rows.
     """
     files = manifest(spark, folder).select("file")
-    n = max(1, min(files.count(), 4096))
+    n = max(1, min(files.count(), SHARDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs

@@ -29,6 +29,7 @@ def test_rotation(spark):
     names = ["ann", "bob", None, "<|x|>"]
     rows = [(rnd.choice([None, 1, 2, 3]), rnd.choice([None, *range(9)]), rnd.choice(names), rnd.choice([None, "", "hi <|end|>", "é" * 40, "long " * 400]), 1) for _ in range(120)]
     rows += [(9, i, names[i % 3], f"turn {i}", 1) for i in range(3000)] + [(9, 5, "ann", "again", 1)] * 2
+    rows += [(10, None, "ann", f"null turn {i}", 1) for i in range(40)] + [(11, i if i else 10**15, "bob", "x" * 50_000 if i == 3 else f"outlier {i}", 1) for i in range(2000)] + [(12, -(10**17), "ann", "first", 1), (12, 10**17, "bob", "last", 1)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, start int")
     got = {}
     for r in sorted(rotate(df).collect(), key=lambda r: r["start"]):

@@ -257,12 +257,12 @@ def band_keys(own: np.ndarray) -> np.ndarray:
 def _sketches(docs: DataFrame, text: str, shingle: int) -> DataFrame:
     """The input's columns but for the text, and of its set of shingles: _node (a hash), _fp, _size, _level, _part and _keys.
 
-    _part holds the shingles whose hash ends in _level zero bits, 32 to 64 of them by expectation, or all where
-    there are fewer.
+    _part holds the low halves of the shingles' hashes that end in _level zero bits, 128 to 256 of them by expectation, or all where
+    there are fewer (_level 0).
     """
     keep = [c for c in docs.columns if c != text]
     rows = docs.select(*keep, F.col(text).alias("_text"))
-    schema = T.StructType([*rows.select(*keep).schema, *T.StructType.fromDDL("_node long, _fp long, _size int, _level int, _part array<long>, _keys array<long>")])
+    schema = T.StructType([*rows.select(*keep).schema, *T.StructType.fromDDL("_node long, _fp long, _size int, _level int, _part array<int>, _keys array<long>")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -270,11 +270,11 @@ def _sketches(docs: DataFrame, text: str, shingle: int) -> DataFrame:
             for x in b.column(len(keep)):
                 hashes = shingles(x.as_py(), shingle)
                 own = np.unique(hashes)
-                level = max(0, len(own).bit_length() - 6)
-                part = own[own & np.uint64((1 << level) - 1) == 0].view(np.int64)
+                level = max(0, len(own).bit_length() - 8)
+                part = np.unique(own[own & np.uint64((1 << level) - 1) == 0].astype(np.uint32)).view(np.int32)
                 names = np.array([xxhash.xxh64_intdigest(own.tobytes(), 7), _majority(hashes)], np.uint64).view(np.int64).tolist()
                 out.append((*names, len(own), level, part, band_keys(own)))
-            columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())], strict=True)]
+            columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())], strict=True)]
             if out:
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *columns], names=schema.names)
 
@@ -339,11 +339,16 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     centres = keyed.join(met, "_node").groupBy("_s").agg(F.max(F.struct("_met", "_node")).alias("_c")).select("_s", F.col("_c._node").alias("_low"))
 
     def bounded(pairs: DataFrame) -> DataFrame:
-        """Pairs that can reach the similarity by their sizes and parts."""
-        a, b = nodes.select(*[F.col(c).alias(f"{c}a") for c in ("_node", *numbers)]), nodes.select(*[F.col(c).alias(f"{c}b") for c in ("_node", *numbers)])
-        sized = pairs.join(a.select("_nodea", "_sizea"), F.col("_a") == F.col("_nodea")).join(b.select("_nodeb", "_sizeb"), F.col("_b") == F.col("_nodeb")).where(_near_sizes(similarity)).select("_a", "_b")
-        p = sized.join(a, F.col("_a") == F.col("_nodea")).join(b, F.col("_b") == F.col("_nodeb"))
-        return p.where(_may(similarity)).select("_a", "_b")
+        """(_a, _b, _sure): pairs that can reach the similarity by their sizes and parts, and whether the parts are all there is."""
+        asked = pairs.select(F.col("_a").alias("_node")).unionByName(pairs.select(F.col("_b").alias("_node"))).distinct()
+        held = stored(nodes.select("_node", "_size", "_level", "_part").join(asked, "_node", "left_semi"), "held")
+        a, b = held.select(*[F.col(c).alias(f"{c}a") for c in held.columns]), held.select(*[F.col(c).alias(f"{c}b") for c in held.columns])
+        p = pairs.join(a, F.col("_a") == F.col("_nodea")).join(b, (F.col("_b") == F.col("_nodeb")) & _near_sizes(similarity) & _may(similarity))
+        return p.select("_a", "_b", (F.greatest("_levela", "_levelb") == 0).alias("_sure"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        rest = _alike(pairs.where("not _sure").select("_a", "_b"), docs, nodes.select("_node", "_k1", "_k2"), text, shingle, similarity)
+        return stored(pairs.where("_sure").select("_a", "_b").unionByName(rest), "verified")
 
     prints = stored(nodes.groupBy("_fp").agg(F.min("_node").alias("_low")), "fingerprints")
     same = nodes.join(prints, "_fp").select(F.col("_low").alias("_a"), F.col("_node").alias("_b"))
@@ -352,18 +357,17 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     stars = keyed.join(centres, "_s").select(F.col("_low").alias("_a"), F.col("_node").alias("_b"))
     pairs = same.unionByName(near).unionByName(stars).where("_a <> _b").select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
     pairs = stored(bounded(pairs), "pairs")
-    joined = _alike(pairs, docs, nodes.select("_node", "_k1", "_k2"), text, shingle, similarity)
+    joined = verified(pairs)
     roots = stored(components(joined), "roots")
 
-    # keys under which nodes of several classes stand: all pairs of different classes
+    # bands under which nodes of several classes stand: these are compared by their parts, band by band, in blocks
     k, r = keyed.alias("k"), roots.alias("r")
     classed = k.join(r, F.col("k._node") == F.col("r._node"), "left").select("k._s", F.col("k._node").alias("_node"), F.coalesce("r._root", "k._node").alias("_root"))
-    open_keys = classed.groupBy("_s").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high")).where("_low <> _high").select("_s")
-    left = stored(classed.join(open_keys, "_s").join(nodes.select("_node", "_size"), "_node"), "open")
-    a, b = left.select("_s", *[F.col(c).alias(f"{c}a") for c in ("_node", "_root", "_size")]), left.select("_s", *[F.col(c).alias(f"{c}b") for c in ("_node", "_root", "_size")])
-    rest = a.join(b, "_s").where("_nodea < _nodeb and _roota <> _rootb").where(_near_sizes(similarity)).select(F.col("_nodea").alias("_a"), F.col("_nodeb").alias("_b")).distinct()
-    rest = stored(bounded(rest.join(pairs, ["_a", "_b"], "left_anti")), "rest")
-    more = _alike(rest, docs, nodes.select("_node", "_k1", "_k2"), text, shingle, similarity)
+    open_keys = classed.groupBy("_s").agg(F.min("_root").alias("_l"), F.max("_root").alias("_h"), F.count(F.lit(1)).alias("_n")).where("_l <> _h").select("_s", "_n")
+    left = stored(classed.join(open_keys, "_s"), "open")
+    close = stored(_close(left.join(nodes.select("_node", "_size", "_level", "_part"), "_node"), similarity).distinct(), "close")
+    rest = stored(close.join(pairs.select("_a", "_b"), ["_a", "_b"], "left_anti"), "rest")
+    more = verified(rest)
     if not more.isEmpty():
         roots = components(joined.unionByName(more))
 
@@ -372,11 +376,98 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     smallest = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
     named = rooted.join(smallest, "_root").select(F.col("_node").alias("_n"), "component_id")
     out = stored(drawn.join(named, F.col("_node") == F.col("_n")).select(*[c for c in keep if c != text], "component_id"), "similar")
-    for table in (drawn, nodes, keyed, prints, pairs, left, rest, joined, more):
+    for table in (drawn, nodes, keyed, prints, pairs, left, close, rest, joined, more):
         dropped(table)
     return out
 
 
+#: Nodes of a band in a block.
+CLOSE_BLOCK = 512
+
+
+def _close(rows: DataFrame, similarity: float, block: int = CLOSE_BLOCK) -> DataFrame:
+    """(_a, _b, _sure): pairs of nodes of a band, of different classes, that can have the similarity by their parts.
+
+    ``rows`` has (_s, _n: the band's nodes, _node, _root, _size, _level, _part). A band's nodes are cut by hash into
+    blocks, and each pair of blocks is compared in its own task. Where the parts are the sets themselves, the pairs that
+    have the similarity are thinned to a spanning set; others are handed on to be verified.
+    """
+    many = F.ceil(F.col("_n") / block).cast("int")
+    mine = F.pmod(F.xxhash64("_node"), F.col("_many")).cast("int")
+    dealt = rows.withColumn("_many", many).withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_many") - 1)))
+    place = ["_s", "_i", "_j"]
+    dealt = dealt.select("_s", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"), "_mine", "_node", "_root", "_size", "_level", "_part")
+    cells = dealt.repartition(*place).sortWithinPartitions(*place)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        at = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            found = _compare(held, similarity) if len(held) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), [pa.int64(), pa.int64(), pa.bool_()], strict=True)], names=["_a", "_b", "_sure"])
+
+        for b in batches:
+            numbers = [b.column(i).to_pylist() for i in range(8)]
+            ends, flat = b.column(8).offsets.to_numpy(), b.column(8).values.to_numpy(zero_copy_only=False)
+            for i, (s, x, y, *row) in enumerate(zip(*numbers, strict=True)):
+                if at != (s, x, y):
+                    yield from done()
+                    at, held = (s, x, y), []
+                held.append((*row, flat[ends[i] : ends[i + 1]]))
+        yield from done()
+
+    return cells.mapInArrow(run, "_a long, _b long, _sure boolean")
+
+
+def _compare(rows: list[tuple], similarity: float) -> list[tuple[int, int, bool]]:
+    """The pairs of one cell; rows are (block, node, class, size, level, part)."""
+    block, node, root, size, level = (np.array(x) for x in list(zip(*rows, strict=True))[:5])
+    out: list[tuple[int, int, bool]] = []
+    for step in np.unique(level).tolist():
+        at = np.flatnonzero((level == step) | (level == step - 1))
+        parts = [p if level[i] == step else p[p & ((1 << step) - 1) == 0] for i in at.tolist() for p in (rows[i][5],)]
+        n = np.array([len(p) for p in parts], np.float32)
+        who, flat = np.repeat(np.arange(len(at)), n.astype(np.int64)), np.concatenate(parts)
+        _, names, counts = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = counts[names] > 1
+        _, names = np.unique(names[shared], return_inverse=True)
+        who, both = who[shared], np.zeros((len(at), len(at)), np.float32)
+        order = np.argsort(names, kind="stable")
+        who, names = who[order], names[order]
+        for low in range(0, int(names[-1]) + 1 if len(names) else 0, 4096):
+            a, b = np.searchsorted(names, [low, low + 4096])
+            table = np.zeros((len(at), 4096), np.float32)
+            table[who[a:b], names[a:b] - low] = 1
+            both += table @ table.T
+        either = n[:, None] + n[None, :] - both
+        slack = DEVIATIONS * np.sqrt(similarity * (1 - similarity) * either) if step else 0.0
+        z, c, own, blocks = size[at], root[at], level[at], block[at]
+        fits = (both >= similarity * either - slack - 1e-4) & (c[:, None] != c[None, :]) & (np.minimum(z[:, None], z[None, :]) >= (similarity - 1e-9) * np.maximum(z[:, None], z[None, :]))
+        fits &= (own[:, None] == step) | (own[None, :] == step)
+        if len(set(blocks.tolist())) > 1:
+            fits &= blocks[:, None] != blocks[None, :]
+        i, j = np.nonzero(np.triu(fits, 1))
+        a, b = node[at[i]], node[at[j]]
+        pairs = zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), i.tolist(), j.tolist(), strict=True)
+        if step:
+            out += [(x, y, False) for x, y, _, _ in pairs]
+            continue
+        parent = list(range(len(at)))
+
+        def top(k: int, parent: list[int] = parent) -> int:
+            while parent[k] != k:
+                parent[k] = k = parent[parent[k]]
+            return k
+
+        for x, y, k, m in pairs:
+            if (k := top(k)) != (m := top(m)):
+                parent[max(k, m)] = min(k, m)
+                out.append((x, y, True))
+    return out
+
+
 def _near_sizes(similarity: float) -> Column:
     """Whether sets of these sizes can have the similarity."""
     a, b = F.col("_sizea"), F.col("_sizeb")
@@ -395,7 +486,7 @@ def _may(similarity: float) -> Column:
     itself meets in one of three million cases.
     """
     level = F.greatest("_levela", "_levelb")
-    cut = lambda part: F.filter(part, lambda x: x.bitwiseAND(F.pow(F.lit(2.0), level).cast("long") - 1) == 0)
+    cut = lambda part: F.filter(part, lambda x: x.bitwiseAND(F.pow(F.lit(2.0), level).cast("int") - 1) == 0)
     a, b = cut(F.col("_parta")), cut(F.col("_partb"))
     both = F.size(F.array_intersect(a, b))
     either = F.size(a) + F.size(b) - both

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from urllib.parse import urljoin
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,14 +66,65 @@ def url_sequence(urls: Column) -> Column:
     return F.array_join(drop_repeats(F.transform(urls, normalise_url)), ARROW)
 
 
-def _join_relative(base: Column, href: Column) -> Column:
-    """RFC 3986 join in Arrow batches."""
+# Schemes whose references may be relative; others give the reference itself.
+JOINABLE = ["", "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "https", "shttp", "mms", "prospero", "rtsp", "rtsps", "rtspu", "sftp", "svn", "svn+ssh", "ws", "wss"]
 
-    @F.pandas_udf("string")
-    def join(b: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else urljoin(x, y) for x, y in zip(b, h, strict=True)])
 
-    return join(base, href)
+def _params(url: Column) -> Column:
+    """The ;parameters of the last path segment, without the semicolon."""
+    return F.regexp_extract(_path_and_params(url), r"(?s)^(?:.*/)?[^;/]*;([^/]*)$", 1)
+
+
+def _query(url: Column) -> Column:
+    return F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1)
+
+
+def _without_dots(segments: Column) -> Column:
+    """A path of its segments, . and .. carried out; empty segments within go."""
+    last = F.size(segments) - 1
+    kept = F.filter(segments, lambda x, i: (x != "") | (i == 0) | (i == last))
+    walked = F.aggregate(kept, F.array().cast("array<string>"), lambda out, x: F.when(x == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).when(x == ".", out).otherwise(F.array_append(out, x)))
+    ended = F.when(F.element_at(segments, -1).isin(".", ".."), F.array_append(walked, F.lit(""))).otherwise(walked)
+    return F.coalesce(present(F.array_join(ended, "/")), F.lit("/"))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def join(base: Column, reference: Column) -> Column:
+    """A reference resolved on a base URL by RFC 3986, as a browser follows a link; null if one of them is."""
+    ref = F.regexp_replace(F.regexp_replace(reference, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+
+    def parts(x: Column) -> Column:
+        rest = x["rest"]
+        return F.struct(
+            x["base"].alias("base"), x["given"].alias("given"), x["ref"].alias("ref"), rest.alias("rest"), scheme(x["ref"]).alias("scheme"), path(rest).alias("path"), _params(rest).alias("params"), _query(rest).alias("query"),
+            scheme(x["base"]).alias("base_scheme"), authority(x["base"]).alias("host"), path(x["base"]).alias("base_path"), _params(x["base"]).alias("base_params"), F.split(path(x["base"]), "/").alias("up"),
+        )
+
+    def whole(x: Column) -> Column:
+        up, host = x["up"], x["host"]
+        folder = F.when(F.element_at(up, -1) != "", F.slice(up, F.lit(1), F.size(up) - 1)).otherwise(up)
+        segments = F.when(x["path"].startswith("/"), F.split(x["path"], "/")).otherwise(F.concat(folder, F.split(x["path"], "/")))
+        empty = (x["path"] == "") & (x["params"] == "")
+        params = F.when(empty, x["base_params"]).otherwise(x["params"])
+        query = F.when(empty & (x["query"] == ""), _query(x["base"])).otherwise(x["query"])
+        after = lambda mark, c: F.when(c != "", F.concat(F.lit(mark), c)).otherwise("")
+        tail = F.concat(after(";", params), after("?", query), after("#", F.regexp_extract(x["rest"], r"(?s)#(.*)$", 1)))
+        named = F.when(x["base_scheme"] != "", F.concat(x["base_scheme"], F.lit(":"))).otherwise("")
+
+        def full(where: Column) -> Column:
+            rooted = F.when((host != "") & (where != "") & ~where.startswith("/"), F.concat(F.lit("/"), where)).otherwise(where)
+            return F.concat(named, F.when((host != "") | ((named != "") & rooted.startswith("/")), F.concat(F.lit("//"), host)).otherwise(""), rooted, tail)
+
+        other = (x["scheme"] != "") & (x["scheme"] != x["base_scheme"])
+        as_it_is = (x["base"] == "") | other | ~x["base_scheme"].isin(JOINABLE)
+        return F.when(as_it_is, x["given"]).when(x["rest"].startswith("//"), F.concat(named, x["rest"])).otherwise(bound(F.when(empty, x["base_path"]).otherwise(_without_dots(segments)), full))
+
+    given = F.struct(base.alias("base"), reference.alias("given"), ref.alias("ref"), F.regexp_replace(ref, _SCHEME, "").alias("rest"))
+    return F.when(base.isNotNull() & reference.isNotNull(), bound(bound(given, parts), whole))
 
 
 def link_href(target: str) -> Column:
@@ -84,26 +134,20 @@ def link_href(target: str) -> Column:
     return F.when(ok, href)
 
 
-def resolve(href: Column, current: Column, relative: bool = True) -> Column:
-    """Absolute references as they are, root-relative ones on the current origin, others by RFC 3986.
-
-    Only general relative references need Python; with ``relative=False`` they are null and the
-    expression stays in the JVM.
-    """
-    out = F.when(href.rlike("^https?://"), href).when(href.startswith("/"), F.concat(scheme(current), F.lit("://"), authority(current), href))
-    return out.otherwise(_join_relative(current, href)) if relative else out
+def resolve(href: Column, current: Column) -> Column:
+    """Absolute references as they are, root-relative ones on the current origin, others by RFC 3986."""
+    return F.when(href.rlike("^https?://"), href).when(href.startswith("/"), F.concat(scheme(current), F.lit("://"), authority(current), href)).otherwise(join(current, href))
 
 
-def is_link_nav(target: str = "target", url: str = "url", relative: bool = True) -> Column:
+def is_link_nav(target: str = "target", url: str = "url") -> Column:
     """Whether a click's target is a link to another page; an unknown current page counts as another."""
     href, current = link_href(target), F.coalesce(F.col(url), F.lit(""))
-    return F.when(href.isNull(), False).when(current == "", True).otherwise(F.coalesce(path(resolve(href, current, relative)) != path(current), F.lit(False)))
+    return F.when(href.isNull(), False).when(current == "", True).otherwise(F.coalesce(path(resolve(href, current)) != path(current), F.lit(False)))
 
 
-def link_destination(target: str = "target", url: str = "url", relative: bool = True) -> Column:
-    """Where a link click leads if that is another page, else null."""
-    dest = resolve(link_href(target), F.coalesce(F.col(url), F.lit("")), relative)
-    return F.when(is_link_nav(target, url, relative), dest)
+def link_destination(target: str = "target", url: str = "url") -> Column:
+    """Where a link leads, the same page included; null for targets that aren't links."""
+    return resolve(link_href(target), F.coalesce(F.col(url), F.lit("")))
 
 
 def escape_regex(s: Column) -> Column:

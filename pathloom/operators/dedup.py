@@ -11,18 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pathloom.functions.url import path, present
+from pathloom.operators.flows import action_text
 from pathloom.schema import FINGERPRINT_SKIP
 
 STRATEGIES = ("full", "smart", "lean", "modular")
 
 
-def next_significant(events: Column, i: Column) -> Column:
-    """Type of the next event that is a navigation or isn't passed over."""
-    later = F.slice(events, i + 2, F.greatest(F.size(events) - i - 1, F.lit(0)))
-    seen = F.filter(later, lambda e: (e["event_type"] == "navigation") | ~e["event_type"].isin(FINGERPRINT_SKIP))
-    return F.get(seen, F.lit(0))["event_type"]
-
-
 def interactions(events: str | Column) -> Column:
     """The events that are interactions: not skipped, no link click, and no click that a navigation follows."""
     events = F.col(events) if isinstance(events, str) else events
@@ -37,7 +31,7 @@ def interactions(events: str | Column) -> Column:
 def with_facts(flows: DataFrame) -> DataFrame:
     """Adds action_fingerprint, has_interactions, interaction_page_url, single_page and nav_prefix."""
     f = flows.withColumn("_i", interactions("events"))
-    text = F.array_join(F.transform("_i", lambda e: F.concat(e["event_type"], F.lit(":"), F.coalesce(e["element"], F.lit("")))), ";")
+    text = action_text(F.col("_i"))
     urls = F.array_distinct(F.transform(F.filter("_i", lambda e: present(e["url"]).isNotNull()), lambda e: path(e["url"])))
     first = F.get(F.col("_i"), F.lit(0))["url"]
     entry = F.get(F.col("events"), F.lit(0))["url"]

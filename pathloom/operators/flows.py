@@ -25,7 +25,12 @@ def viewport_class() -> Column:
 
 def is_action() -> Column:
     """Whether an event counts for a session's fingerprint: not skipped and no click on a link to another page."""
-    return ~F.coalesce(F.col("event_type"), F.lit("")).isin(FINGERPRINT_SKIP) & ~((F.col("event_type") == "click") & is_link_nav(relative=False))
+    return ~F.coalesce(F.col("event_type"), F.lit("")).isin(FINGERPRINT_SKIP) & ~((F.col("event_type") == "click") & is_link_nav())
+
+
+def action_text(actions: Column) -> Column:
+    """A text for a list of actions, quoted, so that no two lists have one text."""
+    return F.to_json(F.transform(actions, lambda a: F.struct(F.coalesce(a["event_type"], F.lit("")).alias("t"), F.coalesce(a["element"], F.lit("")).alias("e"))))
 
 
 def sub_sessions(events: DataFrame, keys: list[str] = SUB_KEY, order: list[str] = ORDER) -> DataFrame:
@@ -45,7 +50,7 @@ def sub_sessions(events: DataFrame, keys: list[str] = SUB_KEY, order: list[str]
     return per.select(
         *keys, "nodes",
         F.when(F.col("viewport") != "desktop", F.concat(F.lit("["), F.col("viewport"), F.lit("] "), plain)).otherwise(plain).alias("pattern"),
-        F.when(F.size(acts) == 0, "").otherwise(F.md5(F.array_join(F.transform(acts, lambda a: F.concat(a["event_type"], F.lit(":"), a["element"])), ";"))).alias("fingerprint"),
+        F.when(F.size(acts) == 0, "").otherwise(F.md5(action_text(acts))).alias("fingerprint"),
         F.array_join(F.array_sort(F.array_distinct(F.transform(urls, normalise_url))), " + ").alias("page_set"),
         F.size(F.filter("nodes", lambda n: ~n.startswith("nav:"))).cast("long").alias("n_actions"), F.size("nodes").cast("long").alias("n_nodes"),
         F.transform("e", lambda x: F.struct(x["event_type"].alias("event_type"), x["url"].alias("url"), x["element"].alias("element"), x["is_action"].alias("is_action"))).alias("events"),

@@ -10,10 +10,11 @@ from pathloom.functions.element import locator
 from pathloom.functions.url import normalise_url, url_sequence
 from pathloom.operators.sessions import SUB_KEY
 from pathloom.schema import NODE_SKIP, ORDER
+from pathloom.session import written
 
 MAX_PATHS, CUTOFF, MIN_NODES, ENTRY_FALLBACK = 500, 12, 3, 5
-#: Partial paths kept per length, in the order of the search.
-FRONTIER = 50_000
+#: Partial paths that are extended at a time, in the order of the search.
+BLOCK = 50_000
 
 
 def event_node(target: str = "target") -> Column:
@@ -70,32 +71,59 @@ def entries_and_exits(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Da
     return starts, ends
 
 
-def flow_paths(nodes: DataFrame, edges: DataFrame, max_paths: int = MAX_PATHS, cutoff: int = CUTOFF, frontier: int = FRONTIER) -> DataFrame:
+def reaching(edges: DataFrame, ends: DataFrame, steps: int) -> DataFrame:
+    """(node): those from which an end is reached in at most so many steps, the ends included."""
+    known = written(ends.select("node").distinct())
+    size = known.count()
+    for _ in range(steps):
+        before = edges.join(known.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node"))
+        known = written(known.unionByName(before).distinct())
+        n = known.count()
+        if n == size:
+            break
+        size = n
+    return known
+
+
+def flow_paths(nodes: DataFrame, edges: DataFrame, max_paths: int = MAX_PATHS, cutoff: int = CUTOFF, block: int = BLOCK) -> DataFrame:
     """(path_ord, path, weight, min_weight): the first ``max_paths`` simple paths from entries to exits.
 
-    The order is that of a depth-first search that takes the heaviest edge first (ties: the greater node):
-    paths are extended level by level with the ranks of their edges and sorted by these. A level keeps
-    its first ``frontier`` partial paths in that order, which bounds the work on dense graphs.
+    The order is that of a depth-first search that takes the heaviest edge first (ties: the greater node): paths are
+    extended level by level with the ranks of their edges and sorted by these. Only edges to nodes from which
+    an exit can be reached are followed. Where a level has more than ``block`` partial paths, the first of them are
+    extended to the end first; the others wait and are taken up in turn while fewer than ``max_paths`` paths that
+    come before them are known, so that no path is lost and no level outgrows its block. The driver holds
+    ``max_paths`` paths at most.
     """
-    nodes, edges = nodes.cache(), edges.cache()
+    spark = nodes.sparkSession
+    nodes, edges = written(nodes), written(edges)
     starts, ends = entries_and_exits(nodes, edges)
+    ends = written(ends)
+    useful = reaching(edges, ends, cutoff - 1)
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), F.desc("dst")))
-    ranked = edges.withColumn("rank", rank).cache()
-    found = None
-    ends = ends.cache()
-    level = starts.select(F.col("node").alias("last"), F.array("node").alias("path"), F.array("entry_ord").alias("ranks"), F.lit(0).cast("long").alias("weight"), F.lit(None).cast("long").alias("min_weight"))
-    for depth in range(2, cutoff + 1):
+    ranked = written(edges.withColumn("rank", rank).join(useful.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+    first = starts.join(useful, "node", "left_semi").select(F.col("node").alias("last"), F.array("node").alias("path"), F.array("entry_ord").alias("ranks"), F.lit(0).cast("long").alias("weight"), F.lit(None).cast("long").alias("min_weight"))
+    waiting: list[tuple[int, DataFrame, list[int]]] = [(1, written(first), [])]  # length, partial paths, ranks that all of them come after
+    best: list = []
+    while waiting:
+        depth, level, after = waiting.pop()
+        if depth >= cutoff or (len(best) == max_paths and best[-1]["ranks"] <= after):
+            continue
         grown = level.withColumnRenamed("weight", "sum").join(ranked, F.col("last") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
-        level = grown.select(F.col("dst").alias("last"), F.array_append("path", F.col("dst")).alias("path"), F.array_append("ranks", F.col("rank")).alias("ranks"), (F.col("sum") + F.col("weight")).alias("weight"), F.least("min_weight", F.col("weight")).alias("min_weight"))
-        # kept in memory: each level is read by the next and by the result
-        level = level.orderBy("ranks").limit(frontier).cache()
-        if level.isEmpty() and found is not None:
-            break
-        if depth >= MIN_NODES:
-            hit = level.join(ends, level["last"] == ends["node"], "left_semi")
-            found = hit if found is None else found.unionByName(hit)
-    found = found.orderBy("ranks").limit(max_paths)
-    return found.select(F.row_number().over(Window.orderBy("ranks")).alias("path_ord"), "path", "weight", F.coalesce("min_weight", F.lit(0)).alias("min_weight"))
+        grown = written(grown.select(F.col("dst").alias("last"), F.array_append("path", F.col("dst")).alias("path"), F.array_append("ranks", F.col("rank")).alias("ranks"), (F.col("sum") + F.col("weight")).alias("weight"), F.least("min_weight", F.col("weight")).alias("min_weight")))
+        n = grown.count()
+        if n and depth + 1 >= MIN_NODES:
+            hits = grown.join(ends, grown["last"] == ends["node"], "left_semi").orderBy("ranks").limit(max_paths)
+            best = sorted([*best, *hits.collect()], key=lambda r: r["ranks"])[:max_paths]
+        if n > block:
+            head = written(grown.orderBy("ranks").limit(block))
+            bound = head.agg(F.max("ranks")).first()[0]
+            rest = grown.where(F.col("ranks") > F.array(*[F.lit(x) for x in bound]))
+            waiting += [(depth + 1, rest, bound), (depth + 1, head, after)]
+        elif n:
+            waiting.append((depth + 1, grown, after))
+    rows = [(i, r["path"], r["weight"], r["min_weight"] or 0) for i, r in enumerate(best, 1)]
+    return spark.createDataFrame(rows, "path_ord int, path array<string>, weight long, min_weight long")
 
 
 def popular_paths(nodes: DataFrame, edges: DataFrame, total_sessions: int, threshold: float = 5.0, max_paths: int = MAX_PATHS, cutoff: int = CUTOFF) -> DataFrame:

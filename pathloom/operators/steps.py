@@ -9,32 +9,38 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.element import locator
-from pathloom.functions.url import is_link_nav, link_href, normalise_url, path, resolve
+from pathloom.functions.url import bound, is_link_nav, link_destination, normalise_url, path
 from pathloom.schema import NODE_SKIP, PEEK_SKIP, REDACTED, REPLACEMENT
 
 STOPS = {"fill", "check", "select_option", "press_key"}
 PLACE = "struct<url:string,norm:string,path:string>"
 
 
-def prepared(events: DataFrame, relative: bool = True) -> DataFrame:
+def prepared(events: DataFrame) -> DataFrame:
     """Adds step_event: what the step builder needs to know of an event."""
     to_url = F.coalesce(F.get_json_object("payload", "$.to_url"), F.lit(""))
-    dest = resolve(link_href("target"), F.coalesce("url", F.lit("")), relative)
+    dest = link_destination()
     place = lambda u: F.struct(u.alias("url"), normalise_url(u).alias("norm"), path(u).alias("path"))
     item = F.struct(
-        F.col("event_type").alias("type"), place(F.coalesce("url", F.lit(""))).alias("page"), place(to_url).alias("to"), F.when(dest.isNotNull(), place(dest)).alias("dest"),
-        locator("target").alias("locator"), F.coalesce(F.upper(F.col("target.tag")) == "A", F.lit(False)).alias("link"), is_link_nav(relative=relative).alias("leaves"),
+        F.col("event_type").alias("type"), place(F.coalesce("url", F.lit(""))).alias("page"), place(to_url).alias("to"), F.when(F.col("target").isNotNull(), bound(dest, lambda u: F.when(u.isNotNull(), place(u)))).alias("dest"),
+        locator("target").alias("locator"), F.coalesce(F.upper(F.col("target.tag")) == "A", F.lit(False)).alias("link"), is_link_nav().alias("leaves"),
         F.col("payload").alias("payload"), F.col("event_id").alias("event_id"),
     )
     return events.withColumn("step_event", item)
 
 
+def gathered(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """(keys, events): the step events of each sub-session in order."""
+    item = F.struct(F.struct(*order).alias("o"), F.col("step_event").alias("e"))
+    return events.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["e"]).alias("events"))
 
 
 def literal(value: Any, max_len: int | None = 250) -> str:
@@ -327,3 +333,64 @@ def unique_names(behaviors: list[dict]) -> None:
         if names.count(names[i]) > 1:
             taken = {e for j, other in enumerate(elements) if j != i and behaviors[j]["test_name"] == names[i] for e in other}
             b["test_name"] = f"{names[i]} — {next((e for e in elements[i] if e not in taken), None) or f'{len(b["steps"])} steps'}"
+
+
+STEP = "step_no int, type string, locator string, url string, value string, repeat_count int, description string, assertions array<string>"
+AHEAD = "event_id string, next_url string, to_navigation boolean"
+
+
+def _rows(flows: DataFrame, keep: list[str], schema: str, make: Callable[[dict], list[dict]]) -> DataFrame:
+    """The rows that ``make`` gives of each flow (a dictionary with events), in Arrow batches, with the ``keep`` columns."""
+    rows = flows.select(*keep, *[c for c in ("events", "snapshots", "clicks", "names") if c in flows.columns and c not in keep])
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema), schema])
+    names = flows.sparkSession.createDataFrame([], schema).columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made, at = [], []
+            for i, flow in enumerate(b.select(list(range(len(keep), b.num_columns))).to_pylist()):
+                own = make({k: dict(v) if k != "events" and v is not None else v for k, v in flow.items()})
+                made += own
+                at += [i] * len(own)
+            if made:
+                kept = b.select(list(range(len(keep)))).take(pa.array(at, pa.int64()))
+                kinds = {"int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "string": pa.string()}
+                columns = [pa.array([r.get(n) for r in made], kinds[k.split(" ")[1]]) for n, k in zip(names, schema.split(", "), strict=True)]
+                yield pa.RecordBatch.from_arrays([*kept.columns, *columns], names=[*keep, *names])
+
+    return rows.mapInArrow(run, fields)
+
+
+def steps_of(flows: DataFrame, keep: list[str], mode: str = "full") -> DataFrame:
+    """(keep, step_no, type, locator, url, value, repeat_count, description, assertions): a row per step of each flow.
+
+    Rows have events (step events in order) and may have snapshots, clicks and names. A flow without events has no steps.
+    """
+
+    def make(flow: dict) -> list[dict]:
+        b = Builder(flow["events"] or [], flow.get("snapshots"), flow.get("clicks"), flow.get("names"))
+        steps = {"nav_only": b.routes, "interaction_only": b.interactions}.get(mode, b.full)()
+        return [{"repeat_count": 1} | s | {"step_no": i} for i, s in enumerate(steps, 1)]
+
+    return _rows(flows, keep, STEP, make)
+
+
+def plain_steps(flows: DataFrame, keep: list[str]) -> DataFrame:
+    """The same for every event that is an interaction, in order; clicks before checks of the same locator go."""
+
+    def make(flow: dict) -> list[dict]:
+        b = Builder(flow["events"] or [])
+        steps = drop_clicks_before_checks([s for e in b.events if (s := b.action(e))])
+        return [s | {"step_no": i, "assertions": []} for i, s in enumerate(steps, 1)]
+
+    return _rows(flows, keep, STEP, make)
+
+
+def look_ahead(flows: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, event_id, next_url, to_navigation): for each event the place that the builder sees ahead of it."""
+
+    def make(flow: dict) -> list[dict]:
+        b = Builder(flow["events"] or [])
+        return [{"event_id": e["event_id"], "next_url": (b.next_place[i] or {}).get("url"), "to_navigation": b.next_nav[i] is not None} for i, e in enumerate(b.events, 1)]
+
+    return _rows(flows, keep, AHEAD, make)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pathloom.operators.gate import DENIED, ESCAPES
+from pathloom.plans.queries import SCRIPTS, payload_samples
 
 #: Events by the rules of ``sources/derived.py``.
 EV = r"""
@@ -39,7 +40,7 @@ def subs(source: str = "sp", name: str = "su") -> str:
 {name}_p AS (SELECT {key}, string_agg(norm, ' → ' ORDER BY ts, seq) FILTER (WHERE norm IS DISTINCT FROM before) AS plain, count(*) AS n_nodes,
     count(*) FILTER (WHERE kind <> 'navigation') AS n_actions, list(node ORDER BY ts, seq) AS nodes,
     array_to_string(list_sort(list(DISTINCT norm)), ' + ') AS page_set FROM {name}_n GROUP BY ALL HAVING count(*) >= 3),
-{name}_f AS (SELECT {key}, coalesce(md5(string_agg(kind || ':' || fp, ';' ORDER BY ts, seq) FILTER (WHERE kind IN ('click', 'fill'))), '') AS fingerprint,
+{name}_f AS (SELECT {key}, coalesce(md5(to_json(list({{'t': kind, 'e': fp}} ORDER BY ts, seq) FILTER (WHERE kind IN ('click', 'fill')))::VARCHAR), '') AS fingerprint,
     count(*) FILTER (WHERE width < 768) > count(width) / 2 AS mobile, list({{'t': kind, 'u': url, 'e': fp}} ORDER BY ts, seq) AS evs FROM {source} GROUP BY ALL),
 {name} AS (SELECT p.*, f.fingerprint, f.evs, CASE WHEN mobile THEN '[mobile] ' ELSE '' END || plain AS pattern,
     row_number() OVER (ORDER BY p.session_id, p.is_concurrent, p.group_tab NULLS FIRST, p.sub_idx) AS o
@@ -79,7 +80,7 @@ fs AS (SELECT page, fingerprint, count(*) % 7 AS score, arg_min(evs, o) AS evs,
 ev1 AS (SELECT flow_ord, unnest(evs) AS e, generate_subscripts(evs, 1) AS i FROM fs),
 ev2 AS (SELECT flow_ord, i, e.t AS t, e.u AS u, e.e AS el, lead(CASE WHEN e.t NOT IN ('scroll', 'api_error') THEN e.t END IGNORE NULLS) OVER (PARTITION BY flow_ord ORDER BY i) AS nxt FROM ev1),
 act AS (SELECT * FROM ev2 WHERE t = 'fill' OR (t = 'click' AND nxt IS DISTINCT FROM 'navigation')),
-facts AS (SELECT flow_ord, md5(string_agg(t || ':' || el, ';' ORDER BY i)) AS afp, arg_min(u, i) AS page_url, count(DISTINCT u) <= 1 AS single FROM act GROUP BY flow_ord),
+facts AS (SELECT flow_ord, md5(to_json(list({{'t': t, 'e': el}} ORDER BY i))::VARCHAR) AS afp, arg_min(u, i) AS page_url, count(DISTINCT u) <= 1 AS single FROM act GROUP BY flow_ord),
 ff AS (SELECT fs.flow_ord, page AS pattern, score, coalesce(afp, md5('nav-only:' || page)) AS afp, afp IS NOT NULL AS has, page_url, coalesce(single, true) AS single,
     coalesce(evs[1].u <> page_url, false) AS prefix FROM fs LEFT JOIN facts ON fs.flow_ord = facts.flow_ord),
 rk AS (SELECT *, row_number() OVER (PARTITION BY afp ORDER BY score DESC, flow_ord) AS fr, count(*) OVER (PARTITION BY afp) AS fn, min(flow_ord) OVER (PARTITION BY afp) AS fo FROM ff)"""
@@ -167,6 +168,51 @@ def plain_regex(p: str) -> str:
     return re.sub(r"(?<=\w)\\b", lambda _: r"(?:$|[^\p{L}\p{N}_])", p).replace("'", "''")
 
 
+KEY = "session_id, is_concurrent, group_tab, sub_idx"
+
+
+def runs(which: str) -> str:
+    """Steps of the events that ``which`` selects: three and more clicks in a row on one locator are one step."""
+    return f"""WITH {EV},{split()},
+acted AS (SELECT *, count(*) FILTER (WHERE kind IN ('click', 'fill')) OVER (PARTITION BY {KEY} ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM sp),
+picked AS (SELECT * FROM acted WHERE {which}),
+cut AS (SELECT *, CASE WHEN kind = 'click' AND lag(kind) OVER w = 'click' AND lag(loc) OVER w = loc THEN 0 ELSE 1 END AS new FROM picked WINDOW w AS (PARTITION BY {KEY} ORDER BY ts, seq)),
+run AS (SELECT *, sum(new) OVER (PARTITION BY {KEY} ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS run FROM cut),
+sized AS (SELECT *, count(*) OVER (PARTITION BY {KEY}, run) AS n, row_number() OVER (PARTITION BY {KEY}, run ORDER BY ts, seq) AS r FROM run),
+steps AS (SELECT {KEY}, row_number() OVER (PARTITION BY {KEY} ORDER BY ts, seq) AS step_no, kind AS type, loc AS locator, CASE WHEN kind = 'navigation' THEN url END AS url,
+    CASE WHEN kind = 'fill' THEN '"' || k::VARCHAR || '"' END AS value, CASE WHEN n >= 3 THEN n ELSE 1 END AS repeat_count,
+    CASE kind WHEN 'fill' THEN 'await expect(page.' || loc || ').toHaveValue("' || k::VARCHAR || '")' WHEN 'navigation' THEN 'await expect(page).toHaveURL(/' || replace(url, '/', '\\/') || '/)' END AS assertion
+  FROM sized WHERE n < 3 OR r = 1)"""
+
+
+STEPS = runs("kind IN ('click', 'fill') OR (kind = 'navigation' AND before > 0)")
+#: Navigation up to the first interaction: clicks that a navigation follows, with a wait only where a navigation stands that no such click has taken.
+ROUTES = f"""WITH {EV},{split()},
+look AS (SELECT *, lead(CASE WHEN kind NOT IN ('scroll', 'api_error') THEN kind END IGNORE NULLS) OVER w AS nk, lead(CASE WHEN kind NOT IN ('scroll', 'api_error') THEN url END IGNORE NULLS) OVER w AS nu,
+    lag(CASE WHEN kind NOT IN ('scroll', 'api_error') THEN kind END IGNORE NULLS) OVER w AS pk FROM sp WINDOW w AS (PARTITION BY {KEY} ORDER BY ts, seq)),
+stop AS (SELECT {KEY}, min(ts) AS st, arg_min(seq, (ts, seq)) AS ss FROM look WHERE kind = 'fill' OR (kind = 'click' AND nk IS DISTINCT FROM 'navigation') GROUP BY ALL),
+open AS (SELECT l.* FROM look l LEFT JOIN stop s ON l.session_id = s.session_id AND l.is_concurrent = s.is_concurrent AND l.group_tab IS NOT DISTINCT FROM s.group_tab AND l.sub_idx = s.sub_idx
+    WHERE s.st IS NULL OR (l.ts, l.seq) < (s.st, s.ss)),
+route AS (SELECT {KEY}, ts, seq, 0 AS part, kind AS type, loc AS locator, NULL AS url, 'await expect(page).toHaveURL(/' || replace(nu, '/', '\\/') || '/)' AS assertion FROM open WHERE kind = 'click'
+  UNION ALL SELECT {KEY}, ts, seq, 1, kind, NULL, url, 'await expect(page).toHaveURL(/' || replace(url, '/', '\\/') || '/)' FROM (SELECT *, count(*) FILTER (WHERE kind = 'click') OVER (PARTITION BY {KEY} ORDER BY ts, seq) AS clicks FROM open) x WHERE kind = 'navigation' AND pk IS DISTINCT FROM 'click' AND clicks > 0)"""
+SCRIPT_TEXT = f""",
+entry AS (SELECT {KEY}, coalesce(first(url ORDER BY ts, seq) FILTER (WHERE kind = 'navigation'), first(url ORDER BY ts, seq)) AS entry FROM sp GROUP BY ALL),
+said AS (SELECT *, CASE type WHEN 'click' THEN 'Click ' || locator || CASE WHEN repeat_count > 1 THEN ' (' || repeat_count::VARCHAR || ' times)' ELSE '' END WHEN 'fill' THEN 'Fill ' || locator ELSE 'Wait for navigation to ' || url END AS description,
+    CASE type WHEN 'click' THEN 'await page.' || locator || '.click();' WHEN 'fill' THEN 'await page.' || locator || '.fill(' || value || ');' ELSE 'await page.waitForURL("' || url || '");' END AS call FROM steps),
+body AS (SELECT {KEY}, string_agg(chr(10) || '    // Step ' || step_no::VARCHAR || ': ' || description || chr(10)
+    || CASE WHEN repeat_count > 1 THEN '    for (let i = 0; i < ' || repeat_count::VARCHAR || '; i++) {{' || chr(10) || '      ' || call || chr(10) || '    }}' ELSE '    ' || call END || chr(10)
+    || CASE WHEN assertion IS NULL THEN '' ELSE '    ' || assertion || ';' || chr(10) END, '' ORDER BY step_no) AS body FROM said GROUP BY ALL)
+SELECT e.session_id, e.is_concurrent, e.group_tab, e.sub_idx, md5('import {{ test, expect }} from ''@playwright/test'';' || chr(10) || chr(10) || '/**' || chr(10) || ' * Flow: item to done' || chr(10) || ' * Pattern: /session/:id → /done' || chr(10)
+    || ' * Popularity: 5% of sessions' || chr(10) || ' *' || chr(10) || ' * Generated by pathloom' || chr(10) || ' */' || chr(10) || 'test.describe("item to done", () => {{' || chr(10) || '  test("should complete item to done", async ({{ page }}) => {{' || chr(10)
+    || '    // Navigate to entry point' || chr(10) || '    await page.goto("' || entry || '");' || chr(10) || coalesce(body, '') || '  }});' || chr(10) || '}});' || chr(10)) AS content
+FROM entry e LEFT JOIN body b ON e.session_id = b.session_id AND e.is_concurrent = b.is_concurrent AND e.group_tab IS NOT DISTINCT FROM b.group_tab AND e.sub_idx = b.sub_idx"""
+
+
+def at(which) -> str:
+    """The places of the event types that ``which`` holds for, as a list in SQL."""
+    return ", ".join(str(i) for i, x in enumerate(payload_samples()) if which(x)) or "-1"
+
+
 def oracle_sql() -> dict[str, str]:
     idle = lambda gap: f"WITH {EV}, l AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL '{gap}' THEN 1 ELSE 0 END AS b FROM ev WINDOW w AS (PARTITION BY session_id ORDER BY ts, seq)), s AS (SELECT *, sum(b) OVER (PARTITION BY session_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)::BIGINT AS sub_idx FROM l) SELECT session_id, sub_idx, count(*) AS n_events, min(seq) AS first_event FROM s GROUP BY ALL"
     key = "session_id, is_concurrent, group_tab, sub_idx"
@@ -181,7 +227,10 @@ def oracle_sql() -> dict[str, str]:
         "url_pattern_topk": f"WITH {PG} SELECT origin || npath AS norm, count(*) AS n FROM pn GROUP BY ALL ORDER BY n DESC, norm LIMIT 10",
         "url_sequences": f"{SEQ} SELECT host, pattern FROM seqs",
         "url_origin_mode": f"WITH {PG}, f AS (SELECT page_id % 50 AS flow, arg_min(origin, page_id) AS o FROM pg GROUP BY flow) SELECT o AS base_url FROM f GROUP BY o ORDER BY count(*) DESC, min(flow) LIMIT 1",
-        "link_destination": f"{LINKS}, r AS (SELECT *, CASE WHEN href = '' OR href LIKE '#%' OR href LIKE 'javascript:%' THEN NULL WHEN regexp_matches(href, '^https?://') THEN href WHEN href LIKE '/%' THEN origin || href END AS dest0 FROM lk), s AS (SELECT *, coalesce(regexp_extract(dest0, '^https?://[^/?#]*([^?#;]*)', 1) <> path, false) AS is_nav FROM r) SELECT page_id, n, is_nav, CASE WHEN is_nav THEN dest0 END AS dest FROM s",
+        "link_destination": f"""{LINKS}, dirs AS (SELECT *, CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END AS dir, substr(href, 2) AS rest, CASE WHEN href NOT LIKE '/%' THEN 0 ELSE n % 4 END AS kind FROM lk),
+            r AS (SELECT *, CASE kind WHEN 0 THEN CASE WHEN href = '' OR href LIKE '#%' OR href LIKE 'javascript:%' THEN NULL WHEN href LIKE '/%' THEN origin || href ELSE href END
+                WHEN 1 THEN origin || dir || rest WHEN 2 THEN origin || regexp_replace(dir, '[^/]+/$', '') || rest ELSE origin || dir || rest || '?a=1#b' END AS dest FROM dirs)
+            SELECT page_id, n, coalesce(regexp_extract(dest, '^https?://[^/?#]*([^?#;]*)', 1) <> path, false) AS is_nav, dest FROM r""",
         "glob_exclude_filter": rf"WITH {PG}, q AS (SELECT *, CASE WHEN path = '' THEN '/' ELSE path END AS p FROM pg) SELECT page_id, (regexp_full_match(p, '.*/[0-9].*') OR regexp_full_match(p, '/blog/.*') OR regexp_full_match(p, 'https://.*\.example/p.ge.*') OR regexp_full_match(url, 'https://.*\.example/p.ge.*')) AS excluded FROM q",
         "event_nodes": f"WITH {EV} SELECT event_id, node FROM nd",
         "flow_nodes": f'{GRAPH} SELECT node, "count", url, event_type FROM nodes',
@@ -203,9 +252,13 @@ def oracle_sql() -> dict[str, str]:
         "dedup_smart": ranked_out(SMART, "part, o1, o2"),
         "dedup_modular": ranked_out(MODULAR, "part, o1, o2"),
         "compare_flows": f"WITH {EV},{half(1, 15, 31)},{half(2, 0, 15)} SELECT coalesce(h1.pattern, h2.pattern) AS canonical_pattern, CASE WHEN h2.pattern IS NULL THEN 'new' WHEN h1.pattern IS NULL THEN 'inactive' WHEN h1.nodes = h2.nodes THEN 'unchanged' ELSE 'changed' END AS status, h1.ord AS new_ord, h2.ord AS existing_ord FROM h1 FULL JOIN h2 ON h1.pattern = h2.pattern WHERE h1.pattern IS NOT NULL OR h2.c > 1",
-        "next_significant_event": f"WITH {EV}, m AS (SELECT *, lead(CASE WHEN kind NOT IN ('scroll', 'api_error') THEN kind END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ts, seq) AS nxt FROM ev) SELECT event_id, nxt AS next_type, kind = 'click' AND coalesce(nxt = 'navigation', false) AS is_nav_click FROM m",
-        "collapse_repetitions": "WITH a AS (SELECT *, CASE WHEN lag(role) OVER w IS NOT DISTINCT FROM role THEN 0 ELSE 1 END AS b FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), r AS (SELECT *, sum(b) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM a) SELECT conv_id, run, min(turn) AS first_turn, first(role) AS role, count(*) AS repeat_count FROM r GROUP BY conv_id, run",
-        "collapse_pairs": f"WITH {EV}, a AS (SELECT event_id, kind, kind = 'click' AND coalesce(lead(kind) OVER w = 'fill' AND lead(k) OVER w % 3 = k % 3, false) AS gone FROM ev WHERE kind IN ('click', 'fill') WINDOW w AS (PARTITION BY session_id ORDER BY ts, seq)) SELECT event_id, kind AS event_type FROM a WHERE NOT gone",
+        "next_significant_event": f"WITH {EV},{split()} SELECT event_id, lead(CASE WHEN kind NOT IN ('scroll', 'api_error') THEN url END IGNORE NULLS) OVER w AS next_url, coalesce(lead(CASE WHEN kind NOT IN ('scroll', 'api_error') THEN kind END IGNORE NULLS) OVER w = 'navigation', false) AS to_navigation FROM sp WINDOW w AS (PARTITION BY {key} ORDER BY ts, seq)",
+        "flow_steps": f"{STEPS} SELECT {key}, step_no, type, locator, url, value, repeat_count, coalesce(assertion, '') AS assertions FROM steps",
+        "route_steps": f"{ROUTES} SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY ts, seq, part) AS step_no, type, locator, url, assertion AS assertions FROM route",
+        "interaction_steps": f"{runs("kind IN ('click', 'fill')")} SELECT {key}, step_no, type, locator, repeat_count, coalesce(assertion, '') AS assertions FROM steps",
+        "collapse_pairs": f"WITH {EV}, a AS (SELECT session_id, ts, seq, k, CASE kind WHEN 'fill' THEN 'check' ELSE kind END AS type, kind = 'click' AND coalesce(lead(kind) OVER w = 'fill' AND lead(k) OVER w % 3 = k % 3, false) AS gone FROM ev WHERE kind IN ('click', 'fill') WINDOW w AS (PARTITION BY session_id ORDER BY ts, seq)) SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY ts, seq) AS step_no, type, 'getByRole(\"button\", {{ name: \"Go ' || (k % 3)::VARCHAR || '\" }})' AS locator FROM a WHERE NOT gone",
+        "render_scripts": f"{STEPS}{SCRIPT_TEXT}",
+        "structural_gate": "SELECT p_partkey, CASE p_partkey % " + str(len(SCRIPTS)) + " " + " ".join(f"WHEN {i} THEN {x[2]}" for i, x in enumerate(SCRIPTS)) + " END AS acceptable, CASE p_partkey % " + str(len(SCRIPTS)) + " " + " ".join(f"WHEN {i} THEN {x[1]}" for i, x in enumerate(SCRIPTS)) + " END AS ok FROM part",
         "checkpoint_prev_diff": f"{LINKS}{DIFF} SELECT cp.page_id::VARCHAR AS checkpoint_id, before::VARCHAR AS before_id, coalesce(a, '') AS assertions FROM cp LEFT JOIN d3 ON cp.page_id = d3.page_id",
         "click_assertions": f"{LINKS}{DIFF}, nb AS (SELECT page_id, string_agg('await expect(page.getByTestId(\"' || href || '\")).toBeVisible()', ' | ' ORDER BY n) AS a FROM lk WHERE n < 3 GROUP BY page_id) SELECT cp.page_id::VARCHAR AS event_id, CASE WHEN before IS NULL THEN nb.a ELSE coalesce(d3.a, '') END AS assertions FROM cp LEFT JOIN d3 ON cp.page_id = d3.page_id LEFT JOIN nb ON cp.page_id = nb.page_id",
         "global_elements": f"{LINKS}, f AS (SELECT host, min(page_id) AS page_id FROM lk GROUP BY host), s AS (SELECT DISTINCT f.host, n FROM f JOIN lk ON f.page_id = lk.page_id) SELECT 'text:link ' || n::VARCHAR AS signature FROM s GROUP BY n HAVING count(*) = (SELECT count(*) FROM f) AND count(*) >= 2",
@@ -221,7 +274,7 @@ def oracle_sql() -> dict[str, str]:
         "comment_escape": "WITH t AS (SELECT doc_id, translate(coalesce(text, ''), chr(13) || chr(10) || chr(8232) || chr(8233), '    ') AS a, translate(replace(coalesce(text, ''), '*/', '* /'), chr(13) || chr(10) || chr(8232) || chr(8233), '    ') AS b FROM documents) SELECT doc_id, md5(substr(a, 1, 250)) AS line, md5(b) AS block FROM t",
         "string_literal": f"SELECT page_id, replace(replace(replace(replace(replace({LITERAL}, '<', chr(92) || 'u003c'), '`', chr(92) || 'u0060'), chr(8232), chr(92) || 'u2028'), chr(8233), chr(92) || 'u2029'), '${{', chr(92) || 'u0024{{') AS literal FROM pages",
         "variables_first": f"WITH {EV} SELECT 'f' || (k % 2)::VARCHAR AS name, 'Form value for ' || first(loc ORDER BY session_id, ts, seq) AS description, first(k::VARCHAR ORDER BY session_id, ts, seq) AS example FROM ev WHERE kind = 'fill' GROUP BY 1",
-        "event_validation": f"WITH {EV} SELECT seq % 400 AS flow_id, count(*) AS n_events, bool_and(kind <> 'click' OR k % 5 <> 0) AS valid FROM ev WHERE kind IN ('navigation', 'fill', 'click') GROUP BY 1",
+        "event_validation": f"WITH {EV}, t AS (SELECT seq, k % 6 AS defect, seq % {len(payload_samples())} AS i FROM ev), o AS (SELECT seq, CASE defect WHEN 0 THEN i IN ({at(lambda x: x[3] == '{}')}) WHEN 1 THEN i NOT IN ({at(lambda x: x[2])}) WHEN 2 THEN i NOT IN ({at(lambda x: x[1])}) ELSE true END AS ok FROM t) SELECT seq // 3 AS flow_id, count(*) AS n_events, bool_and(ok) AS valid FROM o GROUP BY 1",
         "deny_pattern_scan": "SELECT page_id, (" + " OR ".join(f"regexp_matches(html, '{plain_regex(p)}')" for p in DENIED) + f") AS denied, regexp_matches(html, '{ESCAPES}') AS escapes FROM pages",
         "variable_map": f"WITH {EV} SELECT loc AS locator, 'f' || (k % 2)::VARCHAR AS name FROM ev WHERE kind = 'fill' GROUP BY 1, 2",
     }

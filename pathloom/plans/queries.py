@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from pathloom.functions import element, text, url
 from pathloom.operators import checkpoints as cps
 from pathloom.operators import compare, dedup, flows, gate, graph, render, sessions, steps, validation, variables
+from pathloom.schema import TARGET
 from pathloom.session import table
 from pathloom.sources import derived
 
@@ -69,7 +70,12 @@ def url_origin_mode(spark, d):
 
 
 def link_destination(spark, d):
-    return derived.links(spark, d).select("page_id", "n", url.is_link_nav(relative=False).alias("is_nav"), url.link_destination(relative=False).alias("dest"))
+    """Links as they stand and, by their number, as relative references of three kinds."""
+    rest = F.expr("substr(href, 2)")
+    kind = F.col("n") % 4
+    href = F.when(~F.col("href").startswith("/") | (kind == 0), F.col("href")).when(kind == 1, rest).when(kind == 2, F.concat(F.lit("../"), rest)).otherwise(F.concat(F.lit("./x/../"), rest, F.lit("?a=1#b")))
+    links = derived.links(spark, d).withColumn("href", href).withColumn("target", F.struct(F.lit("a").alias("tag"), F.create_map(F.lit("href"), F.col("href")).alias("attributes")))
+    return links.select("page_id", "n", url.is_link_nav().alias("is_nav"), url.link_destination().alias("dest"))
 
 
 def glob_exclude_filter(spark, d):
@@ -166,25 +172,42 @@ def compare_flows(spark, d):
     return compare.compare_flows(half(15, 31).drop("status"), half(0, 15)).select("canonical_pattern", "status", F.col("new_flow.ord").alias("new_ord"), F.col("existing_flow.ord").alias("existing_ord"))
 
 
+def _gathered(spark, d):
+    return steps.gathered(steps.prepared(_split(spark, d)), KEY, ["timestamp", "sequence"])
+
+
 def next_significant_event(spark, d):
-    mark = F.when((F.col("event_type") == "navigation") | ~F.col("event_type").isin("scroll", "api_error"), F.col("event_type"))
-    e = derived.events(spark, d).withColumn("_m", mark)
-    return e.select("event_id", F.expr("lead(_m) ignore nulls over (partition by session_id order by timestamp, sequence)").alias("next_type"), F.expr("event_type = 'click' and coalesce(lead(_m) ignore nulls over (partition by session_id order by timestamp, sequence) = 'navigation', false)").alias("is_nav_click"))
+    return steps.look_ahead(_gathered(spark, d), [])
+
+
+def flow_steps(spark, d):
+    s = steps.steps_of(_gathered(spark, d), KEY)
+    return s.select(*KEY, "step_no", "type", "locator", "url", "value", "repeat_count", F.array_join("assertions", " | ").alias("assertions"))
+
 
+def route_steps(spark, d):
+    s = steps.steps_of(_gathered(spark, d), KEY, "nav_only")
+    return s.select(*KEY, "step_no", "type", "locator", "url", F.array_join("assertions", " | ").alias("assertions"))
 
-def collapse_repetitions(spark, d):
-    c = table(spark, d, "conversations").select("conv_id", "turn", "role")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = c.withColumn("_new", F.when(F.lag("role").over(w).eqNullSafe(F.col("role")), 0).otherwise(1)).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return c.groupBy("conv_id", "run").agg(F.min("turn").alias("first_turn"), F.first("role").alias("role"), F.count(F.lit(1)).alias("repeat_count"))
+
+def interaction_steps(spark, d):
+    s = steps.steps_of(_gathered(spark, d), KEY, "interaction_only")
+    return s.select(*KEY, "step_no", "type", "locator", "repeat_count", F.array_join("assertions", " | ").alias("assertions"))
 
 
 def collapse_pairs(spark, d):
-    """Clicks go that the next kept event repeats as a fill on the same page number."""
+    """Fills as checks of the button that is clicked with the same number."""
     e = derived.events(spark, d).where("event_type in ('click', 'fill')")
-    w = Window.partitionBy("session_id").orderBy("timestamp", "sequence")
-    gone = (F.col("event_type") == "click") & (F.lead("event_type").over(w) == "fill") & ((F.lead("k").over(w) % 3) == F.col("k") % 3)
-    return e.withColumn("_gone", F.coalesce(gone, F.lit(False))).where("not _gone").select("event_id", "event_type")
+    button = F.from_json(F.concat(F.lit('{"tag":"BUTTON","selectors":{"role":{"role":"button","name":"Go '), (F.col("k") % 3).cast("string"), F.lit('"}}}')), TARGET)
+    e = e.withColumns({"target": button, "payload": F.lit('{"checked":true}'), "event_type": F.when(F.col("event_type") == "fill", "check").otherwise("click")})
+    return steps.plain_steps(steps.gathered(steps.prepared(e), ["session_id"], ["timestamp", "sequence"]), ["session_id"]).select("session_id", "step_no", "type", "locator")
+
+
+def render_scripts(spark, d):
+    """Each sub-session as a flow of its own, rendered in full."""
+    e = _gathered(spark, d).withColumn("flow_ord", F.xxhash64(*KEY)).withColumns({"canonical_pattern": F.lit("/session/:id → /done"), "popularity_score": F.lit(5), "test_mode": F.lit("full")})
+    out = render.render_specs(e)
+    return out.join(e.select("flow_ord", *KEY), "flow_ord").select(*KEY, F.md5("content").alias("content"))
 
 
 def checkpoint_prev_diff(spark, d):
@@ -263,12 +286,33 @@ def variable_map(spark, d):
     return variables.variable_map(derived.events(spark, d), "session_id", "timestamp", "sequence")
 
 
+#: A JSON value of each kind of payload field.
+SAMPLES = {"s": '"x"', "n": "1.5", "n0": "0", "n1": "2", "b": "true", "p": '{"x":1,"y":2}', "l": '["a"]', "o": '{"k":1}', "any": "3"}
+
+
+def payload_samples() -> list[tuple[str, bool, bool, str, str]]:
+    """Of every event type: name, whether it requires a target, whether it has required fields, a right payload, and one without the first required field."""
+    out = []
+    for line in validation.TYPES.strip().split("\n"):
+        name, *fields = line.split(" ")
+        pairs = [] if fields == ["free"] else [(f.split(":")[0], f.split(":")[1]) for f in fields]
+        text = lambda some: "{" + ",".join(f'"{n.rstrip("*")}":' + SAMPLES.get(k, f'"{k.split("|")[0]}"') for n, k in some) + "}"
+        needed = next((p for p in pairs if p[0].endswith("*")), None)
+        out.append((name.rstrip("!"), name.endswith("!"), needed is not None, text(pairs), text([p for p in pairs if p != needed])))
+    return out
+
+
 def event_validation(spark, d):
+    """All event types in turn; by their number some have a field too many, lack a required field, or have no target."""
     e = derived.events(spark, d)
     uuid = lambda c: F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(c, 12, "0"))
-    payload = F.when(F.col("event_type") == "navigation", F.concat(F.lit('{"to_url":"'), "url", F.lit('","trigger":"link_click"}'))).when(F.col("event_type") == "fill", F.col("payload")).when(F.col("event_type") == "click", F.when(F.col("k") % 5 == 0, F.lit('{"bogus":1}')).otherwise(F.lit('{"button":"left"}'))).otherwise(F.lit("{}"))
-    e = e.withColumns({"payload": payload, "event_id": uuid(F.col("event_id")), "session_id": uuid(F.col("session_id")), "tab_id": uuid(F.col("sequence").cast("string")), "flow_id": F.col("sequence") % 400})
-    return validation.valid_flows(e.where("event_type in ('navigation', 'fill', 'click')"))
+    samples, defect, at = payload_samples(), F.col("k") % 6, (F.col("sequence") % len(validation.TYPES.strip().split("\n")) + 1).cast("int")
+    pick = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in samples]), at)
+    more = F.when(pick(3) == "{}", F.lit('{"bogus":1}')).otherwise(F.concat(F.lit('{"bogus":1,'), F.substr(pick(3), F.lit(2))))
+    payload = F.when(defect == 0, more).when(defect == 1, pick(4)).otherwise(pick(3))
+    target = F.when(defect != 2, F.from_json(F.lit('{"tag":"DIV"}'), TARGET))
+    e = e.withColumns({"event_type": pick(0), "payload": payload, "target": target, "event_id": uuid(F.col("event_id")), "session_id": uuid(F.col("session_id")), "tab_id": uuid(F.col("sequence").cast("string")), "flow_id": F.floor(F.col("sequence") / 3)})
+    return validation.valid_flows(e)
 
 
 def deny_pattern_scan(spark, d):
@@ -276,10 +320,10 @@ def deny_pattern_scan(spark, d):
 
 
 def _specs(spark, d, strategy="smart"):
-    """The flows of a strategy with their step events, rendered."""
-    e = steps.prepared(_split(spark, d), relative=False)
+    """The flows of a strategy with their step events, behaviours, variables and snapshots, rendered."""
+    e = steps.prepared(_split(spark, d))
     subs = flows.sub_sessions(_split(spark, d))
-    events = e.groupBy(*KEY).agg(F.transform(F.sort_array(F.collect_list(F.struct("timestamp", "sequence", "step_event"))), lambda x: x["step_event"]).alias("steps"))
+    events = steps.gathered(e, KEY, ["timestamp", "sequence"]).withColumnRenamed("events", "steps")
     total = derived.events(spark, d).select("session_id").distinct().count()
     mined = flows.popular_flows(subs, total, THRESHOLD)
     facts = F.transform("events", lambda x: F.struct(x["event_type"].alias("event_type"), x["url"].alias("url"), x["element"].alias("element"), F.lit(False).alias("link")))
@@ -291,16 +335,49 @@ def _specs(spark, d, strategy="smart"):
         same = same & F.col(f"j.{k}").eqNullSafe(F.col(f"v.{k}"))
     own = j.join(v, same).select("j.pattern", "j.fingerprint", "v.steps")
     chosen = dedup.apply_strategy(flat, strategy).drop("events")
-    out = chosen.join(own, (F.col("canonical_pattern") == F.col("pattern")) & (chosen["fingerprint"] == own["fingerprint"])).select("flow_ord", "canonical_pattern", "popularity_score", F.when(F.col("test_mode") == "smart_grouped", "full").otherwise(F.col("test_mode")).alias("test_mode"), "interaction_page_url", F.col("steps").alias("events"))
-    return render.render_specs(out)
+    stepped = flat.select("flow_ord", "canonical_pattern", "fingerprint").join(own, (F.col("canonical_pattern") == F.col("pattern")) & (flat["fingerprint"] == own["fingerprint"])).select(F.col("flow_ord").cast("long").alias("_f"), F.col("steps").alias("_steps"))
+    out = chosen.join(stepped, chosen["flow_ord"] == stepped["_f"]).drop("_f").withColumnRenamed("_steps", "events")
+    # a grouped flow holds the events of each of its behaviours
+    group = out.select("flow_ord", F.posexplode("behaviors").alias("_n", "_member")).join(stepped, F.col("_member") == F.col("_f")).groupBy("flow_ord").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", F.col("_steps").alias("events")))), lambda x: F.struct(x["events"].alias("events"))).alias("_group"))
+    out = out.join(group, "flow_ord", "left").drop("behaviors").withColumnRenamed("_group", "behaviors").drop("action_fingerprint", "fingerprint", "out_ord")
+    c = cps.by_url(derived.checkpoints(spark, d).withColumn("url", F.concat(F.lit("/click/"), (F.col("cp_ord") % 5).cast("string"))))
+    shown = c.select("url", "k", cps.url_assertions(F.lit("snapshot"), F.col("url"), F.col("visible_elements"), F.col("page_title")).alias("assertions"))
+    v = variables.variable_map(derived.events(spark, d), "session_id", "timestamp", "sequence")
+    return render.render_specs(render.with_snapshots(render.with_names(out, v), shown.where("k <= 3")))
 
 
 def render_specs(spark, d):
     return _specs(spark, d)
 
 
+# Scripts that the gate and the checks before it judge, with a name put in: (script, whether the gate passes it, whether the checks before do).
+_TOP = "import { test, expect } from '@playwright/test';\n"
+SCRIPTS = [
+    (_TOP + "test('NAME', async ({ page }) => {\n  await page.goto('/');\n  await expect(page).toHaveURL(/x/);\n});\n", True, True),
+    (_TOP + "test('NAME', async ({ page }) => {\n  await page.evaluate('NAME');\n});\n", False, False),
+    ("import fs from 'fs';\n" + _TOP + "test('NAME', async ({ page }) => {\n  await page.reload();\n});\n", False, True),
+    (_TOP + "test('NAME', async ({ page }) => {\n  await page.goto('/');\n", False, True),
+    (_TOP + "test('NAME', async ({ page }) => {\n  await page['NAME']('x');\n});\n", False, True),
+    (_TOP + "test('NAME', async () => {\n  eval('NAME');\n});\n", False, False),
+    (_TOP + "// eval of NAME\ntest('NAME', async ({ page }) => {\n  await page.goto(\"/NAME\");\n});\n", True, False),
+    (_TOP + "test('NAME', async ({ page }) => {\n  setTimeout(() => page.reload(), 5);\n});\n", False, True),
+    (_TOP + "test('NAME', async ({ page }) => {\n  await page.goto(`/NAME/${page.url()}`);\n});\n", False, True),
+    (_TOP + "test('NAME', async ({ page }) => {\n  const { evaluate: go } = page;\n  go('NAME');\n});\n", False, True),
+    (_TOP + "test('NAME', async ({ page }) => {\n  await expect(page.getByText('eval(NAME')).toBeVisible();\n});\n", True, False),
+    ("const a = 'NAME';\n", True, False),
+]
+
+
 def structural_gate(spark, d):
-    """Every rendered script through the gate, in Arrow batches."""
+    """Scripts made from part names through the gate, in Arrow batches."""
+    verdict = F.udf(lambda s: tuple(gate.structural_gate(s)), "ok boolean, reason string", useArrow=True)
+    script = F.replace(F.element_at(F.array(*[F.lit(x[0]) for x in SCRIPTS]), (F.col("p_partkey") % len(SCRIPTS) + 1).cast("int")), F.lit("NAME"), F.col("p_name"))
+    p = table(spark, d, "part").select("p_partkey", script.alias("content"))
+    return p.select("p_partkey", gate.acceptable(F.col("content")).alias("acceptable"), verdict("content").alias("v")).select("p_partkey", "acceptable", "v.ok")
+
+
+def rendered_gate(spark, d):
+    """Every rendered script through the gate: all must pass."""
     verdict = F.udf(lambda s: tuple(gate.structural_gate(s)), "ok boolean, reason string", useArrow=True)
     return _specs(spark, d).select("flow_ord", "file_name", gate.acceptable(F.col("content")).alias("acceptable"), verdict("content").alias("v")).select("flow_ord", "file_name", "acceptable", "v.ok", "v.reason")
 
@@ -309,8 +386,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         idle_sessions_30m, idle_sessions_12h, concurrent_tabs, full_session_split, exclusion_segments, url_normalise, url_pattern_topk, url_sequences, url_origin_mode, link_destination, glob_exclude_filter,
         event_nodes, flow_nodes, flow_edges, flow_sources_sinks, flow_paths, path_popularity, viewport_class, canonical_patterns, session_fingerprints, popular_flows, rescued_flows, flow_facts, compare_flows,
-        next_significant_event, collapse_repetitions, collapse_pairs, checkpoint_prev_diff, click_assertions, global_elements, checkpoint_kth_assignment, element_locator, element_fingerprint, selector_priority,
+        next_significant_event, flow_steps, route_steps, interaction_steps, collapse_pairs, checkpoint_prev_diff, click_assertions, global_elements, checkpoint_kth_assignment, element_locator, element_fingerprint, selector_priority,
         camel_case, url_variables, flow_names, comment_escape, string_literal, variables_first, variable_map,
-        event_validation, deny_pattern_scan, render_specs, structural_gate,
+        event_validation, deny_pattern_scan, render_specs, render_scripts, structural_gate, rendered_gate,
     )
     return {f.__name__: f for f in plain} | {f"dedup_{s}": _strategy(s) for s in dedup.STRATEGIES}

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str | None = None, name: str = "pathloom") -> SparkSession:
@@ -26,3 +27,17 @@ def local_session(cores: int | str | None = None, name: str = "pathloom") -> Spa
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver tables. The path may be of any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows, checkpointed in the folder of spark.checkpoint.dir, so that plans built on them stay small and survive lost executors.
+
+    Where no folder is set, a local session gets a temporary one; others raise an error.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pathloom-"))
+    return df.checkpoint()

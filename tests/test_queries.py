@@ -40,7 +40,7 @@ def test_query_matches_sql(spark, db, name):
 
 
 def test_scripts_pass_the_gate(spark):
-    got = queries.structural_gate(spark, DIR).collect()
+    got = queries.rendered_gate(spark, DIR).collect()
     assert got and all(r["ok"] and r["acceptable"] for r in got)
 
 

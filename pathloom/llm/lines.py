@@ -5,26 +5,27 @@ lines at edit distance one either lose a character at the same place and are the
 replacement), or one of them with a character deleted is the other. Of the lines that a line is so
 joined to, the earliest is verified by edit distance; the line goes if one is earlier.
 
-Hash joins on halves, and then on all but one of 64 stretches, come first: lines at distance one share
-these. Only lines that share them with another line have their variants written out, so that the bulk
-of a corpus, whose lines are like no others, costs a few keys a line and not one for each character.
+Hash joins on halves, and then on all but one of 8 and of 64 stretches, come first: lines at distance
+one share these. Only lines that share them with another line have their variants written out, so that
+the bulk of a corpus, whose lines are like no others, costs a few keys a line and not one for each
+character.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import BROADCAST_ROWS, SPACE_RUN, WORD_CHAR, small_side, stored
+from pathloom.llm.common import BROADCAST_ROWS, SPACE_RUN, WORD_CHAR, dropped, small_side, stored
 
 #: Normalised lines shorter than this (code points) are left alone.
 MIN_CHARS = 20
-#: Stretches of a line of which a near line may differ in one; lines without such a partner write out no variants.
-HOLES = 64
+#: Stretches of a line of which a near line may differ in one, coarse ones first; lines without such a partner write out no variants.
+HOLES = (8, 64)
 _B = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _INVERSE = pow(_B, -1, 1 << 64)
@@ -103,7 +104,7 @@ def _halves(line: Column) -> Column:
     return F.when(F.length(line) % 2 == 0, F.array(*pair(half), *pair(half - 1))).otherwise(F.array(*pair(half)))
 
 
-def near_lines(docs: DataFrame, places: DataFrame, firsts: DataFrame, key: str, text: str, min_chars: int, holes: int = HOLES) -> DataFrame:
+def near_lines(docs: DataFrame, places: DataFrame, firsts: DataFrame, key: str, text: str, min_chars: int, holes: Sequence[int] = HOLES) -> DataFrame:
     """(_h, _near): for lines with an earlier one at edit distance 1, the earliest's hash, verified.
 
     ``places`` has each line's hash and the hashes of its halves, ``firsts`` the first place of each
@@ -125,10 +126,16 @@ def near_lines(docs: DataFrame, places: DataFrame, firsts: DataFrame, key: str,
         docs = docs.join(F.broadcast(held), _key(docs, key, text)[0] == F.col("_pk"), "left_semi")
     p, f = occurrences(docs, key, text, min_chars).withColumn("_h", F.xxhash64("_line")).alias("p"), small_side(picked).alias("f")
     here = (F.col("p._h") == F.col("f._h")) & (F.struct(F.col("p._k"), F.col("p._t"), F.col("p._at")) == F.col("f._first"))
-    wide = stored(p.join(f, here).select(F.col("f._h").alias("_h"), "_line", "_first").dropDuplicates(["_h"]), "wide")
-    keyed = wide.select("_h", F.explode(_holes(F.col("_line"), holes)).alias("_hole"))
-    close = keyed.join(small_side(shared(keyed, "stretches")), "_hole", "left_semi").select("_h").distinct()
-    rows = stored(wide.join(close, "_h", "left_semi"), "candidates")
+    rows = stored(p.join(f, here).select(F.col("f._h").alias("_h"), "_line", "_first").dropDuplicates(["_h"]), "wide")
+    for n in holes:
+        # the keys are read twice, so they are stored: making them costs n walks over each line
+        keyed = stored(rows.select("_h", F.explode(_holes(F.col("_line"), n)).alias("_hole")), "holes")
+        met = shared(keyed, "stretches")
+        close = keyed.join(small_side(met), "_hole", "left_semi").select("_h").distinct()
+        closer = stored(rows.join(close, "_h", "left_semi"), "candidates")
+        for done in (keyed, met, rows):
+            dropped(done)
+        rows = closer
 
     def write_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathloom.llm.common import folded, running_sums, spread, unfolded
-from pathloom.llm.units import Memory, any_units, units
 
 SEQUENCE = 2048
 #: Tokens in a length class of the fit.
@@ -29,6 +28,9 @@ CLASS = 8
 #: Texts on which a quicker library has to give the ids of the tokenizer's own before it is used.
 SELF_CHECK = ("", " a", "it's we'll I'd 'Ve", "the  cat\n\nsat\t\t on \r\n", "caf\u00e9 na\u00efve 12345 $$$*** \u4e2d\u6587", "\u00a0x\u3000y\u0085z \x1c", "\U0001f600 \u0301e\u0301", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa", " \n \t ", "\u0e33\u0967\u216b_\u2028end")
 
+#: Code points up to which no run of white space exhausts the quicker library's stack; longer texts go another way, which reports it.
+SHORT = 100_000
+
 
 class Tokens:
     """Token ids of whole texts as little-endian unsigned 32-bit numbers, from a byte-level BPE file."""
@@ -40,14 +42,8 @@ class Tokens:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
-        vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.starts[[i for t, i in vocabulary.items() if t[:1] in "ĠĊ"]] = True
         self.fast = self._fast(path, self.library)
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.whole = Memory(lambda u: self.encode(u))
 
     @staticmethod
     def _fast(path: str, library):
@@ -70,44 +66,17 @@ class Tokens:
         fast = tiktoken.Encoding("own", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
         return fast if all(fast.encode_ordinary(x) == library.encode(x, add_special_tokens=False).ids for x in SELF_CHECK) else None
 
-    def encode(self, text: str) -> bytes:
-        ids = self.fast.encode_ordinary(text) if self.fast else self.library.encode(text, add_special_tokens=False).ids
-        return array("I", ids).tobytes()
-
-    def missing(self, parts: list[str]) -> dict[str, bytes]:
-        """Values of units that aren't known. All are encoded as one text and cut where units start."""
-        got = {p: v for p in parts if (v := self.old.get(p)) is not None}
-        new = [p for p in dict.fromkeys(parts) if p not in got]
-        if new:
-            data = self.encode("".join(p if p[:1] == "\n" else " " + p for p in new))
-            at = np.flatnonzero(self.starts[np.frombuffer(data, "<u4")]) * 4
-            if len(at) == len(new):
-                bounds = [*at.tolist(), len(data)]
-                got |= {p: data[bounds[i] : bounds[i + 1]] for i, p in enumerate(new)}
-            else:
-                got |= {p: self.encode(p if p[:1] == "\n" else " " + p) for p in new}
-        if len(self.known) >= 150_000:
-            self.old, self.known = self.known, {}
-        self.known |= {p: v for p, v in got.items() if len(p) <= 64}
-        return got
-
-    def plain(self, text: str) -> bytes:
-        parts = units(text)
-        if not parts:
-            return b"".join(map(self.whole.__getitem__, any_units(text)))
-        first, rest = self.encode(parts[0]), parts[1:]
-        values = list(map(self.known.get, rest))
-        if None in values:
-            more = self.missing([p for p, v in zip(rest, values, strict=True) if v is None])
-            values = [more[p] if v is None else v for p, v in zip(rest, values, strict=True)]
-        return first + b"".join(values)
-
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if any(s in text for s in self.special):
-            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-        return self.plain(text)
+        if self.fast and not any(s in text for s in self.special):
+            if len(text) <= SHORT:
+                return array("I", self.fast.encode_ordinary(text)).tobytes()
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            except ValueError:
+                pass  # a run of white space that is too long for its regular expression
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, keep: list[str] | None = None, with_ids: bool = False, text: str = "text") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pathloom.operators.numbering import numbered
+
 
 def last_by_pattern(flows: DataFrame, order: str) -> DataFrame:
     """The last flow of each pattern, at the place of the first."""
@@ -27,5 +29,5 @@ def compare_flows(new: DataFrame, library: DataFrame, order: str = "ord") -> Dat
         .when(F.col("new_actions").eqNullSafe(F.col("existing_actions")), "unchanged").otherwise("changed")
     )
     rows = both.withColumn("status", status).where("status is not null")
-    order_by = Window.orderBy(F.col("new_place").asc_nulls_last(), "existing_place")
-    return rows.select("canonical_pattern", "status", "new_flow", "existing_flow", F.row_number().over(order_by).alias("result_ord"))
+    found = rows.select("canonical_pattern", "status", "new_flow", "existing_flow", "new_place", "existing_place")
+    return numbered(found, "result_ord", F.col("new_place").asc_nulls_last(), "existing_place").drop("new_place", "existing_place")

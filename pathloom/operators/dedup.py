@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from pathloom.functions.url import path, present
 from pathloom.operators.flows import action_text
+from pathloom.operators.numbering import numbered
 from pathloom.schema import FINGERPRINT_SKIP
 
 STRATEGIES = ("full", "smart", "lean", "modular")
@@ -53,7 +54,7 @@ _OUT = ["test_mode", "interaction_page_url", "behaviors"]
 
 
 def _finish(rows: DataFrame, columns: list[str], *order: str) -> DataFrame:
-    return rows.withColumn("out_ord", F.row_number().over(Window.orderBy(*order))).select("out_ord", *columns, "action_fingerprint", *_OUT)
+    return numbered(rows, "out_ord", *order).select("out_ord", *columns, "action_fingerprint", *_OUT)
 
 
 def apply_strategy(flows: DataFrame, strategy: str = "smart") -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pathloom.functions.element import fingerprint
 from pathloom.functions.url import is_link_nav, normalise_url, url_sequence
 from pathloom.operators.graph import MIN_NODES, event_node, node_action, node_url
+from pathloom.operators.numbering import numbered
 from pathloom.operators.sessions import SUB_KEY
 from pathloom.schema import FINGERPRINT_SKIP, ORDER
 
@@ -84,6 +84,6 @@ def popular_flows(subs: DataFrame, total_sessions: int, threshold: float = THRES
     two = rescued.select(F.col("r.pattern").alias("pattern"), "fingerprint", "session_count", "r", F.lit(True).alias("rescued"), F.col("set_ord").alias("so"), F.col("o").alias("o2"))
     one = one.select("pattern", "fingerprint", "session_count", "r", "rescued", F.struct(F.col("o1").alias("pattern_ord"), F.col("o1").alias("a")).alias("so"), "o2")
     flows = one.unionByName(two).withColumn("popularity_score", F.bround(share(F.col("session_count")), 2))
-    ranked = flows.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("popularity_score"), "rescued", "so", "o2")))
+    ranked = numbered(flows, "ord", F.desc("popularity_score"), "rescued", "so", "o2")
     actions = F.filter(F.transform(F.col("r.nodes"), node_action), lambda a: a.isNotNull())
     return ranked.select("ord", F.col("pattern").alias("canonical_pattern"), "fingerprint", "session_count", "popularity_score", F.col("r.nodes").alias("path_nodes"), actions.alias("significant_actions"), F.col("r.events").alias("events"), "rescued")

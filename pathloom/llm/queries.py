@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm.bpe_count import token_counts
+from pathloom.llm.centroids import cluster, cluster_sql
 from pathloom.llm.chat import rotate
 from pathloom.llm.common import new_path, read, word_count
 from pathloom.llm.language import identify, learn, remainder
@@ -17,7 +18,9 @@ from pathloom.llm.neighbours import search
 from pathloom.llm.packing import pack_documents
 from pathloom.llm.quality import judge
 from pathloom.llm.simhash import near_duplicates
+from pathloom.llm.spelling import SPELLING_SQL, spelling_variants
 from pathloom.llm.warc import read_back, write
+from pathloom.llm.winnow import edited_likeness
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -79,6 +82,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,11 +101,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neighbours, op2_lines, op3_mixing, op4_quality, op5_token_counts, op6_simhash, op7_perspectives, op8_language, op9_warc, op10_packing, pipeline)}
+    return {f.__name__: f for f in (op1_neighbours, op2_lines, op3_mixing, op4_quality, op5_token_counts, op6_simhash, op7_perspectives, op8_language, op9_warc, op10_packing, op11_centroids, op12_spelling, op13_fingerprints, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": QUALITY_SQL, "op7_perspectives": PERSPECTIVE_SQL, "op9_warc": WARC_SQL}
+    return {"op4_quality": QUALITY_SQL, "op7_perspectives": PERSPECTIVE_SQL, "op9_warc": WARC_SQL, "op11_centroids": cluster_sql(), "op12_spelling": SPELLING_SQL}
 
 
 WORD = r"[^\x20\x09-\x0D]+"

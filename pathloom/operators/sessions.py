@@ -1,11 +1,16 @@
 """Splitting sessions by concurrent tabs, idle gaps and excluded URLs.
 
-All steps keep the partitioning by session, so that one shuffle serves the chain.
+Everything that runs along a session's events does so hour by hour: windows see the events of one session and hour,
+and what an hour hands on (its sums and its last time) is carried over by a table of hours. So a session with a
+large part of all events, as a bot leaves, is no hot spot, and no two tabs or events are compared in pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,35 +21,73 @@ IDLE = "30 minutes"
 MIN_SEGMENT = 3
 #: What identifies a sub-session, in the order of sub-sessions.
 SUB_KEY = ["session_id", "is_concurrent", "group_tab", "sub_idx"]
+_FIRST = Window.unboundedPreceding
+
+
+def _same(left: str, right: str, keys: Sequence[str]) -> Column:
+    return reduce(Column.__and__, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
+
+
+def running_sums(rows: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    """Adds, for each name in ``values``, the sum of its column over the rows of the key up to and with this one.
+
+    ``order`` begins with ``time``, a timestamp. A window sees one key's rows of an hour; only the sums of hours meet
+    in the next one. Rows without a time stand first.
+    """
+    rows = rows.withColumn("_hour", F.date_trunc("hour", time))
+    inside = Window.partitionBy(*keys, "_hour").orderBy(*order).rowsBetween(_FIRST, 0)
+    hours = rows.groupBy(*keys, "_hour").agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in values.items()])
+    before = Window.partitionBy(*keys).orderBy("_hour").rowsBetween(_FIRST, -1)
+    hours = hours.select(*keys, "_hour", *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_sum_{n}") for n in values])
+    own = rows.select("*", *[F.sum(v).over(inside).alias(f"_in_{n}") for n, v in values.items()]).alias("r")
+    both = own.join(hours.alias("h"), _same("r", "h", [*keys, "_hour"]))
+    return both.select(*[F.col(f"r.{c}") for c in rows.columns if c != "_hour" and c not in values], *[(F.col(f"_in_{n}") + F.col(f"_sum_{n}")).alias(n) for n in values])
 
 
 def concurrent_tabs(events: DataFrame) -> DataFrame:
     """(session_id, tab_id, first_ts, last_ts, n_overlaps) of every tab; overlaps are strict on both ends.
 
-    Tabs are few per session; the self-join is on the session with the overlap as residual condition.
+    A sweep over the tabs' ends: the tabs that a tab meets are those that began before its end less those that ended
+    by its start. Tabs without a time meet none.
     """
     tabs = events.groupBy("session_id", "tab_id").agg(F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"))
-    a, b = tabs.alias("a"), tabs.alias("b")
-    meet = F.col("a.session_id").eqNullSafe(F.col("b.session_id")) & ~F.col("a.tab_id").eqNullSafe(F.col("b.tab_id")) & (F.col("a.first_ts") < F.col("b.last_ts")) & (F.col("b.first_ts") < F.col("a.last_ts"))
-    return a.join(b, meet, "left").groupBy("a.session_id", "a.tab_id", "a.first_ts", "a.last_ts").agg(F.count("b.first_ts").alias("n_overlaps"))
+    point = F.col("first_ts") == F.col("last_ts")
+    # at equal times: ends ask, tabs begin, tabs end, starts ask. A tab of one moment asks before it ends, and doesn't count itself
+    stops = [(F.col("last_ts"), F.lit(0)), (F.col("first_ts"), F.lit(1)), (F.col("last_ts"), F.when(point, 4).otherwise(2)), (F.col("first_ts"), F.when(point, 3).otherwise(5))]
+    swept = tabs.select("session_id", "tab_id", point.alias("point"), F.explode(F.array(*[F.struct(t.alias("at"), k.alias("kind")) for t, k in stops])).alias("s")).select("session_id", "tab_id", "point", "s.at", "s.kind").where("at is not null")
+    begun, ended = (F.col("kind") == 1).cast("long"), F.col("kind").isin(2, 4).cast("long")
+    counted = running_sums(swept, ["session_id"], "at", ["at", "kind"], {"begun": begun, "ended": ended})
+    met = counted.groupBy("session_id", "tab_id").agg(F.max(F.when(F.col("kind") == 0, F.col("begun") - (~F.col("point")).cast("long"))).alias("begun"), F.max(F.when(F.col("kind").isin(3, 5), F.col("ended"))).alias("ended"))
+    both = tabs.alias("t").join(met.alias("m"), _same("t", "m", ["session_id", "tab_id"]), "left")
+    return both.select("t.*", F.coalesce(F.col("begun") - F.col("ended"), F.lit(0)).cast("long").alias("n_overlaps"))
 
 
 def split_tabs(events: DataFrame) -> DataFrame:
     """Adds is_concurrent and group_tab: tabs that overlap another stand alone, the rest is one main group."""
     tabs = concurrent_tabs(events).where("n_overlaps > 0").select("session_id", "tab_id", F.lit(True).alias("_c"))
-    e, t = events.alias("e"), tabs.alias("t")
-    same = F.col("e.session_id").eqNullSafe(F.col("t.session_id")) & F.col("e.tab_id").eqNullSafe(F.col("t.tab_id"))
-    out = e.join(t, same, "left")
+    out = events.alias("e").join(tabs.alias("t"), _same("e", "t", ["session_id", "tab_id"]), "left")
     flag = F.coalesce(F.col("t._c"), F.lit(False))
     return out.select("e.*", flag.alias("is_concurrent"), F.when(flag, F.col("e.tab_id")).alias("group_tab"))
 
 
 def split_idle(events: DataFrame, keys: list[str], gap: str = IDLE, order: list[str] = ORDER) -> DataFrame:
-    """Adds sub_idx: a new sub-session begins when more than ``gap`` passes; unknown times never split."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    late = F.col("timestamp") - F.lag("timestamp").over(w) > F.expr(f"interval {gap}")
-    marked = events.withColumn("_new", F.when(late, 1).otherwise(0))
-    return marked.withColumn("sub_idx", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    """Adds sub_idx: a new sub-session begins when more than ``gap`` passes; unknown times never split.
+
+    ``order`` begins with the timestamp. An hour hands on its last time and how many gaps it has; the first event of
+    the next hour with events is held against that time.
+    """
+    rows = events.withColumn("_hour", F.date_trunc("hour", "timestamp"))
+    wide = F.expr(f"interval {gap}")
+    w = Window.partitionBy(*keys, "_hour").orderBy(*order)
+    rows = rows.withColumn("_new", F.when(F.col("timestamp") - F.lag("timestamp").over(w) > wide, 1).otherwise(0))
+    rows = rows.withColumn("_in", F.sum("_new").over(w.rowsBetween(_FIRST, 0)))
+    hours = rows.groupBy(*keys, "_hour").agg(F.min("timestamp").alias("_a"), F.max("timestamp").alias("_b"), F.sum("_new").alias("_n"))
+    by = Window.partitionBy(*keys).orderBy("_hour")
+    hours = hours.withColumn("_begins", F.when(F.col("_a") - F.lag("_b").over(by) > wide, 1).otherwise(0))
+    done = F.coalesce(F.sum("_n").over(by.rowsBetween(_FIRST, -1)), F.lit(0)) + F.sum("_begins").over(by.rowsBetween(_FIRST, 0))
+    hours = hours.select(*keys, "_hour", done.alias("_done"))
+    both = rows.alias("r").join(hours.alias("h"), _same("r", "h", [*keys, "_hour"]))
+    return both.select(*[F.col(f"r.{c}") for c in events.columns], (F.col("_done") + F.col("_in")).alias("sub_idx"))
 
 
 def split_sessions(events: DataFrame, gap: str = IDLE) -> DataFrame:
@@ -55,11 +98,11 @@ def split_sessions(events: DataFrame, gap: str = IDLE) -> DataFrame:
 def split_exclusions(events: DataFrame, patterns: list[str], keys: list[str], order: list[str] = ORDER, minimum: int = MIN_SEGMENT) -> DataFrame:
     """Adds segment: events are cut at excluded URLs, which go, as do segments of under ``minimum`` events.
 
-    Without patterns all events are one segment of any size.
+    Without patterns all events are one segment of any size. ``order`` begins with the timestamp.
     """
     if not patterns:
         return events.withColumn("segment", F.lit(0).cast("long"))
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    cut = events.withColumn("_x", is_excluded(F.col("url"), patterns)).withColumn("segment", F.sum(F.col("_x").cast("long")).over(w)).where(~F.col("_x")).drop("_x")
-    whole = Window.partitionBy(*keys, "segment")
-    return cut.withColumn("_n", F.count(F.lit(1)).over(whole)).where(F.col("_n") >= minimum).drop("_n")
+    marked = events.withColumn("_x", is_excluded(F.col("url"), patterns))
+    cut = running_sums(marked, keys, order[0], order, {"segment": F.col("_x").cast("long")}).where(~F.col("_x")).drop("_x")
+    large = cut.groupBy(*keys, "segment").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= minimum)
+    return cut.alias("c").join(large.alias("l"), _same("c", "l", [*keys, "segment"]), "left_semi")

@@ -15,6 +15,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pathloom.functions.element import locator
 from pathloom.functions.url import bound, is_link_nav, link_destination, normalise_url, path
@@ -336,7 +337,6 @@ def unique_names(behaviors: list[dict]) -> None:
 
 
 STEP = "step_no int, type string, locator string, url string, value string, repeat_count int, description string, assertions array<string>"
-AHEAD = "event_id string, next_url string, to_navigation boolean"
 
 
 def _rows(flows: DataFrame, keep: list[str], schema: str, make: Callable[[dict], list[dict]]) -> DataFrame:
@@ -386,11 +386,15 @@ def plain_steps(flows: DataFrame, keep: list[str]) -> DataFrame:
     return _rows(flows, keep, STEP, make)
 
 
-def look_ahead(flows: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep, event_id, next_url, to_navigation): for each event the place that the builder sees ahead of it."""
+def look_ahead(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """(event_id, next_url, to_navigation) of prepared events: where the next event that counts is, and whether it is a navigation.
 
-    def make(flow: dict) -> list[dict]:
-        b = Builder(flow["events"] or [])
-        return [{"event_id": e["event_id"], "next_url": (b.next_place[i] or {}).get("url"), "to_navigation": b.next_nav[i] is not None} for i, e in enumerate(b.events, 1)]
-
-    return _rows(flows, keep, AHEAD, make)
+    A navigation is where it leads to, others are where they happen; events that a look ahead passes over don't count.
+    One running window per sub-session, from its end: its last value that isn't null is the next one.
+    """
+    e = F.col("step_event")
+    goes = F.coalesce(e["type"] == "navigation", F.lit(False))
+    place = F.when(goes | ~F.coalesce(e["type"], F.lit("")).isin(PEEK_SKIP), F.struct(F.when(goes, e["to"]["url"]).otherwise(e["page"]["url"]).alias("url"), goes.alias("goes")))
+    back = Window.partitionBy(*keys).orderBy(*[F.desc_nulls_last(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.last(place, ignorenulls=True).over(back)
+    return events.select("event_id", ahead.alias("_a")).select("event_id", F.col("_a.url").alias("next_url"), F.coalesce("_a.goes", F.lit(False)).alias("to_navigation"))

@@ -274,7 +274,7 @@ def oracle_sql() -> dict[str, str]:
         "comment_escape": "WITH t AS (SELECT doc_id, translate(coalesce(text, ''), chr(13) || chr(10) || chr(8232) || chr(8233), '    ') AS a, translate(replace(coalesce(text, ''), '*/', '* /'), chr(13) || chr(10) || chr(8232) || chr(8233), '    ') AS b FROM documents) SELECT doc_id, md5(substr(a, 1, 250)) AS line, md5(b) AS block FROM t",
         "string_literal": f"SELECT page_id, replace(replace(replace(replace(replace({LITERAL}, '<', chr(92) || 'u003c'), '`', chr(92) || 'u0060'), chr(8232), chr(92) || 'u2028'), chr(8233), chr(92) || 'u2029'), '${{', chr(92) || 'u0024{{') AS literal FROM pages",
         "variables_first": f"WITH {EV} SELECT 'f' || (k % 2)::VARCHAR AS name, 'Form value for ' || first(loc ORDER BY session_id, ts, seq) AS description, first(k::VARCHAR ORDER BY session_id, ts, seq) AS example FROM ev WHERE kind = 'fill' GROUP BY 1",
-        "event_validation": f"WITH {EV}, t AS (SELECT seq, k % 6 AS defect, seq % {len(payload_samples())} AS i FROM ev), o AS (SELECT seq, CASE defect WHEN 0 THEN i IN ({at(lambda x: x[3] == '{}')}) WHEN 1 THEN i NOT IN ({at(lambda x: x[2])}) WHEN 2 THEN i NOT IN ({at(lambda x: x[1])}) ELSE true END AS ok FROM t) SELECT seq // 3 AS flow_id, count(*) AS n_events, bool_and(ok) AS valid FROM o GROUP BY 1",
+        "event_validation": f"WITH {EV}, t AS (SELECT seq, k % 6 AS defect, seq % {len(payload_samples())} AS i FROM ev), o AS (SELECT seq, CASE defect WHEN 0 THEN i IN ({at(lambda x: x[3] == '{}')}) WHEN 1 THEN i NOT IN ({at(lambda x: x[2])}) WHEN 2 THEN i NOT IN ({at(lambda x: x[1])}) WHEN 3 THEN i IN ({at(lambda x: x[5] == '{}')}) ELSE true END AS ok FROM t) SELECT seq // 3 AS flow_id, count(*) AS n_events, bool_and(ok) AS valid FROM o GROUP BY 1",
         "deny_pattern_scan": "SELECT page_id, (" + " OR ".join(f"regexp_matches(html, '{plain_regex(p)}')" for p in DENIED) + f") AS denied, regexp_matches(html, '{ESCAPES}') AS escapes FROM pages",
         "variable_map": f"WITH {EV} SELECT loc AS locator, 'f' || (k % 2)::VARCHAR AS name FROM ev WHERE kind = 'fill' GROUP BY 1, 2",
     }

@@ -177,7 +177,7 @@ def _gathered(spark, d):
 
 
 def next_significant_event(spark, d):
-    return steps.look_ahead(_gathered(spark, d), [])
+    return steps.look_ahead(steps.prepared(_split(spark, d)), KEY, ["timestamp", "sequence"])
 
 
 def flow_steps(spark, d):
@@ -286,30 +286,35 @@ def variable_map(spark, d):
     return variables.variable_map(derived.events(spark, d), "session_id", "timestamp", "sequence")
 
 
-#: A JSON value of each kind of payload field.
-SAMPLES = {"s": '"x"', "n": "1.5", "n0": "0", "n1": "2", "b": "true", "p": '{"x":1,"y":2}', "l": '["a"]', "o": '{"k":1}', "any": "3"}
+#: A JSON value of each kind of payload field, and one that is wrong for it ("any" has none).
+SAMPLES = {"s": '"x"', "n": "1.5", "n0": "0", "n1": "2", "i": "-4", "i0": "3", "b": "true", "p": '{"x":1,"y":2}', "ls": '["a"]', "ln0": "[0,2.5]", "lm": '["Shift","Alt"]', "o": '{"k":1}', "os": '{"k":"v"}', "any": "3"}
+WRONG = {"s": "5", "n": '"x"', "n0": "-1", "n1": "0", "i": "1.5", "i0": "-2", "b": "7", "p": '{"x":1,"y":"?"}', "ls": '["a",5]', "ln0": "[1,-1]", "lm": '["Shift","Hyper"]', "o": "[1]", "os": '{"k":1}'}
 
 
-def payload_samples() -> list[tuple[str, bool, bool, str, str]]:
-    """Of every event type: name, whether it requires a target, whether it has required fields, a right payload, and one without the first required field."""
+def payload_samples() -> list[tuple[str, bool, bool, str, str, str]]:
+    """Of every event type: name, whether it requires a target, whether it has required fields, a right payload, one without the first required field, and one with the last typed field wrong."""
     out = []
     for line in validation.TYPES.strip().split("\n"):
         name, *fields = line.split(" ")
         pairs = [] if fields == ["free"] else [(f.split(":")[0], f.split(":")[1]) for f in fields]
-        text = lambda some: "{" + ",".join(f'"{n.rstrip("*")}":' + SAMPLES.get(k, f'"{k.split("|")[0]}"') for n, k in some) + "}"
-        needed = next((p for p in pairs if p[0].endswith("*")), None)
-        out.append((name.rstrip("!"), name.endswith("!"), needed is not None, text(pairs), text([p for p in pairs if p != needed])))
+        value = lambda k: SAMPLES.get(k, f'"{k.split("|")[0]}"')
+        text = lambda some: "{" + ",".join(f'"{n.rstrip("*")}":{v}' for n, v in some) + "}"
+        right = [(n, value(k)) for n, k in pairs]
+        needed = next((i for i, p in enumerate(pairs) if p[0].endswith("*")), None)
+        typed = next((i for i, p in reversed(list(enumerate(pairs))) if p[1] != "any"), None)
+        wrong = [(n, WRONG.get(pairs[i][1], '"?"') if i == typed else v) for i, (n, v) in enumerate(right)]
+        out.append((name.rstrip("!"), name.endswith("!"), needed is not None, text(right), text([p for i, p in enumerate(right) if i != needed]), text(wrong)))
     return out
 
 
 def event_validation(spark, d):
-    """All event types in turn; by their number some have a field too many, lack a required field, or have no target."""
+    """All event types in turn; by their number some have a field too many, lack a required field, have no target, or hold a value of a wrong type."""
     e = derived.events(spark, d)
     uuid = lambda c: F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(c, 12, "0"))
     samples, defect, at = payload_samples(), F.col("k") % 6, (F.col("sequence") % len(validation.TYPES.strip().split("\n")) + 1).cast("int")
     pick = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in samples]), at)
     more = F.when(pick(3) == "{}", F.lit('{"bogus":1}')).otherwise(F.concat(F.lit('{"bogus":1,'), F.substr(pick(3), F.lit(2))))
-    payload = F.when(defect == 0, more).when(defect == 1, pick(4)).otherwise(pick(3))
+    payload = F.when(defect == 0, more).when(defect == 1, pick(4)).when(defect == 3, pick(5)).otherwise(pick(3))
     target = F.when(defect != 2, F.from_json(F.lit('{"tag":"DIV"}'), TARGET))
     e = e.withColumns({"event_type": pick(0), "payload": payload, "target": target, "event_id": uuid(F.col("event_id")), "session_id": uuid(F.col("session_id")), "tab_id": uuid(F.col("sequence").cast("string")), "flow_id": F.floor(F.col("sequence") / 3)})
     return validation.valid_flows(e)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathloom.functions import element, text, url
+from pathloom.plans.queries import SAMPLES, WRONG
 from pathloom.operators import compare, dedup, flows, gate, graph, refine, render, sessions, steps, validation, variables
 from pathloom.schema import EVENT, TARGET
 from pathloom.streaming import sessions as streaming
@@ -237,6 +238,25 @@ def test_validation(spark):
     assert len(EVENT) > 0
 
 
+def test_every_payload_field_has_its_type(spark):
+    rows = []
+    for line in validation.TYPES.strip().split("\n"):
+        name, *fields = line.split(" ")
+        for i, f in enumerate(fields if fields != ["free"] else []):
+            kind = f.split(":")[1]
+            for value, right in [(SAMPLES.get(kind, f'"{kind.split("|")[0]}"'), True), (WRONG.get(kind, '"?"') if kind != "any" else None, False), ("null", "*" not in f)]:
+                if value is not None:
+                    others = {g.split(":")[0].rstrip("*"): SAMPLES.get(g.split(":")[1], f'"{g.split(":")[1].split("|")[0]}"') for j, g in enumerate(fields) if j != i and "*" in g.split(":")[0]}
+                    body = {**others, f.split(":")[0].rstrip("*"): value}
+                    rows.append((name.rstrip("!"), "{" + ",".join(f'"{k}":{v}' for k, v in body.items()) + "}", right))
+    rows += [("fill", '{"value":"5"}', True), ("scroll", '{"x":"5","y":2,"direction":"up"}', True), ("fill", "{broken", False), ("fill", "[1]", False), ("focus", "[1]", False), ("focus", None, True), ("file_upload", '{"filenames":[],"mimes":["a",null]}', False)]
+    u = "00000000-0000-4000-8000-000000000001"
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "flow_id int, event_type string, payload string, right boolean")
+    df = df.select("*", *[F.lit(u).alias(c) for c in ("event_id", "session_id", "tab_id")], F.lit(1).cast("long").alias("sequence"), F.from_json(F.lit('{"tag":"A"}'), TARGET).alias("target"), F.current_timestamp().alias("timestamp"), F.lit("/x").alias("url"), F.lit("{}").alias("page_context"), F.lit(1).alias("schema_version"))
+    got = {r["flow_id"]: r["valid"] for r in validation.valid_flows(df).collect()}
+    assert [r for i, r in enumerate(rows) if got[i] != r[2]] == []
+
+
 def test_streamed_sessions_equal_the_batch_split(spark, tmp_path):
     rows = [("s", "t", m, "click", "/x", None, None) for m in (0, 10, 40, 71)] + [("end", "t", 500, "click", "/x", None, None)]
     batch = events(spark, rows)

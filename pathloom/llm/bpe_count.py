@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.llm.common import renamed
+
 from pathloom.llm.units import Memory, any_units, units
 
 #: The pre-token pattern of byte-level BPE (fixed value of the tokenizer).
@@ -132,7 +134,7 @@ def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", limit: int
     doesn't matter, and a lost executor costs its tasks only. Input columns that clash with the added names are replaced.
     A file that isn't plain byte-level BPE is refused.
     """
-    keep = [c for c in docs.columns if c not in (text, "n_bytes", "n_tokens", "over_limit")]
+    rows, keep, at = renamed(docs, (text, "n_bytes", "n_tokens", "over_limit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(tokenizer)
@@ -141,6 +143,6 @@ def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", limit: int
             counts = pa.array([counter.count(x.as_py()) for x in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(i) for i, f in enumerate(b.schema) if f.name != "_text"] + [counts], names=[f.name for f in b.schema if f.name != "_text"] + ["n_tokens"])
 
-    rows = docs.select(*keep, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.col(text).alias("_text"))
+    rows = rows.select(*keep, F.coalesce(F.octet_length(at[text]), F.lit(0)).cast("long").alias("n_bytes"), F.col(at[text]).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text") + ", n_tokens long"
-    return rows.mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return rows.mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit).toDF(*keep.values(), "n_bytes", "n_tokens", "over_limit")

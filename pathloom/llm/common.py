@@ -76,6 +76,15 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def renamed(docs: DataFrame, replaced: Sequence[str]) -> tuple[DataFrame, dict[str, str], dict[str, str]]:
+    """The rows with columns c0, c1, ..., the names of those that stay by their new ones, and the new names by the old.
+
+    Columns named in ``replaced`` don't stay. So no name of the input, dotted or not, meets one that a method uses.
+    """
+    at = {n: f"c{i}" for i, n in enumerate(docs.columns)}
+    return docs.toDF(*at.values()), {c: n for n, c in at.items() if n not in replaced}, at
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(f"{WORD_CHAR}+")), F.lit(0)).cast("long")

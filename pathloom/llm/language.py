@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from pathloom.llm.common import spread
+from pathloom.llm.common import renamed, spread
 
 #: N-grams in a profile and in a document's list; lengths of n-grams.
 PROFILE, ORDERS = 400, (1, 2, 3)
@@ -94,7 +94,8 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """Profiles of the languages of the training documents (remainder not 0, language not null).
 
     Counts come from whole texts of a hash sample of about ``sample_docs`` documents per language. The
-    driver receives one count per language and ``length`` n-grams per language; labels are few.
+    driver receives one count per language and ``length`` n-grams per language; labels are few. From an empty table, or one
+    without labels, nothing is learned.
     """
     train = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (remainder(key) != 0)).select(F.col(key).alias("_id"), F.col(lang).cast("string").alias("_lang"), F.col(text).alias("_text"))
     sizes = {r["_lang"]: r["n"] for r in train.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -125,11 +126,12 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
     """The input's columns but for the text, and lang_pred and score, from the text alone.
 
-    Null texts and texts without a letter are ``und`` with score 0. Rows are judged one by one in
-    Arrow batches; nothing is shuffled. Input columns that clash with the added names are replaced.
+    Null texts and texts without a letter are ``und`` with score 0, as are all where no language was learned. Texts of any
+    length are judged whole, repeated rows each alike; an empty table gives no rows. Rows are judged one by one in Arrow
+    batches; nothing is shuffled. Input columns with the added names are replaced, others, of any name, stay.
     """
-    keep = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
-    rows = docs.select(*keep, F.col(text).alias("_text"))
+    rows, keep, at = renamed(docs, (text, "lang_pred", "score"))
+    rows = rows.select(*keep, F.col(at[text]).alias("_text"))
     schema = T.StructType([*rows.select(*keep).schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,4 +139,4 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFra
             found = [profiles.predict(x.as_py()) for x in b.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*keep.values(), "lang_pred", "score")

@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import BROADCAST_ROWS, SPACE_RUN, WORD_CHAR, dropped, small_side, stored
+from pathloom.llm.common import BROADCAST_ROWS, SPACE_RUN, WORD_CHAR, dropped, renamed, small_side, stored
 
-#: Normalised lines shorter than this (code points) are left alone.
+#: Normalised lines shorter than this (code points) have no near lines: one edit makes another word of them. Equal ones go at any length.
 MIN_CHARS = 20
 #: Stretches of a line of which a near line may differ in one, coarse ones first; lines without such a partner write out no variants.
 HOLES = (8, 64)
@@ -69,7 +69,7 @@ def _key(table: DataFrame, key: str, text: str) -> list[Column]:
     return [F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("_k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_t")]
 
 
-def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 1) -> DataFrame:
     """(_k, _t, _at, _line): the normalised lines of documents with their places."""
     lines = docs.select(*_key(docs, key, text), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("_at", "_raw"))
     return lines.select("_k", "_t", "_at", normal(F.col("_raw")).alias("_line")).where(F.length("_line") >= min_chars)
@@ -169,10 +169,12 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars
     """(_k, _t, _at, _exact): places of the lines that go: an equal line, or one at edit distance 1, is earlier.
 
     Order: by key (nulls last), text hash and line number. Repeated rows (same key and text) are one
-    document and are treated alike. A line goes even if the earlier line goes too.
+    document and are treated alike. A line goes even if the earlier line goes too. Lines without a word never go; equal
+    lines go at any length, near ones from ``min_chars`` on. Texts and lines of any length are read whole.
     """
-    lines = occurrences(docs, key, text, min_chars).select("_k", "_t", "_at", "_line", F.xxhash64("_line").alias("_h"))
-    halved = stored(lines.select("_k", "_t", "_at", "_h", _halves(F.col("_line")).alias("_halves")), "places")
+    lines = occurrences(docs, key, text).select("_k", "_t", "_at", "_line", F.xxhash64("_line").alias("_h"))
+    halves = F.when(F.length("_line") >= min_chars, _halves(F.col("_line")))
+    halved = stored(lines.select("_k", "_t", "_at", "_h", halves.alias("_halves")), "places")
     at = halved.select("_k", "_t", "_at", "_h")
     firsts = at.groupBy("_h").agg(F.min(F.struct("_k", "_t", "_at")).alias("_first"), F.count(F.lit(1)).alias("_n"))
     near = stored(near_lines(docs, halved, firsts.select("_h", "_first"), key, text, min_chars).select("_h", F.lit(True).alias("_is_near")), "near")
@@ -187,12 +189,15 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     """The input's columns with the text rewritten, and n_lines, n_exact and n_near (lines, and lines removed).
 
     Lines are what stands between line feeds. A line that is removed goes with its line feed. Null
-    texts stay null with no lines; short lines stay; an empty table gives no rows; an input column that
-    clashes with an added name is replaced. The texts are shuffled once, by their key.
+    texts stay null with no lines; lines without a word stay; an empty table gives no rows; repeated rows are treated
+    alike; texts of any length are read whole. Input columns with the added names are replaced, others, of any name,
+    stay. The texts are shuffled once, by their key.
     """
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
-    gone = removals(docs, key, text, min_chars).groupBy("_k", "_t").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_exact"))).alias("_gone"))
-    d, g = docs.select(*keep, *[c.alias(n) for c, n in zip(_key(docs, key, text), ("_k", "_t"), strict=True)]).alias("d"), gone.alias("g")
+    added = ("n_lines", "n_exact", "n_near")
+    rows, keep, at = renamed(docs, added)
+    key, text = at[key], at[text]
+    gone = removals(rows, key, text, min_chars).groupBy("_k", "_t").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_exact"))).alias("_gone"))
+    d, g = rows.select(*keep, *[c.alias(n) for c, n in zip(_key(rows, key, text), ("_k", "_t"), strict=True)]).alias("d"), gone.alias("g")
     both = d.join(g, (F.col("d._k") == F.col("g._k")) & (F.col("d._t") == F.col("g._t")), "left").select(*[F.col(f"d.{c}") for c in keep], F.col("g._gone").alias("_gone"))
     lines = F.split(F.col(text), "\n")
     places = F.array_sort(F.map_keys("_gone"))
@@ -200,7 +205,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     rewritten = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), places), lambda i: F.get(F.col("_all"), i)), "\n"))
     exact = F.coalesce(F.size(F.filter(F.map_values("_gone"), lambda x: x)), F.lit(0)).cast("long")
     out = both.select(*[rewritten.alias(c) if c == text else F.col(c) for c in keep], F.coalesce(F.size("_all"), F.lit(0)).cast("long").alias("n_lines"), exact.alias("n_exact"), (F.coalesce(F.size("_gone"), F.lit(0)).cast("long") - exact).alias("n_near"))
-    return out
+    return out.toDF(*keep.values(), *added)
 
 
 def deduplicated_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:

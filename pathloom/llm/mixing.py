@@ -115,10 +115,10 @@ def assign(
     empty table gives no rows; input columns with the added names are replaced; reruns agree.
     """
     added = ("source_size", "target", "taken", "positions", "order")
-    keep = [c for c in docs.columns if c not in added and not c.startswith("_")]
+    keep = [c for c in docs.columns if c not in added]
     if source not in keep or size not in keep or key not in keep:
         keep += [c for c in dict.fromkeys((source, size, key)) if c not in keep]
-    rows = folded(docs.select(*[(F.coalesce(F.col(c), F.lit(0)).cast("long") if c == size else F.col(c)).alias(f"_c{i}") for i, c in enumerate(keep)]), "sized")
+    rows = folded(docs.select(*[(F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("long") if c == size else F.col(f"`{c}`")).alias(f"_c{i}") for i, c in enumerate(keep)]), "sized")
     at = {c: f"_c{i}" for i, c in enumerate(keep)}
     s, n, k = at[source], at[size], at[key]
     rows = rows.withColumn("_total", F.col(n) * F.col("_copies"))

@@ -87,9 +87,10 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, keep: list
     """
     made = ("piece", "start", "length", "ids_crc32", "ids")
     keep = ["doc_id"] if keep is None else [c for c in keep if c not in made]
-    rows = docs.select(*keep, F.col(text).alias("_text"))
-    names = [*keep, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
-    schema = T.StructType([*rows.select(*keep).schema, T.StructField("piece", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")], *[T.StructField("ids", T.StringType())] * with_ids])
+    held = [f"c{i}" for i in range(len(keep))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(h) for c, h in zip(keep, held, strict=True)], F.col(f"`{text}`").alias("_text"))
+    names = [*held, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+    schema = T.StructType([*rows.select(*held).schema, T.StructField("piece", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")], *[T.StructField("ids", T.StringType())] * with_ids])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(tokenizer)
@@ -111,7 +112,7 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, keep: list
             more = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())] + ([pa.array(ids, pa.string())] if with_ids else [])
             yield pa.RecordBatch.from_arrays([*taken.columns, *more], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*keep, *names[len(keep) :])
 
 
 def nnls(a: np.ndarray, b: np.ndarray, steps: int = 2000) -> np.ndarray:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathloom.llm.common import dropped, small_side, stored
+from pathloom.llm.common import dropped, renamed, small_side, stored
 
 THRESHOLD = 3
 SHINGLE = 3
@@ -69,9 +69,9 @@ def _majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The input's columns but for the text, and _fp (the fingerprint as a signed long)."""
-    keep = [c for c in docs.columns if c not in (text, "_fp")]
-    rows = docs.select(*keep, F.col(text).alias("_text"))
+    """The input's columns but for the text, and _fp (the fingerprint as a signed long); one of the input named so is replaced."""
+    rows, keep, at = renamed(docs, (text, "_fp"))
+    rows = rows.select(*keep, F.col(at[text]).alias("_text"))
     schema = T.StructType([*rows.select(*keep).schema, T.StructField("_fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) ->
             found = np.array([fingerprint(x.as_py(), shingle) for x in b.column(len(keep))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(found)], names=[*keep, "_fp"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*keep.values(), "_fp")
 
 
 def _half(fp: Column, side: int) -> Column:
@@ -235,12 +235,15 @@ def classes(printed: DataFrame, key: str = "doc_id", threshold: int = THRESHOLD)
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """The input's columns but for the text, and fingerprint (16 hex digits) and component_id.
 
-    Fingerprints, a few bytes a row, are written to the shared folder once.
+    Null and empty texts and those without a word have fingerprint zero and are linked like any other; texts of any length are
+    read whole; repeated rows each get their group; an empty table gives no rows. Input columns with the added names are
+    replaced, others, of any name, stay. Fingerprints, a few bytes a row, are written to the shared folder once.
     """
-    keep = [c for c in docs.columns if c not in ("fingerprint", "component_id", "_fp", "_least")]
-    printed = stored(fingerprints(docs.select(*keep), text, shingle), "printed")
-    out = classes(printed, key, threshold)
-    return out.select(*[c for c in out.columns if c not in ("_fp", "component_id")], F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows, keep, at = renamed(docs, ("fingerprint", "component_id"))
+    printed = stored(fingerprints(rows.select(*keep), at[text], shingle), "printed")
+    stay = [c for c in keep if c != at[text]]
+    out = classes(printed, at[key], threshold).select(*stay, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.toDF(*[keep[c] for c in stay], "fingerprint", "component_id")
 
 
 def band_keys(own: np.ndarray) -> np.ndarray:

@@ -4,7 +4,10 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-CLASHES = ["n_words", "n_removed", "kept", "_own", "_host", "_k1", "_k", "_t", "n_near", "n_lines", "component_id", "fingerprint", "_fp", "_node", "size", "target", "taken", "positions", "order", "row", "key", "own", "_position", "turns", "a.b"]
+from pathloom.llm import bpe_count, language, lines, mixing, packing, quality, simhash
+from pathloom.llm.queries import tokenizer_path
+
+CLASHES = ["n_words", "n_removed", "kept", "_own", "_host", "_k1", "_k", "_t", "n_near", "n_lines", "component_id", "fingerprint", "_fp", "_node", "size", "target", "taken", "positions", "order", "row", "key", "own", "_position", "turns", "a.b", "_text", "_gone", "_all", "_at", "_s", "_least", "_w", "kept_", "x", "h", "c0", "c1", "c.0"]
 
 
 def documents(spark):
@@ -29,6 +32,33 @@ def test_stages_pass_on_columns_of_any_name(spark, stage):
         assert all(str(r[c]).startswith(f"{c}!") for c in CLASHES)
 
 
+def applied(spark, docs):
+    """Each operator over documents, by name; those that carry the input's columns on, and whether a dotted name was asked for."""
+    sized = docs.withColumn("size", F.length("text"))
+    return {
+        "lines": lambda: lines.dedup_lines(docs), "mixing": lambda: mixing.assign(sized), "quality": lambda: quality.judge(docs), "tokens": lambda: bpe_count.token_counts(docs, tokenizer_path()), "simhash": lambda: simhash.near_duplicates(docs),
+        "language": lambda: language.identify(docs, language.learn(docs)), "packing": lambda: packing.pack_documents(docs, tokenizer_path(), keep=["doc_id", "_text", "own"]),
+    }
+
+
+@pytest.mark.parametrize("name", ["lines", "mixing", "quality", "tokens", "simhash", "language", "packing"])
+def test_operators_carry_columns_of_any_name(spark, name):
+    docs = documents(spark)
+    got = applied(spark, docs)[name]()
+    rows = got.collect()
+    assert len(rows) >= docs.count()
+    carried = [c for c in CLASHES if c in got.columns]
+    whole = [c for c in carried if all(r[c] is not None and str(r[c]).startswith(f"{c}!") for r in rows)]
+    assert len(carried) - len(whole) <= 7 and len(whole) >= (2 if name == "packing" else len(CLASHES) - 8), set(CLASHES) - set(whole)
+    for r in rows:
+        assert len({str(r[c]).split("!")[-1] for c in whole}) == 1
+
+
+@pytest.mark.parametrize("name", ["lines", "mixing", "quality", "tokens", "simhash", "language", "packing"])
+def test_operators_of_an_empty_table(spark, name):
+    assert applied(spark, documents(spark).where("doc_id < -5"))[name]().count() == 0
+
+
 def test_pipeline_of_an_empty_table(spark):
     docs = documents(spark).select("doc_id", "text", "lang", "source", "n_chars").where("doc_id < 0")
     for name, stage in corpus_pipeline.STAGES:

@@ -20,7 +20,7 @@ def slow(rows, least=20):
     at = []
     for k, t in sorted({r[:2] for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0])):
         at += [((k is None, k or 0), k, t, i, " ".join(x.lower().split())) for i, x in enumerate(t.split("\n"))]
-    at = [x for x in at if len(x[4]) >= least]
+    at = [x for x in at if x[4]]  # equal lines go at any length, near ones from ``least`` on
     gone = {}
     for i, x in enumerate(at):
         for y in at[:i]:
@@ -28,7 +28,7 @@ def slow(rows, least=20):
                 gone[x[1:4]] = "exact"
                 break
         else:
-            if any(abs(len(x[4]) - len(y[4])) <= 1 and distance(x[4], y[4]) <= 1 for y in at[:i]):
+            if any(len(x[4]) >= least and len(y[4]) >= least and abs(len(x[4]) - len(y[4])) <= 1 and distance(x[4], y[4]) <= 1 for y in at[:i]):
                 gone[x[1:4]] = "near"
     first = {}
     for x in at:

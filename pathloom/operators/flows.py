@@ -34,14 +34,14 @@ def action_text(actions: Column) -> Column:
 
 
 def sub_sessions(events: DataFrame, keys: list[str] = SUB_KEY, order: list[str] = ORDER) -> DataFrame:
-    """One row per sub-session: keys, nodes, pattern, fingerprint, page_set, n_actions, n_nodes, events.
+    """One row per sub-session: keys, nodes, pattern, fingerprint, page_set, n_actions, n_nodes, events (with link: a click on a link to another page).
 
     Sub-sessions with under 3 nodes are left out. A sub-session's events are gathered in its row, as an
     idle gap bounds them.
     """
-    rows = events.withColumn("node", event_node()).withColumn("_action", is_action()).withColumn("_element", F.coalesce(fingerprint("target"), F.lit("")))
+    rows = events.withColumn("node", event_node()).withColumn("_link", F.coalesce(F.col("event_type") == "click", F.lit(False)) & F.coalesce(is_link_nav(), F.lit(False))).withColumn("_action", is_action()).withColumn("_element", F.coalesce(fingerprint("target"), F.lit("")))
     place = F.struct(*order)
-    item = F.struct(place.alias("o"), F.col("node"), F.col("event_type"), F.col("url"), F.col("_element").alias("element"), F.col("_action").alias("is_action"))
+    item = F.struct(place.alias("o"), F.col("node"), F.col("event_type"), F.col("url"), F.col("_element").alias("element"), F.col("_action").alias("is_action"), F.col("_link").alias("link"))
     per = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("e"), viewport_class().alias("viewport"))
     per = per.withColumn("nodes", F.transform(F.filter("e", lambda x: x["node"].isNotNull()), lambda x: x["node"])).where(F.size("nodes") >= MIN_NODES)
     urls = F.transform("nodes", node_url)
@@ -53,7 +53,7 @@ def sub_sessions(events: DataFrame, keys: list[str] = SUB_KEY, order: list[str]
         F.when(F.size(acts) == 0, "").otherwise(F.md5(action_text(acts))).alias("fingerprint"),
         F.array_join(F.array_sort(F.array_distinct(F.transform(urls, normalise_url))), " + ").alias("page_set"),
         F.size(F.filter("nodes", lambda n: ~n.startswith("nav:"))).cast("long").alias("n_actions"), F.size("nodes").cast("long").alias("n_nodes"),
-        F.transform("e", lambda x: F.struct(x["event_type"].alias("event_type"), x["url"].alias("url"), x["element"].alias("element"), x["is_action"].alias("is_action"))).alias("events"),
+        F.transform("e", lambda x: F.struct(x["event_type"].alias("event_type"), x["url"].alias("url"), x["element"].alias("element"), x["is_action"].alias("is_action"), x["link"].alias("link"))).alias("events"),
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from pathloom.functions import element, text, url
 from pathloom.operators import checkpoints as cps
 from pathloom.operators import compare, dedup, flows, gate, graph, render, sessions, steps, validation, variables
+from pathloom.operators.numbering import numbered
 from pathloom.schema import TARGET
 from pathloom.session import table
 from pathloom.sources import derived
@@ -144,8 +145,8 @@ def _flow_set(spark, d):
     """Sub-sessions' patterns as flows with their first events, for the strategies."""
     subs = _subs(spark, d).withColumn("page", F.split_part(F.split_part("pattern", F.lit(" → "), F.lit(1)), F.lit("] "), F.lit(-1)))
     f = subs.groupBy("page", "fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min_by("events", F.struct(*KEY)).alias("events"), F.min(F.struct(*KEY)).alias("o"))
-    f = f.withColumn("flow_ord", F.row_number().over(Window.orderBy("o")))
-    events = F.transform("events", lambda e: F.struct(e["event_type"].alias("event_type"), e["url"].alias("url"), e["element"].alias("element"), F.lit(False).alias("link")))
+    f = numbered(f, "flow_ord", "o")
+    events = F.transform("events", lambda e: F.struct(e["event_type"].alias("event_type"), e["url"].alias("url"), e["element"].alias("element"), e["link"].alias("link")))
     return f.select("flow_ord", F.col("page").alias("canonical_pattern"), (F.col("n") % 7).cast("double").alias("popularity_score"), events.alias("events"))
 
 
@@ -167,7 +168,7 @@ def compare_flows(spark, d):
         s = flows.sub_sessions(sessions.split_sessions(e, GAP))
         g = s.groupBy("pattern").agg(F.min_by("nodes", F.struct(*KEY)).alias("nodes"), F.min(F.struct(*KEY)).alias("o"), F.count(F.lit(1)).alias("n"))
         actions = F.filter(F.transform("nodes", graph.node_action), lambda a: a.isNotNull())
-        return g.select(F.row_number().over(Window.orderBy("o")).alias("ord"), F.col("pattern").alias("canonical_pattern"), actions.alias("significant_actions"), F.when(F.col("n") > 1, "active").otherwise("archived").alias("status"))
+        return numbered(g, "ord", "o").select("ord", F.col("pattern").alias("canonical_pattern"), actions.alias("significant_actions"), F.when(F.col("n") > 1, "active").otherwise("archived").alias("status"))
 
     return compare.compare_flows(half(15, 31).drop("status"), half(0, 15)).select("canonical_pattern", "status", F.col("new_flow.ord").alias("new_ord"), F.col("existing_flow.ord").alias("existing_ord"))
 
@@ -331,7 +332,7 @@ def _specs(spark, d, strategy="smart"):
     events = steps.gathered(e, KEY, ["timestamp", "sequence"]).withColumnRenamed("events", "steps")
     total = derived.events(spark, d).select("session_id").distinct().count()
     mined = flows.popular_flows(subs, total, THRESHOLD)
-    facts = F.transform("events", lambda x: F.struct(x["event_type"].alias("event_type"), x["url"].alias("url"), x["element"].alias("element"), F.lit(False).alias("link")))
+    facts = F.transform("events", lambda x: F.struct(x["event_type"].alias("event_type"), x["url"].alias("url"), x["element"].alias("element"), x["link"].alias("link")))
     flat = mined.select(F.col("ord").alias("flow_ord"), "canonical_pattern", "popularity_score", "fingerprint", facts.alias("events"))
     first = subs.groupBy("pattern", "fingerprint").agg(F.min_by(F.struct(*KEY), F.struct(-F.col("n_actions"), -F.col("n_nodes"), F.struct(*KEY))).alias("key")).select("pattern", "fingerprint", *[F.col(f"key.{k}").alias(k) for k in KEY])
     j, v = first.alias("j"), events.alias("v")

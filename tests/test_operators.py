@@ -238,6 +238,16 @@ def test_validation(spark):
     assert len(EVENT) > 0
 
 
+def test_link_clicks_are_no_interactions_of_mined_flows(spark):
+    link, button = '{"tag":"A","attributes":{"href":"/two"}}', '{"tag":"BUTTON","selectors":{"testid":"go"}}'
+    rows = [("s", "t", i, "click", "/one", t, None) for i, t in enumerate([link, button, link, button])] + [("s", "t", 4, "click", "/one", '{"tag":"A","attributes":{"href":"#top"}}', None)]
+    subs = flows.sub_sessions(sessions.split_sessions(events(spark, rows)))
+    got = subs.select("events", dedup.interactions("events").alias("i")).first()
+    # no navigation follows the links: only what they point to tells that they aren't interactions
+    assert [e["link"] for e in got["events"]] == [True, False, True, False, False]
+    assert [e["element"] for e in got["i"]] == [e["element"] for e in got["events"] if not e["link"]]
+
+
 def test_every_payload_field_has_its_type(spark):
     rows = []
     for line in validation.TYPES.strip().split("\n"):

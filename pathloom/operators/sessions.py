@@ -24,7 +24,8 @@ SUB_KEY = ["session_id", "is_concurrent", "group_tab", "sub_idx"]
 _FIRST = Window.unboundedPreceding
 
 
-def _same(left: str, right: str, keys: Sequence[str]) -> Column:
+def same_keys(left: str, right: str, keys: Sequence[str]) -> Column:
+    """The keys of two aliased frames are equal; nulls equal nulls."""
     return reduce(Column.__and__, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
 
 
@@ -40,7 +41,7 @@ def running_sums(rows: DataFrame, keys: Sequence[str], time: str, order: Sequenc
     before = Window.partitionBy(*keys).orderBy("_hour").rowsBetween(_FIRST, -1)
     hours = hours.select(*keys, "_hour", *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_sum_{n}") for n in values])
     own = rows.select("*", *[F.sum(v).over(inside).alias(f"_in_{n}") for n, v in values.items()]).alias("r")
-    both = own.join(hours.alias("h"), _same("r", "h", [*keys, "_hour"]))
+    both = own.join(hours.alias("h"), same_keys("r", "h", [*keys, "_hour"]))
     return both.select(*[F.col(f"r.{c}") for c in rows.columns if c != "_hour" and c not in values], *[(F.col(f"_in_{n}") + F.col(f"_sum_{n}")).alias(n) for n in values])
 
 
@@ -58,14 +59,14 @@ def concurrent_tabs(events: DataFrame) -> DataFrame:
     begun, ended = (F.col("kind") == 1).cast("long"), F.col("kind").isin(2, 4).cast("long")
     counted = running_sums(swept, ["session_id"], "at", ["at", "kind"], {"begun": begun, "ended": ended})
     met = counted.groupBy("session_id", "tab_id").agg(F.max(F.when(F.col("kind") == 0, F.col("begun") - (~F.col("point")).cast("long"))).alias("begun"), F.max(F.when(F.col("kind").isin(3, 5), F.col("ended"))).alias("ended"))
-    both = tabs.alias("t").join(met.alias("m"), _same("t", "m", ["session_id", "tab_id"]), "left")
+    both = tabs.alias("t").join(met.alias("m"), same_keys("t", "m", ["session_id", "tab_id"]), "left")
     return both.select("t.*", F.coalesce(F.col("begun") - F.col("ended"), F.lit(0)).cast("long").alias("n_overlaps"))
 
 
 def split_tabs(events: DataFrame) -> DataFrame:
     """Adds is_concurrent and group_tab: tabs that overlap another stand alone, the rest is one main group."""
     tabs = concurrent_tabs(events).where("n_overlaps > 0").select("session_id", "tab_id", F.lit(True).alias("_c"))
-    out = events.alias("e").join(tabs.alias("t"), _same("e", "t", ["session_id", "tab_id"]), "left")
+    out = events.alias("e").join(tabs.alias("t"), same_keys("e", "t", ["session_id", "tab_id"]), "left")
     flag = F.coalesce(F.col("t._c"), F.lit(False))
     return out.select("e.*", flag.alias("is_concurrent"), F.when(flag, F.col("e.tab_id")).alias("group_tab"))
 
@@ -86,7 +87,7 @@ def split_idle(events: DataFrame, keys: list[str], gap: str = IDLE, order: list[
     hours = hours.withColumn("_begins", F.when(F.col("_a") - F.lag("_b").over(by) > wide, 1).otherwise(0))
     done = F.coalesce(F.sum("_n").over(by.rowsBetween(_FIRST, -1)), F.lit(0)) + F.sum("_begins").over(by.rowsBetween(_FIRST, 0))
     hours = hours.select(*keys, "_hour", done.alias("_done"))
-    both = rows.alias("r").join(hours.alias("h"), _same("r", "h", [*keys, "_hour"]))
+    both = rows.alias("r").join(hours.alias("h"), same_keys("r", "h", [*keys, "_hour"]))
     return both.select(*[F.col(f"r.{c}") for c in events.columns], (F.col("_done") + F.col("_in")).alias("sub_idx"))
 
 
@@ -105,4 +106,4 @@ def split_exclusions(events: DataFrame, patterns: list[str], keys: list[str], or
     marked = events.withColumn("_x", is_excluded(F.col("url"), patterns))
     cut = running_sums(marked, keys, order[0], order, {"segment": F.col("_x").cast("long")}).where(~F.col("_x")).drop("_x")
     large = cut.groupBy(*keys, "segment").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= minimum)
-    return cut.alias("c").join(large.alias("l"), _same("c", "l", [*keys, "segment"]), "left_semi")
+    return cut.alias("c").join(large.alias("l"), same_keys("c", "l", [*keys, "segment"]), "left_semi")

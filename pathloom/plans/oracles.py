@@ -47,6 +47,11 @@ def subs(source: str = "sp", name: str = "su") -> str:
   FROM {name}_p p JOIN {name}_f f ON p.session_id = f.session_id AND p.is_concurrent = f.is_concurrent AND p.group_tab IS NOT DISTINCT FROM f.group_tab AND p.sub_idx = f.sub_idx)"""
 
 
+#: Visits as sessions of their own: more than 24 hours without an event begin another one.
+VISITS = """
+quiet AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY session_id ORDER BY ts, seq) > INTERVAL '24 hours' THEN 1 ELSE 0 END AS new FROM ev),
+visit AS (SELECT * EXCLUDE (session_id, new), session_id || '#' || (sum(new) OVER (PARTITION BY session_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING))::VARCHAR AS session_id FROM quiet)"""
+
 SUB = f"WITH {EV},{split()},{subs()}"
 
 NODES = """
@@ -235,6 +240,9 @@ def oracle_sql() -> dict[str, str]:
         "event_nodes": f"WITH {EV} SELECT event_id, node FROM nd",
         "flow_nodes": f'{GRAPH} SELECT node, "count", url, event_type FROM nodes',
         "flow_edges": f"{GRAPH} SELECT src, dst, weight FROM edges",
+        "merged_nodes": f'{GRAPH} SELECT node, "count", url, event_type FROM nodes',
+        "merged_edges": f"{GRAPH} SELECT src, dst, weight FROM edges",
+        "streamed_splits": f"WITH {EV},{VISITS},{split('visit', '12 hours')} SELECT event_id, is_concurrent, group_tab, sub_idx, strftime(min(ts) OVER v, '%Y-%m-%d %H:%M:%S') AS visit_start FROM sp WINDOW v AS (PARTITION BY session_id) QUALIFY max(ts) OVER v + INTERVAL '24 hours 10 minutes' < (SELECT max(ts) FROM ev)",
         "flow_sources_sinks": f"{GRAPH},{ENDS} SELECT 'entry' AS kind, node, entry_ord FROM starts UNION ALL SELECT 'exit', node, 0 FROM stops",
         "flow_paths": f"{PATHS} SELECT path_ord, array_to_string(path, ' > ') AS path, weight, min_weight FROM paths",
         "path_popularity": f"""{PATHS}, u AS (SELECT path_ord, path, weight, min_weight, list_transform(path, lambda x: CASE WHEN x LIKE 'nav:%' THEN x[5:] ELSE split_part(x, '||', 1) END) AS urls FROM paths),

@@ -10,11 +10,12 @@ from pyspark.sql.window import Window
 
 from pathloom.functions import element, text, url
 from pathloom.operators import checkpoints as cps
-from pathloom.operators import compare, dedup, flows, gate, graph, render, sessions, steps, validation, variables
+from pathloom.operators import compare, dedup, flows, gate, graph, merged_graph, render, sessions, steps, validation, variables
 from pathloom.operators.numbering import numbered
 from pathloom.schema import TARGET
-from pathloom.session import table
+from pathloom.session import new_folder, table, written
 from pathloom.sources import derived
+from pathloom.streaming.tabs import keep_state_on_disk, split_stream
 
 #: Idle gap by which the driver's events make sub-sessions of several events.
 GAP = "12 hours"
@@ -96,6 +97,34 @@ def flow_edges(spark, d):
     return graph.build_graph(_split(spark, d))[1]
 
 
+def _merged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The graph merged from the events of four equal spans of time."""
+    split, folder = written(_split(spark, d)), new_folder(spark, "graph")
+    first, last = split.agg(F.min(F.unix_micros("timestamp")), F.max(F.unix_micros("timestamp"))).first()
+    for i in range(4):
+        part = F.floor((F.unix_micros("timestamp") - F.lit(first)) * 4 / F.lit(max(last - first, 1) + 1)) == i
+        merged_graph.merge_batch(folder, split.where(part), i, keep="12 hours", fold=3)
+    return merged_graph.merged_graph(spark, folder)
+
+
+def merged_nodes(spark, d):
+    return _merged(spark, d)[0].select("node", "count", "url", "event_type")
+
+
+def merged_edges(spark, d):
+    return _merged(spark, d)[1]
+
+
+def streamed_splits(spark, d):
+    """The events as a stream to its end; visits that the watermark has passed by then."""
+    keep_state_on_disk(spark)
+    folder = new_folder(spark, "splits")
+    out = split_stream(derived.events(spark, d, stream=True), GAP, "10 minutes", "24 hours").select("event_id", "is_concurrent", "group_tab", "sub_idx", F.date_format("visit_start", "yyyy-MM-dd HH:mm:ss").alias("visit_start"))
+    query = out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/rows")
+
+
 def flow_sources_sinks(spark, d):
     starts, ends = graph.entries_and_exits(*graph.build_graph(_split(spark, d)))
     return starts.select(F.lit("entry").alias("kind"), "node", "entry_ord").unionByName(ends.select(F.lit("exit").alias("kind"), "node", F.lit(0).alias("entry_ord")))
@@ -391,7 +420,7 @@ def rendered_gate(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         idle_sessions_30m, idle_sessions_12h, concurrent_tabs, full_session_split, exclusion_segments, url_normalise, url_pattern_topk, url_sequences, url_origin_mode, link_destination, glob_exclude_filter,
-        event_nodes, flow_nodes, flow_edges, flow_sources_sinks, flow_paths, path_popularity, viewport_class, canonical_patterns, session_fingerprints, popular_flows, rescued_flows, flow_facts, compare_flows,
+        event_nodes, flow_nodes, flow_edges, merged_nodes, merged_edges, streamed_splits, flow_sources_sinks, flow_paths, path_popularity, viewport_class, canonical_patterns, session_fingerprints, popular_flows, rescued_flows, flow_facts, compare_flows,
         next_significant_event, flow_steps, route_steps, interaction_steps, collapse_pairs, checkpoint_prev_diff, click_assertions, global_elements, checkpoint_kth_assignment, element_locator, element_fingerprint, selector_priority,
         camel_case, url_variables, flow_names, comment_escape, string_literal, variables_first, variable_map,
         event_validation, deny_pattern_scan, render_specs, render_scripts, structural_gate, rendered_gate,

@@ -13,9 +13,13 @@ from pathloom.schema import ELEMENT, TARGET
 from pathloom.session import table
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events in storage shape: views scroll, sign-ups navigate, purchases fill, errors are api_error."""
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+def events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    """Events in storage shape: views scroll, sign-ups navigate, purchases fill, errors are api_error. On request as a stream."""
+    log = table(spark, sf_dir, "events")
+    if stream:
+        # a pattern, as a stream's plain path can't be a single file
+        log = spark.readStream.schema(log.schema).parquet(f"{sf_dir}/{{events}}.parquet")
+    e = log.select("event_id", "ts", "user_id", "event_type", "value", "props")
     k = F.get_json_object("props", "$.k").cast("int")
     e = e.withColumn("k", k)
     kind = F.when(F.col("event_type") == "view", "scroll").when(F.col("event_type") == "signup", "navigation").when(F.col("event_type") == "purchase", "fill").when(F.col("event_type") == "error", "api_error").otherwise(F.col("event_type"))

@@ -14,7 +14,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import ArrayType, MapType, StructField, StructType, TimestampType
@@ -77,7 +77,7 @@ class TabSplitter(StatefulProcessor):
         return (end + self.expiry) // 1000 + 1
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        held, times, latest = [], {}, None
+        held, times, earliest = [], {}, None
         kept = self.lists[self._active()]
         for row in rows:
             at = row["_at"]
@@ -86,7 +86,7 @@ class TabSplitter(StatefulProcessor):
                 continue
             tab = (row["tab_id"] is not None, row["tab_id"] or "")
             times.setdefault(tab, set()).add((at, at))
-            latest = at if latest is None else max(latest, at)
+            earliest = at if earliest is None else min(earliest, at)
             held.append(tuple(row[n] for n in self.names))
             if len(held) >= CHUNK:
                 kept.appendList(held)
@@ -95,8 +95,12 @@ class TabSplitter(StatefulProcessor):
             kept.appendList(held)
         for tab, new in times.items():
             self._store(tab, merged([*self._load(tab), *new], self.gap))
-        if latest is not None and next(iter(self.handle.listTimers()), None) is None:
-            self.handle.registerTimer(self._due(latest))
+        if earliest is not None:
+            due, pending = self._due(earliest), list(self.handle.listTimers())
+            if not pending or due < min(pending):  # no visit can close before; a timer that is early sets the next one
+                for timer in pending:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(due)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs()
@@ -150,6 +154,11 @@ def _micros(interval: str) -> int:
     return int(number) * unit[name.rstrip("s")] * 1_000_000
 
 
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """Sets the state store that ``split_stream`` needs for the session's next queries."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 _NESTED = (StructType, ArrayType, MapType)
 _JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
@@ -175,7 +184,7 @@ def split_stream(events: DataFrame, gap: str = IDLE, late: str = "10 minutes", e
     The last three are those of the batch ``split_sessions`` over the visit's events. A visit is closed, and its rows
     come out once, when the watermark (``late`` behind the latest event) is past its last event by ``expiry``, which
     is at least ``gap``; rows behind the watermark are dropped by Spark. Rows without a time come out at once,
-    without a visit and in sub-session 0. Needs the RocksDB state store. The names ``_at`` and ``_visit`` are taken.
+    without a visit and in sub-session 0. Needs the RocksDB state store (``keep_state_on_disk``). The names ``_at`` and ``_visit`` are taken.
     """
     if _micros(expiry) < _micros(gap):
         raise ValueError("expiry must be at least gap")

@@ -25,7 +25,7 @@ def log(seed, n=300):
 
 def streamed(spark, rows, folder, cuts, extra=()):
     """Runs the stream over the parts between ``cuts`` and begins a new query, from the checkpoint, for each."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    tabs.keep_state_on_disk(spark)
     edges, schema = [0, *cuts, len(rows)], None
     for i, (a, b) in enumerate(zip(edges, edges[1:])):
         part = [*rows[a:b], *(extra if i == len(cuts) else ())]

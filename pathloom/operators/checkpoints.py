@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,24 +59,38 @@ def with_previous(checkpoints: DataFrame) -> DataFrame:
     return checkpoints.withColumn("before", F.lag(F.struct("checkpoint_id", "visible_elements", "click_context")).over(w))
 
 
-def _last_by_identity(elements: Column, name: Column) -> Column:
-    """The last element of an array with this identity."""
-    return F.get(F.reverse(F.filter(elements, lambda e: identity(e) == name)), F.lit(0))
+def _first_by_identity(before: Column, after: Column, one: Callable[[Column, Column], Column]) -> Column:
+    """``one(new, old)`` of the first new elements for which it isn't null, three at most, in their order.
+
+    ``old`` is the last element of ``before`` with the identity of the new one, null if there is none. The elements of
+    both sides are sorted by identity and read once, the last old one being carried to the new ones of its identity, so
+    that the work grows with their number and not with its square, as it would by a look-up in a map (which Spark reads
+    from its front each time).
+    """
+    at = lambda elements, side: F.transform(elements, lambda e, i: F.struct(identity(e).alias("id"), F.lit(side).alias("side"), i.alias("i")))
+    order = F.sort_array(F.concat(at(F.coalesce(before, F.slice(after, 1, 0)), 0), at(after, 1)))
+    start = F.struct(F.lit(None).cast("string").alias("id"), F.lit(None).cast("int").alias("old"), F.array().cast("array<struct<i:int,text:string>>").alias("found"))
+
+    def step(acc: Column, x: Column) -> Column:
+        old = F.when(x["side"] == 0, x["i"]).when(acc["id"] == x["id"], acc["old"])
+        text = F.when(x["side"] == 1, one(F.get(after, x["i"]), F.get(before, old)))
+        more = F.filter(F.array(F.struct(x["i"].alias("i"), text.alias("text"))), lambda f: f["text"].isNotNull())
+        return F.struct(x["id"].alias("id"), old.alias("old"), F.slice(F.sort_array(F.concat(acc["found"], more)), 1, MAX_DIFFS).alias("found"))
+
+    return F.aggregate(order, start, step, lambda acc: F.transform(acc["found"], lambda f: f["text"]))
 
 
 def diff_visible(before: Column, after: Column, global_names: Column | None = None) -> Column:
     """Assertions for elements whose text changed or that are new, three at most; none without a before."""
 
-    def one(e: Column) -> Column:
-        old = _last_by_identity(before, identity(e))
+    def one(e: Column, old: Column) -> Column:
         text, place = e["text_content"], snapshot_locator(e)
         changed = F.when(~old["text_content"].eqNullSafe(text) & (present(text).isNotNull()) & (F.length(text) <= SHORT), F.concat(F.lit("await expect("), place, F.lit(").toContainText("), string_literal(text), F.lit(")")))
         out = F.when(old.isNotNull(), changed).otherwise(F.concat(F.lit("await expect("), place, F.lit(").toBeVisible()")))
         skip = F.array_contains(global_names, identity(e)) if global_names is not None else F.lit(False)
         return F.when(~skip & place.isNotNull(), out)
 
-    found = F.filter(F.transform(after, one), lambda x: x.isNotNull())
-    return F.when(before.isNull(), F.array().cast("array<string>")).otherwise(F.slice(found, 1, MAX_DIFFS))
+    return F.when(before.isNull(), F.array().cast("array<string>")).otherwise(_first_by_identity(before, after, one))
 
 
 def diff_context(before: Column, after: Column) -> Column:
@@ -83,8 +99,7 @@ def diff_context(before: Column, after: Column) -> Column:
     def attribute(e: Column, name: str) -> Column:
         return F.try_element_at(e["attributes"], F.lit(name))
 
-    def one(e: Column) -> Column:
-        old = _last_by_identity(F.coalesce(before, F.slice(after, 1, 0)), identity(e))
+    def one(e: Column, old: Column) -> Column:
         text, css = e["text_content"], present(e["selectors"]["css"])
         place = F.coalesce(snapshot_locator(e), F.concat(F.lit("page.locator("), string_literal(css), F.lit(")")))
         expect = lambda *x: F.concat(F.lit("await expect("), place, F.lit(")"), *x)
@@ -101,7 +116,7 @@ def diff_context(before: Column, after: Column) -> Column:
         )
         return F.when(place.isNotNull(), F.when(old.isNotNull(), changed).otherwise(F.when(short, expect(F.lit(".toBeVisible()")))))
 
-    return F.slice(F.filter(F.transform(after, one), lambda x: x.isNotNull()), 1, MAX_DIFFS)
+    return _first_by_identity(before, after, one)
 
 
 def click_assertions(clicks: DataFrame, checkpoints: DataFrame, order: str = "cp_ord", global_names: Column | None = None) -> DataFrame:

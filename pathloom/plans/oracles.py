@@ -260,6 +260,7 @@ def oracle_sql() -> dict[str, str]:
         "dedup_smart": ranked_out(SMART, "part, o1, o2"),
         "dedup_modular": ranked_out(MODULAR, "part, o1, o2"),
         "compare_flows": f"WITH {EV},{half(1, 15, 31)},{half(2, 0, 15)} SELECT coalesce(h1.pattern, h2.pattern) AS canonical_pattern, CASE WHEN h2.pattern IS NULL THEN 'new' WHEN h1.pattern IS NULL THEN 'inactive' WHEN h1.nodes = h2.nodes THEN 'unchanged' ELSE 'changed' END AS status, h1.ord AS new_ord, h2.ord AS existing_ord FROM h1 FULL JOIN h2 ON h1.pattern = h2.pattern WHERE h1.pattern IS NOT NULL OR h2.c > 1",
+        "flow_library": f"WITH {EV},{half(1, 0, 10)},{half(2, 10, 20)},{half(3, 20, 31)}, h AS (SELECT 1 AS run, * FROM h1 UNION ALL SELECT 2, * FROM h2 UNION ALL SELECT 3, * FROM h3), g AS (SELECT *, lag(nodes) OVER (PARTITION BY pattern ORDER BY run) IS DISTINCT FROM nodes AS differs FROM h), z AS (SELECT pattern, arg_max(ord, run) AS ord, min(run) AS first_run, max(run) FILTER (differs) AS changed_run, max(run) AS seen_run FROM g GROUP BY pattern) SELECT pattern AS canonical_pattern, ord, CASE seen_run WHEN 3 THEN 'active' ELSE 'inactive' END AS status, CASE WHEN first_run = 3 THEN 'new' WHEN changed_run = 3 THEN 'changed' WHEN seen_run = 3 THEN 'unchanged' WHEN seen_run = 2 THEN 'inactive' ELSE 'kept' END AS result, first_run, changed_run, seen_run FROM z",
         "next_significant_event": f"WITH {EV},{split()} SELECT event_id, lead(CASE WHEN kind NOT IN ('scroll', 'api_error') THEN url END IGNORE NULLS) OVER w AS next_url, coalesce(lead(CASE WHEN kind NOT IN ('scroll', 'api_error') THEN kind END IGNORE NULLS) OVER w = 'navigation', false) AS to_navigation FROM sp WINDOW w AS (PARTITION BY {key} ORDER BY ts, seq)",
         "flow_steps": f"{STEPS} SELECT {key}, step_no, type, locator, url, value, repeat_count, coalesce(assertion, '') AS assertions FROM steps",
         "route_steps": f"{ROUTES} SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY ts, seq, part) AS step_no, type, locator, url, assertion AS assertions FROM route",

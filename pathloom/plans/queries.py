@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from pathloom.functions import element, text, url
 from pathloom.operators import checkpoints as cps
-from pathloom.operators import compare, dedup, flows, gate, graph, merged_graph, render, sessions, steps, validation, variables
+from pathloom.operators import compare, dedup, flows, gate, graph, library, merged_graph, render, sessions, steps, validation, variables
 from pathloom.operators.numbering import numbered
 from pathloom.schema import TARGET
 from pathloom.session import new_folder, table, written
@@ -191,15 +191,25 @@ def _strategy(name):
     return run
 
 
+def _mined(spark, d, low, high):
+    """The patterns of the events of some days of the month, as flows with the actions of the first sub-session."""
+    e = derived.events(spark, d).where((F.dayofmonth("timestamp") > low) & (F.dayofmonth("timestamp") <= high))
+    s = flows.sub_sessions(sessions.split_sessions(e, GAP))
+    g = s.groupBy("pattern").agg(F.min_by("nodes", F.struct(*KEY)).alias("nodes"), F.min(F.struct(*KEY)).alias("o"), F.count(F.lit(1)).alias("n"))
+    actions = F.filter(F.transform("nodes", graph.node_action), lambda a: a.isNotNull())
+    return numbered(g, "ord", "o").select("ord", F.col("pattern").alias("canonical_pattern"), actions.alias("significant_actions"), F.when(F.col("n") > 1, "active").otherwise("archived").alias("status"))
+
+
 def compare_flows(spark, d):
-    def half(low, high):
-        e = derived.events(spark, d).where((F.dayofmonth("timestamp") > low) & (F.dayofmonth("timestamp") <= high))
-        s = flows.sub_sessions(sessions.split_sessions(e, GAP))
-        g = s.groupBy("pattern").agg(F.min_by("nodes", F.struct(*KEY)).alias("nodes"), F.min(F.struct(*KEY)).alias("o"), F.count(F.lit(1)).alias("n"))
-        actions = F.filter(F.transform("nodes", graph.node_action), lambda a: a.isNotNull())
-        return numbered(g, "ord", "o").select("ord", F.col("pattern").alias("canonical_pattern"), actions.alias("significant_actions"), F.when(F.col("n") > 1, "active").otherwise("archived").alias("status"))
+    return compare.compare_flows(_mined(spark, d, 15, 31).drop("status"), _mined(spark, d, 0, 15)).select("canonical_pattern", "status", F.col("new_flow.ord").alias("new_ord"), F.col("existing_flow.ord").alias("existing_ord"))
+
 
-    return compare.compare_flows(half(15, 31).drop("status"), half(0, 15)).select("canonical_pattern", "status", F.col("new_flow.ord").alias("new_ord"), F.col("existing_flow.ord").alias("existing_ord"))
+def flow_library(spark, d):
+    """The library after three runs, each over some days of the month; its own rows are read after the last."""
+    folder = new_folder(spark, "library")
+    for run, (low, high) in enumerate([(0, 10), (10, 20), (20, 31)], 1):
+        library.update_library(folder, _mined(spark, d, low, high).drop("status"), run)
+    return library.library(spark, folder).select("canonical_pattern", "ord", "status", "result", "first_run", "changed_run", "seen_run")
 
 
 def _gathered(spark, d):
@@ -420,7 +430,7 @@ def rendered_gate(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         idle_sessions_30m, idle_sessions_12h, concurrent_tabs, full_session_split, exclusion_segments, url_normalise, url_pattern_topk, url_sequences, url_origin_mode, link_destination, glob_exclude_filter,
-        event_nodes, flow_nodes, flow_edges, merged_nodes, merged_edges, streamed_splits, flow_sources_sinks, flow_paths, path_popularity, viewport_class, canonical_patterns, session_fingerprints, popular_flows, rescued_flows, flow_facts, compare_flows,
+        event_nodes, flow_nodes, flow_edges, merged_nodes, merged_edges, streamed_splits, flow_sources_sinks, flow_paths, path_popularity, viewport_class, canonical_patterns, session_fingerprints, popular_flows, rescued_flows, flow_facts, compare_flows, flow_library,
         next_significant_event, flow_steps, route_steps, interaction_steps, collapse_pairs, checkpoint_prev_diff, click_assertions, global_elements, checkpoint_kth_assignment, element_locator, element_fingerprint, selector_priority,
         camel_case, url_variables, flow_names, comment_escape, string_literal, variables_first, variable_map,
         event_validation, deny_pattern_scan, render_specs, render_scripts, structural_gate, rendered_gate,

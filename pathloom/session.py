@@ -49,13 +49,47 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _store(spark: SparkSession, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def entries(spark: SparkSession, folder: str) -> list[str]:
     """The names in a folder of any file system; none where it doesn't exist."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    path, store = _store(spark, folder)
     return [s.getPath().getName() for s in store.listStatus(path)] if store.exists(path) else []
 
 
+def read_text(spark: SparkSession, name: str) -> str:
+    """The text of a small file of any file system."""
+    path, store = _store(spark, name)
+    source = store.open(path)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
+
+
+def write_text(spark: SparkSession, name: str, text: str) -> None:
+    """Writes a small file under a temporary name and renames it, so that it is there whole or not at all; an error if the name is taken."""
+    path, store = _store(spark, name)
+    temporary, _ = _store(spark, f"{name}.{uuid.uuid4().hex}.tmp")
+    out = store.create(temporary, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if store.exists(path) or not store.rename(temporary, path):
+        store.delete(temporary, False)
+        raise FileExistsError(f"{name} was written by another run")
+
+
+def delete_folder(spark: SparkSession, name: str) -> None:
+    """Deletes a file or folder of any file system with all in it, if it exists."""
+    path, store = _store(spark, name)
+    store.delete(path, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows, checkpointed in the shared folder, so that plans built on them stay small and survive lost executors."""
     shared_folder(df.sparkSession)

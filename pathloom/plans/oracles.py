@@ -267,6 +267,7 @@ def oracle_sql() -> dict[str, str]:
         "interaction_steps": f"{runs("kind IN ('click', 'fill')")} SELECT {key}, step_no, type, locator, repeat_count, coalesce(assertion, '') AS assertions FROM steps",
         "collapse_pairs": f"WITH {EV}, a AS (SELECT session_id, ts, seq, k, CASE kind WHEN 'fill' THEN 'check' ELSE kind END AS type, kind = 'click' AND coalesce(lead(kind) OVER w = 'fill' AND lead(k) OVER w % 3 = k % 3, false) AS gone FROM ev WHERE kind IN ('click', 'fill') WINDOW w AS (PARTITION BY session_id ORDER BY ts, seq)) SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY ts, seq) AS step_no, type, 'getByRole(\"button\", {{ name: \"Go ' || (k % 3)::VARCHAR || '\" }})' AS locator FROM a WHERE NOT gone",
         "render_scripts": f"{STEPS}{SCRIPT_TEXT}",
+        "script_files": f"SELECT session_id || '/' || CASE WHEN is_concurrent THEN 'c' ELSE 's' END || coalesce(group_tab, '') || '-' || sub_idx::VARCHAR || '.spec.ts' AS file_name, length(content) AS n_chars, md5(content) AS content FROM ({STEPS}{SCRIPT_TEXT.replace('md5(', '(', 1)}) x",
         "structural_gate": "SELECT p_partkey, CASE p_partkey % " + str(len(SCRIPTS)) + " " + " ".join(f"WHEN {i} THEN {x[2]}" for i, x in enumerate(SCRIPTS)) + " END AS acceptable, CASE p_partkey % " + str(len(SCRIPTS)) + " " + " ".join(f"WHEN {i} THEN {x[1]}" for i, x in enumerate(SCRIPTS)) + " END AS ok FROM part",
         "checkpoint_prev_diff": f"{LINKS}{DIFF} SELECT cp.page_id::VARCHAR AS checkpoint_id, before::VARCHAR AS before_id, coalesce(a, '') AS assertions FROM cp LEFT JOIN d3 ON cp.page_id = d3.page_id",
         "click_assertions": f"{LINKS}{DIFF}, nb AS (SELECT page_id, string_agg('await expect(page.getByTestId(\"' || href || '\")).toBeVisible()', ' | ' ORDER BY n) AS a FROM lk WHERE n < 3 GROUP BY page_id) SELECT cp.page_id::VARCHAR AS event_id, CASE WHEN before IS NULL THEN nb.a ELSE coalesce(d3.a, '') END AS assertions FROM cp LEFT JOIN d3 ON cp.page_id = d3.page_id LEFT JOIN nb ON cp.page_id = nb.page_id",

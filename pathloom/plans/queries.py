@@ -14,7 +14,7 @@ from pathloom.operators import compare, dedup, flows, gate, graph, library, merg
 from pathloom.operators.numbering import numbered
 from pathloom.schema import TARGET
 from pathloom.session import new_folder, table, written
-from pathloom.sources import derived
+from pathloom.sources import derived, scripts
 from pathloom.streaming.tabs import keep_state_on_disk, split_stream
 
 #: Idle gap by which the driver's events make sub-sessions of several events.
@@ -243,11 +243,23 @@ def collapse_pairs(spark, d):
     return steps.plain_steps(steps.gathered(steps.prepared(e), ["session_id"], ["timestamp", "sequence"]), ["session_id"]).select("session_id", "step_no", "type", "locator")
 
 
-def render_scripts(spark, d):
+def _scripts(spark, d):
     """Each sub-session as a flow of its own, rendered in full."""
     e = _gathered(spark, d).withColumn("flow_ord", F.xxhash64(*KEY)).withColumns({"canonical_pattern": F.lit("/session/:id → /done"), "popularity_score": F.lit(5), "test_mode": F.lit("full")})
     out = render.render_specs(e)
-    return out.join(e.select("flow_ord", *KEY), "flow_ord").select(*KEY, F.md5("content").alias("content"))
+    return out.join(e.select("flow_ord", *KEY), "flow_ord").select(*KEY, "content")
+
+
+def render_scripts(spark, d):
+    return _scripts(spark, d).withColumn("content", F.md5("content"))
+
+
+def script_files(spark, d):
+    """The rendered sub-sessions as files of the script sink, read back from it."""
+    folder = new_folder(spark, "scripts")
+    name = F.concat_ws("/", F.col("session_id"), F.concat(F.when(F.col("is_concurrent"), "c").otherwise("s"), F.coalesce("group_tab", F.lit("")), F.lit("-"), F.col("sub_idx").cast("string"), F.lit(".spec.ts")))
+    scripts.save_scripts(_scripts(spark, d).select(name.alias("file_name"), "content"), folder)
+    return scripts.load_scripts(spark, folder).select("file_name", F.length("content").alias("n_chars"), F.md5("content").alias("content"))
 
 
 def checkpoint_prev_diff(spark, d):
@@ -433,6 +445,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         event_nodes, flow_nodes, flow_edges, merged_nodes, merged_edges, streamed_splits, flow_sources_sinks, flow_paths, path_popularity, viewport_class, canonical_patterns, session_fingerprints, popular_flows, rescued_flows, flow_facts, compare_flows, flow_library,
         next_significant_event, flow_steps, route_steps, interaction_steps, collapse_pairs, checkpoint_prev_diff, click_assertions, global_elements, checkpoint_kth_assignment, element_locator, element_fingerprint, selector_priority,
         camel_case, url_variables, flow_names, comment_escape, string_literal, variables_first, variable_map,
-        event_validation, deny_pattern_scan, render_specs, render_scripts, structural_gate, rendered_gate,
+        event_validation, deny_pattern_scan, render_specs, render_scripts, script_files, structural_gate, rendered_gate,
     )
     return {f.__name__: f for f in plain} | {f"dedup_{s}": _strategy(s) for s in dedup.STRATEGIES}

@@ -149,6 +149,11 @@ df AS (SELECT cp.page_id, lk.n, CASE WHEN b.href IS NULL THEN 'await expect(page
        FROM cp JOIN lk ON cp.page_id = lk.page_id LEFT JOIN last b ON b.page_id = cp.before AND b.href = lk.href WHERE cp.before IS NOT NULL),
 d3 AS (SELECT page_id, string_agg(a, ' | ' ORDER BY n) AS a FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n) AS r FROM df WHERE a IS NOT NULL) x WHERE r <= 3 GROUP BY page_id)"""
 
+#: Elements by number with what differs from page to page, and the page before of the same host.
+CHANGES = """, cp AS (SELECT page_id, host, lag(page_id) OVER (PARTITION BY host ORDER BY page_id) AS before FROM (SELECT DISTINCT page_id, host FROM lk) x),
+ce AS (SELECT page_id, n, CASE WHEN n % 5 = 4 THEN 'text ' || (page_id % 4)::VARCHAR ELSE 'same' END AS text, CASE WHEN n % 5 = 0 THEN (page_id % 7)::VARCHAR WHEN n % 5 < 3 THEN CASE WHEN page_id % 2 = 0 THEN 'true' ELSE 'false' END WHEN n % 5 = 3 THEN (page_id % 9 * 10)::VARCHAR END AS v,
+  'await expect(page.' || CASE WHEN n % 2 = 0 THEN 'getByRole("link", { name: "go ' || n::VARCHAR || '" })' ELSE 'getByTestId("e' || n::VARCHAR || '")' END || ')' AS spot FROM lk)"""
+
 
 def camel(c: str) -> str:
     words = f"list_filter(string_split(regexp_replace({c}, '[^a-zA-Z0-9]', ' ', 'g'), ' '), lambda x: x <> '')"
@@ -253,6 +258,7 @@ def oracle_sql() -> dict[str, str]:
         "canonical_patterns": f"{SUB} SELECT pattern, count(*) AS n FROM su GROUP BY pattern",
         "session_fingerprints": f"{SUB} SELECT {key}, fingerprint, page_set, n_actions, n_nodes FROM su",
         "popular_flows": f"{FLOWS} SELECT row_number() OVER (ORDER BY score DESC, rescued, so, o2) AS ord, pattern AS canonical_pattern, fingerprint, c AS session_count, score AS popularity_score, array_to_string(nodes, ' > ') AS path, rescued FROM fo",
+        "flows_and_rescued": f"{FLOWS.replace('>= 0.5', '>= 5.0')} SELECT row_number() OVER (ORDER BY score DESC, rescued, so, o2) AS ord, pattern AS canonical_pattern, fingerprint, c AS session_count, score AS popularity_score, array_to_string(nodes, ' > ') AS path, rescued FROM fo",
         "rescued_flows": f"{FLOWS} SELECT pattern AS canonical_pattern, fingerprint, c AS session_count, score AS popularity_score FROM fo WHERE rescued",
         "flow_facts": f"{FLOW_SET} SELECT flow_ord, pattern AS canonical_pattern, score::DOUBLE AS popularity_score, afp AS action_fingerprint, has AS has_interactions, page_url, single AS single_page, prefix AS nav_prefix FROM ff",
         "dedup_full": ranked_out("SELECT flow_ord, pattern, 'full' AS test_mode, NULL::VARCHAR AS page, NULL::VARCHAR AS behaviors FROM rk", "flow_ord"),
@@ -270,6 +276,14 @@ def oracle_sql() -> dict[str, str]:
         "script_files": f"SELECT session_id || '/' || CASE WHEN is_concurrent THEN 'c' ELSE 's' END || coalesce(group_tab, '') || '-' || sub_idx::VARCHAR || '.spec.ts' AS file_name, length(content) AS n_chars, md5(content) AS content FROM ({STEPS}{SCRIPT_TEXT.replace('md5(', '(', 1)}) x",
         "structural_gate": "SELECT p_partkey, CASE p_partkey % " + str(len(SCRIPTS)) + " " + " ".join(f"WHEN {i} THEN {x[2]}" for i, x in enumerate(SCRIPTS)) + " END AS acceptable, CASE p_partkey % " + str(len(SCRIPTS)) + " " + " ".join(f"WHEN {i} THEN {x[1]}" for i, x in enumerate(SCRIPTS)) + " END AS ok FROM part",
         "checkpoint_prev_diff": f"{LINKS}{DIFF} SELECT cp.page_id::VARCHAR AS checkpoint_id, before::VARCHAR AS before_id, coalesce(a, '') AS assertions FROM cp LEFT JOIN d3 ON cp.page_id = d3.page_id",
+        "context_changes": f"""{LINKS}{CHANGES}, ch AS (SELECT a.page_id, a.n, CASE WHEN b.page_id IS NULL THEN a.spot || '.toBeVisible()' WHEN a.text <> b.text THEN a.spot || '.toContainText("' || a.text || '")'
+            WHEN a.v <> b.v THEN CASE a.n % 5 WHEN 0 THEN a.spot || '.toHaveAttribute("aria-valuenow", "' || a.v || '")' WHEN 1 THEN a.spot || '.toHaveAttribute("aria-expanded", "' || a.v || '")' WHEN 2 THEN a.spot || CASE a.v WHEN 'true' THEN '.toBeHidden()' ELSE '.toBeVisible()' END ELSE a.spot || '.toHaveCSS("width", /' || a.v || '%/)' END END AS a
+            FROM (SELECT ce.*, cp.before FROM ce JOIN cp USING (page_id)) a LEFT JOIN ce b ON b.page_id = a.before AND b.n = a.n),
+            c3 AS (SELECT page_id, string_agg(a, ' | ' ORDER BY n) AS a FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n) AS r FROM ch WHERE a IS NOT NULL) x WHERE r <= 3 GROUP BY page_id)
+            SELECT cp.page_id::VARCHAR AS checkpoint_id, coalesce(a, '') AS assertions FROM cp LEFT JOIN c3 USING (page_id)""",
+        "page_assertions": rf"""{LINKS}{CHANGES}, el AS (SELECT page_id, string_agg('await expect(page.' || CASE WHEN n % 2 = 0 THEN 'getByRole("link", {{ name: "go ' || n::VARCHAR || '" }})' ELSE 'getByText("' || text || '")' END || ').toBeVisible()', ' | ' ORDER BY n) AS a FROM ce WHERE n < 3 GROUP BY page_id)
+            SELECT page_id::VARCHAR AS checkpoint_id, concat_ws(' | ', CASE WHEN page_id % 2 = 0 THEN 'await expect(page).toHaveURL(/' || regexp_replace(url, '([.*+?^${{}}()|\[\]\\/])', '\\\1', 'g') || '/)' END, a, CASE WHEN page_id % 3 > 0 THEN 'await expect(page).toHaveTitle(/Page \(no\. ' || page_id::VARCHAR || '\)/)' END) AS assertions
+            FROM (SELECT DISTINCT page_id, url FROM lk) u JOIN el USING (page_id)""",
         "click_assertions": f"{LINKS}{DIFF}, nb AS (SELECT page_id, string_agg('await expect(page.getByTestId(\"' || href || '\")).toBeVisible()', ' | ' ORDER BY n) AS a FROM lk WHERE n < 3 GROUP BY page_id) SELECT cp.page_id::VARCHAR AS event_id, CASE WHEN before IS NULL THEN nb.a ELSE coalesce(d3.a, '') END AS assertions FROM cp LEFT JOIN d3 ON cp.page_id = d3.page_id LEFT JOIN nb ON cp.page_id = nb.page_id",
         "global_elements": f"{LINKS}, f AS (SELECT host, min(page_id) AS page_id FROM lk GROUP BY host), s AS (SELECT DISTINCT f.host, n FROM f JOIN lk ON f.page_id = lk.page_id) SELECT 'text:link ' || n::VARCHAR AS signature FROM s GROUP BY n HAVING count(*) = (SELECT count(*) FROM f) AND count(*) >= 2",
         "checkpoint_kth_assignment": f"{LINKS}, p AS (SELECT page_id, host, row_number() OVER (PARTITION BY host ORDER BY page_id) AS k, count(*) OVER (PARTITION BY host) AS n FROM (SELECT DISTINCT page_id, host FROM lk) z), c AS (SELECT page_id % 3 AS flow_id, page_id AS call_ord, host AS url, row_number() OVER (PARTITION BY page_id % 3, host ORDER BY page_id) AS call_no FROM pg) SELECT flow_id, call_ord, url, call_no, p.page_id::VARCHAR AS checkpoint_id FROM c LEFT JOIN p ON c.url = p.host AND p.k = least(c.call_no, p.n)",

@@ -12,7 +12,7 @@ from pathloom.functions import element, text, url
 from pathloom.operators import checkpoints as cps
 from pathloom.operators import compare, dedup, flows, gate, graph, library, merged_graph, render, sessions, steps, validation, variables
 from pathloom.operators.numbering import numbered
-from pathloom.schema import TARGET
+from pathloom.schema import ELEMENT, TARGET
 from pathloom.session import new_folder, table, written
 from pathloom.sources import derived, scripts
 from pathloom.streaming.tabs import keep_state_on_disk, split_stream
@@ -157,15 +157,20 @@ def session_fingerprints(spark, d):
     return _subs(spark, d).select(*KEY, "fingerprint", "page_set", "n_actions", "n_nodes")
 
 
-def _flows(spark, d):
+def _flows(spark, d, threshold=THRESHOLD):
     total = derived.events(spark, d).select("session_id").distinct().count()
-    return flows.popular_flows(_subs(spark, d), total, THRESHOLD)
+    return flows.popular_flows(_subs(spark, d), total, threshold)
 
 
 def popular_flows(spark, d):
     return _flows(spark, d).select("ord", "canonical_pattern", "fingerprint", "session_count", "popularity_score", F.array_join("path_nodes", " > ").alias("path"), "rescued")
 
 
+def flows_and_rescued(spark, d):
+    """Flows at the operator's own threshold, which few patterns reach, so that most rows are rescued ones."""
+    return _flows(spark, d, flows.THRESHOLD).select("ord", "canonical_pattern", "fingerprint", "session_count", "popularity_score", F.array_join("path_nodes", " > ").alias("path"), "rescued")
+
+
 def rescued_flows(spark, d):
     return _flows(spark, d).where("rescued").select("canonical_pattern", "fingerprint", "session_count", "popularity_score")
 
@@ -268,6 +273,32 @@ def checkpoint_prev_diff(spark, d):
     return c.select("checkpoint_id", F.col("before.checkpoint_id").alias("before_id"), F.array_join(diff, " | ").alias("assertions"))
 
 
+def _changing(spark, d):
+    """Pages as checkpoints whose elements, named by their number, differ from page to page: by number in value, expansion, visibility, width or text."""
+    page, n = F.col("page_id"), F.col("n")
+    value = F.when(n % 5 == 0, (page % 7).cast("string")).when(n % 5 < 3, F.when(page % 2 == 0, "true").otherwise("false")).when(n % 5 == 3, F.concat(F.lit("width: "), (page % 9 * 10).cast("string"), F.lit("%")))
+    key = F.element_at(F.array(*[F.lit(x) for x in ("aria-valuenow", "aria-expanded", "aria-hidden", "style")]), n % 5 + 1)
+    json = F.to_json(F.struct(
+        F.struct(F.concat(F.lit("e"), n.cast("string")).alias("testid"), F.when(n % 2 == 0, F.struct(F.lit("link").alias("role"), F.concat(F.lit("go "), n.cast("string")).alias("name"))).alias("role")).alias("selectors"), F.lit("A").alias("tag"),
+        F.when(n % 5 == 4, F.concat(F.lit("text "), (page % 4).cast("string"))).otherwise("same").alias("text_content"), F.when(n % 5 < 4, F.create_map(F.when(n % 5 < 4, key).otherwise("none"), value)).alias("attributes"),
+    ))
+    e = derived.links(spark, d).select("page_id", "url", F.regexp_extract("url", "^https?://([^/]*)", 1).alias("session_id"), F.struct("n", json.alias("json")).alias("e"))
+    c = e.groupBy("page_id", "url", "session_id").agg(F.transform(F.sort_array(F.collect_list("e")), lambda x: F.from_json(x["json"], ELEMENT)).alias("visible_elements"))
+    return c.withColumns({"checkpoint_id": page.cast("string"), "timestamp": F.timestamp_seconds("page_id"), "click_context": F.col("visible_elements")})
+
+
+def context_changes(spark, d):
+    c = cps.with_previous(_changing(spark, d))
+    return c.select("checkpoint_id", F.array_join(cps.diff_context(F.col("before.click_context"), F.col("click_context")), " | ").alias("assertions"))
+
+
+def page_assertions(spark, d):
+    page = F.col("page_id")
+    title = F.when(page % 3 > 0, F.concat(F.lit("Page (no. "), page.cast("string"), F.lit(")")))
+    found = cps.url_assertions(F.when(page % 2 == 0, "navigation").otherwise("click"), F.col("url"), F.col("visible_elements"), title)
+    return _changing(spark, d).select("checkpoint_id", F.array_join(found, " | ").alias("assertions"))
+
+
 def click_assertions(spark, d):
     c = derived.checkpoints(spark, d)
     clicks = c.select(F.col("trigger_event_id").alias("event_id"))
@@ -442,8 +473,8 @@ def rendered_gate(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         idle_sessions_30m, idle_sessions_12h, concurrent_tabs, full_session_split, exclusion_segments, url_normalise, url_pattern_topk, url_sequences, url_origin_mode, link_destination, glob_exclude_filter,
-        event_nodes, flow_nodes, flow_edges, merged_nodes, merged_edges, streamed_splits, flow_sources_sinks, flow_paths, path_popularity, viewport_class, canonical_patterns, session_fingerprints, popular_flows, rescued_flows, flow_facts, compare_flows, flow_library,
-        next_significant_event, flow_steps, route_steps, interaction_steps, collapse_pairs, checkpoint_prev_diff, click_assertions, global_elements, checkpoint_kth_assignment, element_locator, element_fingerprint, selector_priority,
+        event_nodes, flow_nodes, flow_edges, merged_nodes, merged_edges, streamed_splits, flow_sources_sinks, flow_paths, path_popularity, viewport_class, canonical_patterns, session_fingerprints, popular_flows, flows_and_rescued, rescued_flows, flow_facts, compare_flows, flow_library,
+        next_significant_event, flow_steps, route_steps, interaction_steps, collapse_pairs, checkpoint_prev_diff, click_assertions, context_changes, page_assertions, global_elements, checkpoint_kth_assignment, element_locator, element_fingerprint, selector_priority,
         camel_case, url_variables, flow_names, comment_escape, string_literal, variables_first, variable_map,
         event_validation, deny_pattern_scan, render_specs, render_scripts, script_files, structural_gate, rendered_gate,
     )

@@ -250,7 +250,8 @@ def collapse_pairs(spark, d):
 
 def _scripts(spark, d):
     """Each sub-session as a flow of its own, rendered in full."""
-    e = _gathered(spark, d).withColumn("flow_ord", F.xxhash64(*KEY)).withColumns({"canonical_pattern": F.lit("/session/:id → /done"), "popularity_score": F.lit(5), "test_mode": F.lit("full")})
+    # read twice below: the events are gathered once
+    e = written(_gathered(spark, d)).withColumn("flow_ord", F.xxhash64(*KEY)).withColumns({"canonical_pattern": F.lit("/session/:id → /done"), "popularity_score": F.lit(5), "test_mode": F.lit("full")})
     out = render.render_specs(e)
     return out.join(e.select("flow_ord", *KEY), "flow_ord").select(*KEY, "content")
 

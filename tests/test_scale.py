@@ -20,3 +20,11 @@ def test_a_long_sequence_of_urls_is_normalised_once(spark):
     # element by element with its predecessor this is 64 million normalisations
     assert seconds(lambda: got.append(spark.range(1).select(url.url_sequence(urls).alias("p")).first()["p"])) < 20
     assert got[0].split(" → ") == [f"/p{i}x/:id" for i in range(n // 2 + 1)]
+
+
+def test_the_file_of_a_long_pattern(spark):
+    n = 20_000
+    pattern = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("/p"), i.cast("string"))), url.ARROW)
+    got = []
+    assert seconds(lambda: got.append(spark.range(1).select(text.flow_file(pattern, F.lit(2)).alias("f")).first()["f"])) < 20
+    assert got[0].startswith("p1-to-p2-to-") and got[0].endswith("-3.spec.ts")

@@ -68,6 +68,15 @@ def dropped(df: DataFrame) -> None:
     remove_path(df.sparkSession, df._pathloom_path)  # type: ignore[attr-defined]
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` with a hint by which its join is shuffled, whatever Spark takes its size to be.
+
+    Spark takes exploded rows for as many as before and stored ones for as large as their files, so that it would
+    broadcast tables that grow with the input, and the driver holds what is broadcast.
+    """
+    return df.hint("merge")
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit`` rows; else as it is, for a shuffled join.
 

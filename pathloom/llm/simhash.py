@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathloom.llm.common import dropped, renamed, small_side, stored
+from pathloom.llm.common import dropped, renamed, shuffled, small_side, stored
 
 THRESHOLD = 3
 SHINGLE = 3
@@ -145,7 +145,7 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -
     h, v = homes(distinct), visitors(distinct)
     both = h.withColumn("_home", F.lit(True)).unionByName(v.withColumn("_home", F.lit(False)))
     counts = both.groupBy("_side", "_anchor").agg(F.count_if("_home").alias("_nh"), F.count_if(~F.col("_home")).alias("_nv")).where((F.col("_nh") >= 1) & (F.col("_nv") >= 2))
-    b, c = both.alias("b"), counts.alias("c")
+    b, c = both.alias("b"), shuffled(counts).alias("c")
     at = b.join(c, (F.col("b._anchor") == F.col("c._anchor")) & (F.col("b._side") == F.col("c._side"))).select("b._side", "b._anchor", "b._home", "b._fp", F.ceil(F.col("_nh") / block).cast("int").alias("_kh"), F.ceil(F.col("_nv") / block).cast("int").alias("_kv"))
     mine = F.pmod(F.xxhash64("_fp"), F.when(F.col("_home"), F.col("_kh")).otherwise(F.col("_kv"))).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.when(F.col("_home"), F.col("_kv")).otherwise(F.col("_kh")) - 1))
@@ -198,10 +198,10 @@ def components(pairs: DataFrame, a: str = "_a", b: str = "_b", rounds: int = 60)
         # large-star: every larger neighbour is tied to the node's smallest
         both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
         low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(low, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(shuffled(low), "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small-star: every smaller neighbour, and the node, are tied to the smallest
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        tied = large.join(low, "u")
+        tied = large.join(shuffled(low), "u")
         small = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         after = stored(small, "edges")
         dropped(edges)
@@ -224,11 +224,11 @@ def classes(printed: DataFrame, key: str = "doc_id", threshold: int = THRESHOLD)
     """
     distinct = stored(printed.groupBy("_fp").agg(F.min(key).alias("_least")), "fingerprints")
     roots = components(links(distinct.select("_fp"), threshold))
-    d, r = distinct.alias("d"), roots.alias("r")
+    d, r = distinct.alias("d"), shuffled(roots).alias("r")
     nodes = d.join(r, F.col("d._fp") == F.col("r._node"), "left").select(F.col("d._fp").alias("_fp"), "_least", F.coalesce("_root", F.col("d._fp")).alias("_root"))
     least = nodes.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    named = nodes.join(least, "_root").select(F.col("_fp").alias("_node"), "component_id")
-    p, n = printed.alias("p"), named.alias("n")
+    named = nodes.join(shuffled(least), "_root").select(F.col("_fp").alias("_node"), "component_id")
+    p, n = printed.alias("p"), shuffled(named).alias("n")
     return p.join(n, F.col("p._fp") == F.col("n._node")).select(*[F.col(f"p.{c}") for c in printed.columns if c != "component_id"], "component_id")
 
 
@@ -290,7 +290,7 @@ def _alike(pairs: DataFrame, docs: DataFrame, texts: DataFrame, text: str, shing
     ``texts`` has a text of each node (_node, _own: the hash of the text, two parts).
     """
     asked = pairs.select(F.col("_a").alias("_node")).unionByName(pairs.select(F.col("_b").alias("_node"))).distinct()
-    names = stored(texts.join(asked, "_node", "left_semi"), "asked")
+    names = stored(texts.join(shuffled(asked), "_node", "left_semi"), "asked")
     d, n = docs.select(F.col(text).alias("_text"), *_own(text)), small_side(names)
     held = d.join(n, ["_k1", "_k2"]).select("_node", "_text")
 
@@ -302,7 +302,7 @@ def _alike(pairs: DataFrame, docs: DataFrame, texts: DataFrame, text: str, shing
     sets = stored(held.mapInArrow(run, "_node long, _set array<long>").dropDuplicates(["_node"]), "sets")
     x, y = sets.select(F.col("_node").alias("_a"), F.col("_set").alias("_x")), sets.select(F.col("_node").alias("_b"), F.col("_set").alias("_y"))
     both = F.size(F.array_intersect("_x", "_y"))
-    found = pairs.join(x, "_a").join(y, "_b").where(both >= F.lit(similarity - 1e-9) * (F.size("_x") + F.size("_y") - both)).select("_a", "_b")
+    found = pairs.join(shuffled(x), "_a").join(shuffled(y), "_b").where(both >= F.lit(similarity - 1e-9) * (F.size("_x") + F.size("_y") - both)).select("_a", "_b")
     out = stored(found, "alike")
     dropped(sets)
     return out
@@ -339,14 +339,14 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     dropped(shared)
     # a key's centre is the node that meets most others under its keys: of near copies this is mostly what they were made from
     met = keyed.groupBy("_node").agg(F.sum("_n").alias("_met"))
-    centres = keyed.join(met, "_node").groupBy("_s").agg(F.max(F.struct("_met", "_node")).alias("_c")).select("_s", F.col("_c._node").alias("_low"))
+    centres = keyed.join(shuffled(met), "_node").groupBy("_s").agg(F.max(F.struct("_met", "_node")).alias("_c")).select("_s", F.col("_c._node").alias("_low"))
 
     def bounded(pairs: DataFrame) -> DataFrame:
         """(_a, _b, _sure): pairs that can reach the similarity by their sizes and parts, and whether the parts are all there is."""
         asked = pairs.select(F.col("_a").alias("_node")).unionByName(pairs.select(F.col("_b").alias("_node"))).distinct()
-        held = stored(nodes.select("_node", "_size", "_level", "_part").join(asked, "_node", "left_semi"), "held")
+        held = stored(nodes.select("_node", "_size", "_level", "_part").join(shuffled(asked), "_node", "left_semi"), "held")
         a, b = held.select(*[F.col(c).alias(f"{c}a") for c in held.columns]), held.select(*[F.col(c).alias(f"{c}b") for c in held.columns])
-        p = pairs.join(a, F.col("_a") == F.col("_nodea")).join(b, (F.col("_b") == F.col("_nodeb")) & _near_sizes(similarity) & _may(similarity))
+        p = pairs.join(shuffled(a), F.col("_a") == F.col("_nodea")).join(shuffled(b), (F.col("_b") == F.col("_nodeb")) & _near_sizes(similarity) & _may(similarity))
         return p.select("_a", "_b", (F.greatest("_levela", "_levelb") == 0).alias("_sure"))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -354,31 +354,31 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
         return stored(pairs.where("_sure").select("_a", "_b").unionByName(rest), "verified")
 
     prints = stored(nodes.groupBy("_fp").agg(F.min("_node").alias("_low")), "fingerprints")
-    same = nodes.join(prints, "_fp").select(F.col("_low").alias("_a"), F.col("_node").alias("_b"))
+    same = nodes.join(shuffled(prints), "_fp").select(F.col("_low").alias("_a"), F.col("_node").alias("_b"))
     p, q = prints.select(F.col("_fp").alias("_fa"), F.col("_low").alias("_a")), prints.select(F.col("_fp").alias("_fb"), F.col("_low").alias("_b"))
-    near = links(prints.select("_fp")).select(F.col("_a").alias("_fa"), F.col("_b").alias("_fb")).join(p, "_fa").join(q, "_fb").select("_a", "_b")
-    stars = keyed.join(centres, "_s").select(F.col("_low").alias("_a"), F.col("_node").alias("_b"))
+    near = links(prints.select("_fp")).select(F.col("_a").alias("_fa"), F.col("_b").alias("_fb")).join(shuffled(p), "_fa").join(shuffled(q), "_fb").select("_a", "_b")
+    stars = keyed.join(shuffled(centres), "_s").select(F.col("_low").alias("_a"), F.col("_node").alias("_b"))
     pairs = same.unionByName(near).unionByName(stars).where("_a <> _b").select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
     pairs = stored(bounded(pairs), "pairs")
     joined = verified(pairs)
     roots = stored(components(joined), "roots")
 
     # bands under which nodes of several classes stand: these are compared by their parts, band by band, in blocks
-    k, r = keyed.alias("k"), roots.alias("r")
+    k, r = keyed.alias("k"), shuffled(roots).alias("r")
     classed = k.join(r, F.col("k._node") == F.col("r._node"), "left").select("k._s", F.col("k._node").alias("_node"), F.coalesce("r._root", "k._node").alias("_root"))
     open_keys = classed.groupBy("_s").agg(F.min("_root").alias("_l"), F.max("_root").alias("_h"), F.count(F.lit(1)).alias("_n")).where("_l <> _h").select("_s", "_n")
-    left = stored(classed.join(open_keys, "_s"), "open")
-    close = stored(_close(left.join(nodes.select("_node", "_size", "_level", "_part"), "_node"), similarity).distinct(), "close")
-    rest = stored(close.join(pairs.select("_a", "_b"), ["_a", "_b"], "left_anti"), "rest")
+    left = stored(classed.join(shuffled(open_keys), "_s"), "open")
+    close = stored(_close(left.join(shuffled(nodes.select("_node", "_size", "_level", "_part")), "_node"), similarity).distinct(), "close")
+    rest = stored(close.join(shuffled(pairs.select("_a", "_b")), ["_a", "_b"], "left_anti"), "rest")
     more = verified(rest)
     if not more.isEmpty():
         roots = components(joined.unionByName(more))
 
-    n, r = nodes.alias("n"), roots.alias("r")
+    n, r = nodes.alias("n"), shuffled(roots).alias("r")
     rooted = n.join(r, F.col("n._node") == F.col("r._node"), "left").select(F.col("n._node").alias("_node"), "_least", F.coalesce("r._root", "n._node").alias("_root"))
     smallest = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    named = rooted.join(smallest, "_root").select(F.col("_node").alias("_n"), "component_id")
-    out = stored(drawn.join(named, F.col("_node") == F.col("_n")).select(*[c for c in keep if c != text], "component_id"), "similar")
+    named = rooted.join(shuffled(smallest), "_root").select(F.col("_node").alias("_n"), "component_id")
+    out = stored(drawn.join(shuffled(named), F.col("_node") == F.col("_n")).select(*[c for c in keep if c != text], "component_id"), "similar")
     for table in (drawn, nodes, keyed, prints, pairs, left, close, rest, joined, more):
         dropped(table)
     return out

@@ -78,11 +78,11 @@ def shuffled(df: DataFrame) -> DataFrame:
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows; else as it is, for a shuffled join.
+    """``df`` with a broadcast hint if it has at most ``limit`` rows; else for a shuffled join.
 
     ``df`` should be stored, as its rows are counted here.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else shuffled(df)
 
 
 def renamed(docs: DataFrame, replaced: Sequence[str]) -> tuple[DataFrame, dict[str, str], dict[str, str]]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pathloom.functions.element import locator
 from pathloom.functions.text import element_variable, url_example, url_variable
 from pathloom.schema import REDACTED, REPLACEMENT
+from pathloom.session import written
 
 
 def from_events(events: DataFrame, *order: str) -> DataFrame:
@@ -33,6 +34,8 @@ def first_definitions(variables: DataFrame) -> DataFrame:
 
 
 def variable_map(events: DataFrame, *order: str) -> DataFrame:
-    """(locator, name) over all filled targets, the first of each name."""
-    rows = events.where("event_type = 'fill' and target is not null").withColumn("locator", locator("target")).withColumn("name", element_variable(F.col("locator")))
-    return rows.where("name is not null").groupBy("locator").agg(F.min_by("name", F.struct(*order)).alias("name"))
+    """(locator, name) of all filled targets."""
+    # a name follows from its locator, so that it is made once for each; ``order`` decides nothing
+    # written, or the filter on names would be pushed below, with the locator put in wherever a name is made of it
+    found = written(events.where("event_type = 'fill' and target is not null").select(locator("target").alias("locator")).distinct())
+    return found.select("locator", element_variable(F.col("locator")).alias("name")).where("name is not null")

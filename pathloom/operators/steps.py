@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -339,6 +340,23 @@ def unique_names(behaviors: list[dict]) -> None:
 STEP = "step_no int, type string, locator string, url string, value string, repeat_count int, description string, assertions array<string>"
 
 
+#: Events of a batch's flows that are Python objects at a time, but for a single flow with more.
+EVENTS = 5000
+
+
+def slices(batch: pa.RecordBatch, column: int, events: int = EVENTS) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of as many rows as have ``events`` events in all, or one row, in order; no part without rows."""
+    sizes = [n or 0 for n in pc.list_value_length(batch.column(column)).to_pylist()]
+    start = held = 0
+    for i, n in enumerate(sizes):
+        if i > start and held + n > events:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n + 1
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def _rows(flows: DataFrame, keep: list[str], schema: str, make: Callable[[dict], list[dict]]) -> DataFrame:
     """The rows that ``make`` gives of each flow (a dictionary with events), in Arrow batches, with the ``keep`` columns."""
     rows = flows.select(*keep, *[c for c in ("events", "snapshots", "clicks", "names") if c in flows.columns and c not in keep])
@@ -346,7 +364,7 @@ def _rows(flows: DataFrame, keep: list[str], schema: str, make: Callable[[dict],
     names = flows.sparkSession.createDataFrame([], schema).columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, batch.schema.get_field_index("events"))):
             made, at = [], []
             for i, flow in enumerate(b.select(list(range(len(keep), b.num_columns))).to_pylist()):
                 own = make({k: dict(v) if k != "events" and v is not None else v for k, v in flow.items()})

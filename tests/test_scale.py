@@ -2,9 +2,12 @@
 
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pathloom.functions import text, url
+from pathloom.operators import render, sessions, steps, variables
+from pathloom.schema import TARGET
 
 
 def seconds(run):
@@ -28,3 +31,38 @@ def test_the_file_of_a_long_pattern(spark):
     got = []
     assert seconds(lambda: got.append(spark.range(1).select(text.flow_file(pattern, F.lit(2)).alias("f")).first()["f"])) < 20
     assert got[0].startswith("p1-to-p2-to-") and got[0].endswith("-3.spec.ts")
+
+
+def test_slices_hold_few_events_and_all_rows():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([[0] * n for n in (3, 3, 20, 1, 0, 4)])], names=["k", "events"])
+    parts = [p.column(0).to_pylist() for p in steps.slices(batch, 1, 8)]
+    assert parts == [[0, 1], [2], [3, 4, 5]]
+
+
+def test_equal_file_names_are_numbered_without_events(spark):
+    flows = spark.range(40).select(((F.col("id") * 7) % 40).alias("flow_ord"), F.when(F.col("id") % 4 == 0, "b").otherwise("a").alias("file"), F.array(F.lit("x")).alias("events"))
+    found = render.file_numbers(flows)
+    got = {r["flow_ord"]: r["_k"] for r in found.collect()}
+    by = {}
+    for r in flows.collect():
+        by.setdefault(r["file"], []).append(r["flow_ord"])
+    assert got == {o: k for v in by.values() for k, o in enumerate(sorted(v))}
+    assert found.columns == ["flow_ord", "_k"]
+
+
+def test_variables_are_named_once_for_each_locator(spark):
+    row = [("fill", '{"tag":"INPUT","selectors":{"testid":"user name"}}'), ("fill", '{"tag":"INPUT"}'), ("click", '{"tag":"A","selectors":{"testid":"x"}}'), ("fill", None)]
+    e = spark.createDataFrame(row * 3, "event_type string, t string").select("event_type", F.from_json("t", TARGET).alias("target"))
+    out = variables.variable_map(e)
+    assert [tuple(r) for r in out.collect()] == [('getByTestId("user name")', "userName")]
+    # with the filter pushed down the locator stood in the plan many times
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+
+
+def test_the_split_by_wide_gaps_equals_the_split_by_tabs_and_gaps(spark):
+    at = F.when(F.col("id") % 17 > 0, F.timestamp_seconds(F.pmod(F.xxhash64("id"), F.lit(40)) * 1700))
+    e = spark.range(300).select(F.col("id").alias("sequence"), F.col("id").cast("string").alias("event_id"), F.when(F.col("id") % 5 > 0, (F.col("id") % 3).cast("string")).alias("session_id"), F.when(F.col("id") % 7 > 0, (F.col("id") % 6).cast("string")).alias("tab_id"), at.alias("timestamp"))
+    want = sessions.split_idle(sessions.split_tabs(e), ["session_id", "is_concurrent", "group_tab"], "2 hours")
+    got = sessions.split_sessions(e, "2 hours")
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))

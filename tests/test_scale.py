@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pathloom.functions import text, url
-from pathloom.operators import render, sessions, steps, variables
+from pathloom.operators import gate, render, sessions, steps, variables
 from pathloom.schema import TARGET
 
 
@@ -68,3 +68,11 @@ def test_the_split_by_wide_gaps_equals_the_split_by_tabs_and_gaps(spark):
     got = sessions.split_sessions(e, "2 hours")
     assert got.columns == want.columns
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_scripts_of_one_file_are_judged_on_all_cores(spark):
+    one = spark.range(200).coalesce(1).select("id", F.when(F.col("id") % 2 == 0, "const a = 1;").otherwise("eval(1);").alias("content"))
+    out = gate.judged(one)
+    assert {(r["id"] % 2, r["v"]["ok"]) for r in out.collect()} == {(0, True), (1, False)} and out.count() == 200
+    counts = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(counts) >= 4 * 4 and max(r["count"] for r in counts) < 50

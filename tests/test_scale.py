@@ -3,10 +3,11 @@
 import time
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from pathloom.functions import text, url
-from pathloom.operators import gate, render, sessions, steps, variables
+from pathloom.operators import gate, graph, render, sessions, steps, variables
 from pathloom.schema import TARGET
 
 
@@ -70,6 +71,33 @@ def test_the_split_by_wide_gaps_equals_the_split_by_tabs_and_gaps(spark):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
+def mixed(spark):
+    """Sessions of three sizes and one without a name, with tabs of one moment, ties and rows without a time."""
+    at = F.when(F.col("id") % 17 > 0, F.timestamp_seconds(F.pmod(F.xxhash64("id"), F.lit(40)) * 1700))
+    return spark.range(300).select(F.col("id").alias("sequence"), F.col("id").cast("string").alias("event_id"), F.when(F.col("id") % 5 > 0, (F.col("id") % 3).cast("string")).alias("session_id"), F.when(F.col("id") % 7 > 0, (F.col("id") % 6).cast("string")).alias("tab_id"), at.alias("timestamp"))
+
+
+@pytest.mark.parametrize("gap", ["30 minutes", "2 hours"])
+@pytest.mark.parametrize("large", [0, 70, 1000])
+def test_the_split_of_small_and_large_sessions_equals_the_split_by_tabs_and_gaps(spark, gap, large):
+    e = mixed(spark)
+    want = sessions.split_idle(sessions.split_tabs(e), ["session_id", "is_concurrent", "group_tab"], gap)
+    got = sessions.split_sessions(e, gap, large)
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_small_sessions_are_split_with_one_shuffle(spark):
+    plan = sessions.split_sessions(mixed(spark), "2 hours")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_nodes_and_edges_read_the_events_once(spark):
+    e = sessions.split_sessions(mixed(spark), "2 hours").withColumns({"event_type": F.lit("click"), "url": F.concat(F.lit("/x"), F.col("sequence") % 3), "payload": F.lit(None).cast("string"), "target": F.lit(None).cast(TARGET)})
+    for part in graph.build_graph(e):
+        assert "Window" not in part._jdf.queryExecution().optimizedPlan().toString() and part.count() > 0
+
+
 def test_scripts_of_one_file_are_judged_on_all_cores(spark):
     one = spark.range(200).coalesce(1).select("id", F.when(F.col("id") % 2 == 0, "const a = 1;").otherwise("eval(1);").alias("content"))
     out = gate.judged(one)

@@ -1,8 +1,8 @@
 """Sub-sessions of a stream of events with concurrent tabs: the batch split, emitted visit by visit.
 
 A visit is a session's events up to a quiet time of more than ``expiry``. The state of a session holds, for each tab,
-the spans of time in which the tab was busy (times at most a gap apart are one span), and the rows themselves in list
-state on disk. Which tabs overlap and which sub-session a row belongs to follows from the spans alone, so that rows
+the spans of time in which the tab was busy (times at most a gap apart are one span), and the rows themselves, both in
+list state on disk: a micro-batch appends its own spans with one call, whatever the number of tabs, and a timer joins them. Which tabs overlap and which sub-session a row belongs to follows from the spans alone, so that rows
 never are sorted and memory grows with tabs and idle gaps only. What comes out depends on the log alone, not on how it
 was cut into micro-batches.
 """
@@ -24,6 +24,8 @@ from pathloom.operators.sessions import IDLE
 #: Rows that are handed to the state store at a time.
 CHUNK = 1000
 Span = tuple[int, int]
+#: Whether a tab has a name, and its name.
+Tab = tuple[bool, str]
 
 
 def merged(spans: Iterable[Span], gap: int) -> list[Span]:
@@ -51,27 +53,35 @@ class TabSplitter(StatefulProcessor):
     def __init__(self, rows: StructType, gap: int, expiry: int) -> None:
         self.rows, self.gap, self.expiry = rows, gap, expiry
         self.names = rows.names
+        self.shape = Row(*self.names, "_visit", "is_concurrent", "group_tab", "sub_idx")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.spans = handle.getMapState("spans", "known boolean, tab string", "ends array<bigint>")
+        self.spans = handle.getListState("spans", "known boolean, tab string, ends array<bigint>")
         self.lists = [handle.getListState(f"rows{i}", self.rows) for i in (0, 1)]
         self.side = handle.getValueState("side", "side int")
 
     def _active(self) -> int:
-        return self.side.get()[0] if self.side.exists() else 0
-
-    def _load(self, tab: tuple[bool, str]) -> list[Span]:
-        if not self.spans.containsKey(tab):
-            return []
-        flat = self.spans.getValue(tab)[0]
-        return list(zip(flat[::2], flat[1::2], strict=True))
-
-    def _store(self, tab: tuple[bool, str], spans: list[Span]) -> None:
-        if spans:
-            self.spans.updateValue(tab, ([t for s in spans for t in s],))
-        else:
-            self.spans.removeKey(tab)
+        found = self.side.get()
+        return found[0] if found else 0
+
+    def _load(self) -> tuple[dict[Tab, list[Span]], int]:
+        """The spans of each tab, joined as they are read, and how many entries were read."""
+        tabs: dict[Tab, list[Span]] = {}
+        limit: dict[Tab, int] = {}
+        n = 0
+        for known, tab, flat in self.spans.get():
+            n, key = n + 1, (known, tab)
+            found = tabs.setdefault(key, [])
+            found.extend(zip(flat[::2], flat[1::2], strict=True))
+            if len(found) > limit.get(key, CHUNK):
+                tabs[key] = merged(found, self.gap)
+                limit[key] = max(2 * len(tabs[key]), CHUNK)
+        return {k: merged(found, self.gap) for k, found in tabs.items()}, n
+
+    @staticmethod
+    def _entries(tabs: dict[Tab, Iterable[Span]]) -> list[tuple[bool, str, list[int]]]:
+        return [(*k, [t for s in spans for t in s]) for k, spans in tabs.items() if spans]
 
     def _due(self, end: int) -> int:
         return (end + self.expiry) // 1000 + 1
@@ -82,7 +92,7 @@ class TabSplitter(StatefulProcessor):
         for row in rows:
             at = row["_at"]
             if at is None:  # a row without a time belongs to no visit
-                yield self._out(row, None, False, None, 0)
+                yield self.shape(*[row[n] for n in self.names], None, False, None, 0)
                 continue
             tab = (row["tab_id"] is not None, row["tab_id"] or "")
             times.setdefault(tab, set()).add((at, at))
@@ -93,8 +103,8 @@ class TabSplitter(StatefulProcessor):
                 times, held = {t: set(merged(s, self.gap)) for t, s in times.items()}, []
         if held:
             kept.appendList(held)
-        for tab, new in times.items():
-            self._store(tab, merged([*self._load(tab), *new], self.gap))
+        if times:
+            self.spans.appendList(self._entries({t: merged(s, self.gap) for t, s in times.items()}))
         if earliest is not None:
             due, pending = self._due(earliest), list(self.handle.listTimers())
             if not pending or due < min(pending):  # no visit can close before; a timer that is early sets the next one
@@ -104,7 +114,7 @@ class TabSplitter(StatefulProcessor):
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs()
-        tabs = {k: self._load(k) for k in [tuple(k) for k in self.spans.keys()]}
+        tabs, n = self._load()
         visits = merged((s for spans in tabs.values() for s in spans), self.expiry)
         closed = [v for v in visits if self._due(v[1]) <= mark]
         starts = [v[0] for v in closed]
@@ -119,31 +129,33 @@ class TabSplitter(StatefulProcessor):
         side, waiting = self._active(), []
         end = closed[-1][1] if closed else None
         if closed:
+            at_place, tab_place = self.names.index("_at"), self.names.index("tab_id")
             for values in self.lists[side].get():
-                row = dict(zip(self.names, values, strict=True))
-                if row["_at"] > end:
+                at, name = values[at_place], values[tab_place]
+                if at > end:
                     waiting.append(tuple(values))
                     if len(waiting) >= CHUNK:
                         self.lists[1 - side].appendList(waiting)
                         waiting = []
                     continue
-                v = bisect_right(starts, row["_at"]) - 1
-                tab = (row["tab_id"] is not None, row["tab_id"] or "")
+                v = bisect_right(starts, at) - 1
+                tab = (name is not None, name or "")
                 alone = tab in concurrent[v]
-                part = bisect_right(begins[v][tab if alone else None], row["_at"]) - 1
-                yield self._out(row, starts[v], alone, row["tab_id"] if alone else None, part)
+                part = bisect_right(begins[v][tab if alone else None], at) - 1
+                yield self.shape(*values, starts[v], alone, name if alone else None, part)
             if waiting:
                 self.lists[1 - side].appendList(waiting)
             self.lists[side].clear()
             self.side.update((1 - side,))
-            for tab, spans in tabs.items():
-                self._store(tab, [s for s in spans if s[0] > end])
+            tabs = {k: [s for s in spans if s[0] > end] for k, spans in tabs.items()}
+        left = self._entries(tabs)
+        if not left:
+            self.spans.clear()
+        elif len(left) < n or closed:
+            self.spans.put(left)
         if len(closed) < len(visits):
             self.handle.registerTimer(self._due(visits[len(closed)][1]))
 
-    def _out(self, row: Any, visit: int | None, alone: bool, group: str | None, part: int) -> Row:
-        return Row(*self.names, "_visit", "is_concurrent", "group_tab", "sub_idx")(*[row[n] for n in self.names], visit, alone, group, part)
-
     def close(self) -> None:
         pass
 

@@ -4,11 +4,14 @@ import time
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pathloom.functions import text, url
 from pathloom.operators import gate, graph, render, sessions, steps, variables
 from pathloom.schema import TARGET
+from pathloom.streaming.tabs import TabSplitter
 
 
 def seconds(run):
@@ -104,3 +107,27 @@ def test_scripts_of_one_file_are_judged_on_all_cores(spark):
     assert {(r["id"] % 2, r["v"]["ok"]) for r in out.collect()} == {(0, True), (1, False)} and out.count() == 200
     counts = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(counts) >= 4 * 4 and max(r["count"] for r in counts) < 50
+
+
+class Calls:
+    """A store of state that counts the calls to it; everything in it is empty."""
+
+    def __init__(self):
+        self.n = 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.n += 1
+            return self if name.startswith("get") and args else iter(()) if name == "listTimers" else None
+
+        return call
+
+
+def test_state_is_called_as_often_for_many_tabs_as_for_one():
+    schema, made = StructType.fromDDL("session_id string, tab_id string, _at bigint"), []
+    for tabs in (1, 500):
+        store, splitter = Calls(), TabSplitter(schema, 10, 100)
+        splitter.init(store)
+        assert list(splitter.handleInputRows(("s",), iter([Row(session_id="s", tab_id=f"t{i % tabs}", _at=i) for i in range(500)]), None)) == []
+        made.append(store.n)
+    assert made[0] == made[1] < 12

@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from pathloom.functions import text, url
 from pathloom.operators import gate, graph, render, sessions, steps, variables
+from pathloom.plans import queries
 from pathloom.schema import TARGET
 from pathloom.streaming.tabs import TabSplitter
 
@@ -101,6 +102,25 @@ def test_nodes_and_edges_read_the_events_once(spark):
         assert "Window" not in part._jdf.queryExecution().optimizedPlan().toString() and part.count() > 0
 
 
+@pytest.mark.parametrize("name", ["compare_flows", "flow_library"])
+def test_all_runs_of_a_query_are_mined_in_one_pass(spark, monkeypatch, name):
+    calls, split = [], sessions.split_sessions
+    monkeypatch.setattr(sessions, "split_sessions", lambda *a: calls.append(1) or split(*a))
+    assert queries.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(calls) == 1
+
+
+def test_spans_mined_together_equal_spans_mined_alone(spark, tmp_path):
+    # some sessions without a name, and one with an empty span
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    e.withColumn("user_id", F.when(F.col("user_id") % 4 > 0, F.col("user_id"))).where((F.dayofmonth("ts") <= 10) | (F.dayofmonth("ts") > 12)).write.parquet(f"{tmp_path}/events.parquet")
+    spans = [(20, 31), (10, 12), (0, 10)]
+    got = [sorted(map(repr, m.collect())) for m in queries._mined(spark, str(tmp_path), *spans)]
+    assert got == [sorted(map(repr, queries._mined(spark, str(tmp_path), s)[0].collect())) for s in spans]
+    assert got[0] and not got[1] and got[2]
+    assert [r["ord"] for r in queries._mined(spark, str(tmp_path), *spans)[2].orderBy("ord").collect()] == list(range(1, len(got[2]) + 1))
+
+
 def test_scripts_of_one_file_are_judged_on_all_cores(spark):
     one = spark.range(200).coalesce(1).select("id", F.when(F.col("id") % 2 == 0, "const a = 1;").otherwise("eval(1);").alias("content"))
     out = gate.judged(one)

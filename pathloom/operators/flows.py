@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.element import fingerprint
-from pathloom.functions.url import is_link_nav, normalise_url, url_sequence
+from pathloom.functions.url import is_link_nav, joined, normalise_url
 from pathloom.operators.graph import MIN_NODES, event_node, node_action, node_url
 from pathloom.operators.numbering import numbered
 from pathloom.operators.sessions import SUB_KEY
@@ -16,10 +16,14 @@ MOBILE_WIDTH = 768
 THRESHOLD = 5.0
 
 
-def viewport_class() -> Column:
+def viewport_width() -> Column:
+    """An event's viewport width, null where it is missing or no number."""
+    return F.get_json_object("page_context", "$.viewport.width").try_cast("double")
+
+
+def viewport_class(width: Column | None = None) -> Column:
     """Aggregate: mobile if most events with a viewport width are narrow, else desktop."""
-    raw = F.get_json_object("page_context", "$.viewport.width")
-    width = raw.try_cast("double")
+    width = viewport_width() if width is None else width
     return F.when(F.count_if(width < MOBILE_WIDTH) > F.count(width) / 2, "mobile").otherwise("desktop")
 
 
@@ -37,23 +41,30 @@ def sub_sessions(events: DataFrame, keys: list[str] = SUB_KEY, order: list[str]
     """One row per sub-session: keys, nodes, pattern, fingerprint, page_set, n_actions, n_nodes, events (with link: a click on a link to another page).
 
     Sub-sessions with under 3 nodes are left out. A sub-session's events are gathered in its row, as an
-    idle gap bounds them.
+    idle gap bounds them. Nodes, actions and events are gathered each for itself: what a query doesn't ask for is
+    neither computed nor gathered. A node's page is normalised once.
     """
-    rows = events.withColumn("node", event_node()).withColumn("_link", F.coalesce(F.col("event_type") == "click", F.lit(False)) & F.coalesce(is_link_nav(), F.lit(False))).withColumn("_action", is_action()).withColumn("_element", F.coalesce(fingerprint("target"), F.lit("")))
-    place = F.struct(*order)
-    item = F.struct(place.alias("o"), F.col("node"), F.col("event_type"), F.col("url"), F.col("_element").alias("element"), F.col("_action").alias("is_action"), F.col("_link").alias("link"))
-    per = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("e"), viewport_class().alias("viewport"))
-    per = per.withColumn("nodes", F.transform(F.filter("e", lambda x: x["node"].isNotNull()), lambda x: x["node"])).where(F.size("nodes") >= MIN_NODES)
-    urls = F.transform("nodes", node_url)
-    acts = F.filter("e", lambda x: x["is_action"])
-    plain = url_sequence(urls)
+    link = F.coalesce(F.col("event_type") == "click", F.lit(False)) & F.coalesce(is_link_nav(), F.lit(False))
+    rows = events.withColumns({"node": event_node(), "_link": link, "_action": is_action(), "_element": F.coalesce(fingerprint("target"), F.lit("")), "_width": viewport_width()})
+    rows = rows.withColumn("_page", normalise_url(node_url(F.col("node"))))
+    place = F.struct(*order).alias("o")
+    element = F.col("_element").alias("element")
+    # collect_list leaves nulls out
+    nodes = F.collect_list(F.when(F.col("node").isNotNull(), F.struct(place, "node", F.col("_page").alias("page"))))
+    acts = F.collect_list(F.when(F.col("_action"), F.struct(place, "event_type", element)))
+    each = F.collect_list(F.struct(place, "event_type", "url", element, F.col("_action").alias("is_action"), F.col("_link").alias("link")))
+    per = rows.groupBy(*keys).agg(nodes.alias("_nodes"), acts.alias("_acts"), each.alias("_each"), viewport_class(F.col("_width")).alias("viewport"))
+    # sorted after the filter: a filter on the size of a sorted list would sort it once more
+    per = per.where(F.size("_nodes") >= MIN_NODES).withColumns({c: F.sort_array(c) for c in ["_nodes", "_acts", "_each"]})
+    pages = F.transform("_nodes", lambda x: x["page"])
+    plain = joined(pages)
     return per.select(
-        *keys, "nodes",
+        *keys, F.transform("_nodes", lambda x: x["node"]).alias("nodes"),
         F.when(F.col("viewport") != "desktop", F.concat(F.lit("["), F.col("viewport"), F.lit("] "), plain)).otherwise(plain).alias("pattern"),
-        F.when(F.size(acts) == 0, "").otherwise(F.md5(action_text(acts))).alias("fingerprint"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform(urls, normalise_url))), " + ").alias("page_set"),
-        F.size(F.filter("nodes", lambda n: ~n.startswith("nav:"))).cast("long").alias("n_actions"), F.size("nodes").cast("long").alias("n_nodes"),
-        F.transform("e", lambda x: F.struct(x["event_type"].alias("event_type"), x["url"].alias("url"), x["element"].alias("element"), x["is_action"].alias("is_action"), x["link"].alias("link"))).alias("events"),
+        F.when(F.size("_acts") == 0, "").otherwise(F.md5(action_text(F.col("_acts")))).alias("fingerprint"),
+        F.array_join(F.array_sort(F.array_distinct(pages)), " + ").alias("page_set"),
+        F.size(F.filter("_nodes", lambda x: ~x["node"].startswith("nav:"))).cast("long").alias("n_actions"), F.size("_nodes").cast("long").alias("n_nodes"),
+        F.transform("_each", lambda x: F.struct(x["event_type"].alias("event_type"), x["url"].alias("url"), x["element"].alias("element"), x["is_action"].alias("is_action"), x["link"].alias("link"))).alias("events"),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from pathloom.functions import text, url
-from pathloom.operators import gate, graph, render, sessions, steps, variables
+from pathloom.operators import flows, gate, graph, render, sessions, steps, variables
 from pathloom.plans import queries
 from pathloom.schema import TARGET
 from pathloom.streaming.tabs import TabSplitter
@@ -102,6 +102,15 @@ def test_nodes_and_edges_read_the_events_once(spark):
         assert "Window" not in part._jdf.queryExecution().optimizedPlan().toString() and part.count() > 0
 
 
+def test_patterns_are_made_without_the_events(spark):
+    e = sessions.split_sessions(mixed(spark), "2 hours").withColumns({"event_type": F.lit("click"), "url": F.concat(F.lit("/x"), F.col("sequence") % 3), "payload": F.lit(None).cast("string"), "page_context": F.lit("{}"), "target": F.lit(None).cast(TARGET)})
+    subs = flows.sub_sessions(e)
+    plan = subs.select("pattern")._jdf.queryExecution().optimizedPlan().toString()
+    # neither fingerprints nor events are gathered, the nodes are sorted once
+    assert plan.count("collect_list(") == 1 and plan.count("sort_array(") == 1 and "is_action" not in plan
+    assert subs.count() > 0
+
+
 @pytest.mark.parametrize("name", ["compare_flows", "flow_library"])
 def test_all_runs_of_a_query_are_mined_in_one_pass(spark, monkeypatch, name):
     calls, split = [], sessions.split_sessions

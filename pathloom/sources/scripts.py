@@ -4,22 +4,27 @@
     scripts.write.format("scripts").mode("overwrite").save(folder)
     spark.read.format("scripts").load(folder)
 
-Each task writes its files below a folder of its own attempt, with a list of their sizes and digests. The job's
-commit makes a version of the attempts that succeeded, by one small manifest that is renamed into place; until then a
-reader sees the version before. So tasks that failed, were repeated or ran twice leave nothing that counts, and the
-commit deletes it. Neither texts nor lists of files pass through the driver: a task's message has its folder and two sums.
+Each task writes its files, as one compressed tar archive, to a folder of its own attempt, with the archive's size and
+digest: a script has a few hundred bytes, and as a file of its own would take a block of the disk and an inode, as would
+its folder. The job's commit makes a version of the attempts that succeeded, by one small manifest that is renamed into
+place; until then a reader sees the version before. So tasks that failed, were repeated or ran twice leave nothing that
+counts, and the commit deletes it. Neither texts nor names pass through the driver: a task's message has its folder and
+two sums.
 
 Folders are of any file system that Arrow reads, and shared by all executors. One job writes to a folder at a time.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import json
 import posixpath
+import tarfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 from pyarrow import fs as stores
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +32,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType
 
 SCHEMA = "file_name string, content string"
-MANIFESTS, ATTEMPTS, LIST = "_versions", "_attempts", "_files.json"
+MANIFESTS, ATTEMPTS, ARCHIVE, LIST = "_versions", "_attempts", "scripts.tar.gz", "_files.json"
 
 
 @dataclass
@@ -65,6 +70,23 @@ def get(store: stores.FileSystem, path: str) -> bytes:
         return source.read()
 
 
+def digest(store: stores.FileSystem, path: str) -> list:
+    """The size of a file and its digest, read in pieces."""
+    size, sha = 0, hashlib.sha256()
+    with store.open_input_stream(path, compression=None) as source:
+        while part := source.read(2**20):
+            size += len(part)
+            sha.update(part)
+    return [size, sha.hexdigest()]
+
+
+def member(name: str, data: bytes) -> bytes:
+    """A file as it stands in a tar archive."""
+    info = tarfile.TarInfo(name)
+    info.size = len(data)
+    return info.tobuf(tarfile.PAX_FORMAT) + data + bytes(-len(data) % tarfile.BLOCKSIZE)
+
+
 def checked(name: object) -> str:
     """A file name that stays in its folder: parts of a relative path, none of them empty, hidden or leading up."""
     parts = str(name).split("/") if name is not None else []
@@ -89,19 +111,23 @@ class ScriptWriter(DataSourceWriter):
     def write(self, iterator: Iterator) -> Written:
         store, root = opened(self.folder)
         attempt = f"{self.job}-{uuid.uuid4().hex}"
-        here, listed, size = posixpath.join(root, ATTEMPTS, attempt), {}, 0
-        for row in iterator:
-            name, data = checked(row["file_name"]), (row["content"] or "").encode()
-            if name in listed:
-                raise ValueError(f"two scripts are named {name}")
-            path = posixpath.join(here, name)
-            store.create_dir(posixpath.dirname(path), recursive=True)
-            put(store, path, data)
-            listed[name] = [len(data), hashlib.sha256(data).hexdigest()]
-            size += len(data)
-        if listed:
-            put(store, posixpath.join(here, LIST), json.dumps(listed, sort_keys=True).encode())
-        return Written(attempt, len(listed), size)
+        here, rows = posixpath.join(root, ATTEMPTS, attempt), iter(iterator)
+        first = next(rows, None)
+        if first is None:
+            return Written(attempt, 0, 0)
+        store.create_dir(here, recursive=True)
+        path, taken, size = posixpath.join(here, ARCHIVE), set(), 0
+        with store.open_output_stream(path, compression=None) as out, gzip.GzipFile("", "wb", 6, out, 0) as packed:
+            for row in chain([first], rows):
+                name, data = checked(row["file_name"]), (row["content"] or "").encode()
+                if name in taken:
+                    raise ValueError(f"two scripts are named {name}")
+                packed.write(member(name, data))
+                taken.add(name)
+                size += len(data)
+            packed.write(bytes(2 * tarfile.BLOCKSIZE))
+        put(store, posixpath.join(here, LIST), json.dumps({ARCHIVE: digest(store, path)}).encode())
+        return Written(attempt, len(taken), size)
 
     def commit(self, messages: list[Written | None]) -> None:
         """Makes the attempts of ``messages`` the current version, or adds them to it, then deletes what no version names."""
@@ -152,11 +178,14 @@ class ScriptReader(DataSourceReader):
             return
         store, root = opened(self.folder)
         here = posixpath.join(root, ATTEMPTS, partition.attempt)
-        for name, (_, digest) in json.loads(get(store, posixpath.join(here, LIST))).items():
-            data = get(store, posixpath.join(here, name))
-            if hashlib.sha256(data).hexdigest() != digest:
+        listed = json.loads(get(store, posixpath.join(here, LIST)))
+        for name in sorted({*names(store, here), ARCHIVE} - {LIST}):
+            if name not in listed or digest(store, posixpath.join(here, name)) != listed[name]:
                 raise ValueError(f"{name} isn't what was written")
-            yield name, data.decode()
+        with store.open_input_stream(posixpath.join(here, ARCHIVE), compression=None) as source, gzip.GzipFile(fileobj=source) as packed, tarfile.open(fileobj=packed, mode="r|") as files:
+            while (file := files.next()) is not None:
+                yield file.name, files.extractfile(file).read().decode()
+                files.members = []  # or it keeps them all
 
 
 class ScriptSource(DataSource):

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from pathloom.functions.element import identity, snapshot_locator
 from pathloom.functions.text import string_literal
 from pathloom.functions.url import escape_regex, present
+from pathloom.operators.numbering import numbered
 
 MAX_DIFFS, MAX_VISIBLE, MAX_TOTAL, SHORT = 3, 3, 5, 50
 
@@ -32,6 +33,13 @@ def by_url(checkpoints: DataFrame, order: str = "cp_ord") -> DataFrame:
     return checkpoints.where(present(F.col("url")).isNotNull()).withColumns({"k": F.row_number().over(w.orderBy(order)), "n": F.count(F.lit(1)).over(w)})
 
 
+def placed_by_url(checkpoints: DataFrame, order: str = "cp_ord") -> DataFrame:
+    """All checkpoints with their number k among those of their URL, by range partitions, so that any number may share a URL."""
+    rows = numbered(checkpoints.where(present(F.col("url")).isNotNull()), "_n", "url", order, kind="long")
+    first = rows.groupBy("url").agg(F.min("_n").alias("_first"))
+    return rows.join(first, "url").withColumn("k", F.col("_n") - F.col("_first") + 1).drop("_n", "_first")
+
+
 def by_trigger(checkpoints: DataFrame, order: str = "cp_ord") -> DataFrame:
     """The first checkpoint of each triggering event."""
     return checkpoints.where("trigger_event_id is not null").withColumn("_r", F.row_number().over(Window.partitionBy("trigger_event_id").orderBy(order))).where("_r = 1").drop("_r")
